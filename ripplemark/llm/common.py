@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -100,5 +103,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = after
 
 
-def typed(df: DataFrame, name: str, kind: T.DataType | str) -> Column:
-    return F.col(name).cast(kind)
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about limit bytes of a text column each, one row at least: what a task holds at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        below = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, below + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

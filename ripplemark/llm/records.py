@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch
+from .common import by_bytes, scratch
 
 INDEX = "doc_id long, shard int, path string, offset long, bytes long, n_tokens long"
 #: Chunks of text whose ids a Python worker remembers; then it starts anew.
@@ -137,7 +137,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         name, out, offset = f"{shard:06d}-{uuid.uuid4().hex}.bin", None, 0
         try:
             for whole in batches:
-                for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                for batch in by_bytes(whole, 1):
                     if out is None:
                         store.create_dir(base, recursive=True)
                         out = store.open_output_stream(f"{base}/{name}")

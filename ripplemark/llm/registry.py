@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records, simhash
+from . import contamination, langid, records, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": lambda s, d: langid.query(_table(s, d, "documents")),
         "op4_token_records": lambda s, d: records.query(_table(s, d, "documents")),
+        "op5_decontamination": lambda s, d: contamination.query(_table(s, d, "documents"), _table(s, d, "benchmark")),
         "op6_simhash_near_dedup": lambda s, d: simhash.query(_table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": contamination.ORACLE,
+    }
