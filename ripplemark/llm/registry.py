@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, records, simhash
+from . import contamination, langid, mixing, records, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_records": lambda s, d: records.query(_table(s, d, "documents")),
         "op5_decontamination": lambda s, d: contamination.query(_table(s, d, "documents"), _table(s, d, "benchmark")),
         "op6_simhash_near_dedup": lambda s, d: simhash.query(_table(s, d, "documents")),
+        "op9_source_mixing": lambda s, d: mixing.query(_table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontamination": contamination.ORACLE,
+        "op9_source_mixing": mixing.ORACLE,
     }
