@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, mixing, records, simhash
+from . import contamination, langid, mixing, records, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": lambda s, d: contamination.query(_table(s, d, "documents"), _table(s, d, "benchmark")),
         "op6_simhash_near_dedup": lambda s, d: simhash.query(_table(s, d, "documents")),
         "op9_source_mixing": lambda s, d: mixing.query(_table(s, d, "documents")),
+        "op10_histogram_sharding": lambda s, d: sharding.query(_table(s, d, "documents")),
     }
 
 
