@@ -140,7 +140,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
                 for batch in by_bytes(whole, 1):
                     if out is None:
                         store.create_dir(base, recursive=True)
-                        out = store.open_output_stream(f"{base}/{name}")
+                        out = store.open_output_stream(f"{base}/{name}", compression=None)
                     doc_ids, sizes, counts, framed = batch.column(0).to_pylist(), [], [], []
                     for doc_id, ids in zip(doc_ids, _encoder(tokenizer_path(tokenizer), width)(batch.column(1).to_pylist())):
                         framed.append(frame(payload(doc_id, ids + end, width)))
@@ -191,7 +191,7 @@ def read_in_order(index: DataFrame, with_ids: bool = True) -> DataFrame:
             for row in batch.to_pylist():
                 store, path = pafs.FileSystem.from_uri(row["path"])
                 start, at, base, data = row["start"], 0, 0, b""
-                with store.open_input_stream(path) as source:
+                with store.open_input_stream(path, compression=None) as source:
                     while base + at < row["bytes"]:
                         data = data[at:] + source.read(16 << 20)
                         base, at, out = base + at, 0, []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, mixing, records, sharding, simhash
+from . import contamination, langid, merkle, mixing, records, sharding, simhash, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": lambda s, d: langid.query(_table(s, d, "documents")),
+        "op3_url_filters": lambda s, d: url_filter.query(_table(s, d, "pages")),
         "op4_token_records": lambda s, d: records.query(_table(s, d, "documents")),
         "op5_decontamination": lambda s, d: contamination.query(_table(s, d, "documents"), _table(s, d, "benchmark")),
         "op6_simhash_near_dedup": lambda s, d: simhash.query(_table(s, d, "documents")),
+        "op7_merkle_fingerprints": lambda s, d: merkle.query(_table(s, d, "documents")),
+        "op8_warc": lambda s, d: warc.query(_table(s, d, "pages")),
         "op9_source_mixing": lambda s, d: mixing.query(_table(s, d, "documents")),
         "op10_histogram_sharding": lambda s, d: sharding.query(_table(s, d, "documents")),
     }
@@ -26,6 +29,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_filters": url_filter.ORACLE,
         "op5_decontamination": contamination.ORACLE,
+        "op8_warc": warc.ORACLE,
         "op9_source_mixing": mixing.ORACLE,
     }
