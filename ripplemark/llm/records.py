@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from .common import by_bytes, scratch
 
 INDEX = "doc_id long, shard int, path string, offset long, bytes long, n_tokens long"
-#: Chunks of text whose ids a Python worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Chunks of text whose ids a Python worker remembers (some 200 bytes each); then only those of its latest batch stay.
+REMEMBERED = 1_000_000
 HEAD, BODY = "<QI", "<qBB"
 HEAD_BYTES, BODY_BYTES = struct.calcsize(HEAD), struct.calcsize(BODY)
 
@@ -101,8 +101,9 @@ def _encoder(path: str, width: int):
         split = [t.lower().split() if plain.fullmatch(t) and not any(s in t for s in special) else None for t in texts]
         fresh = list(set().union(*(s for s in split if s)).difference(known))
         if len(known) + len(fresh) > REMEMBERED:
+            frequent = {c: known[c] for c in set().union(*(s for s in split if s)) if c in known}
             known.clear()
-            fresh = list(set().union(*(s for s in split if s)))
+            known.update(frequent)
         for i in range(0, len(fresh), 4096):
             learn(fresh[i : i + 4096])
         return [whole(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
