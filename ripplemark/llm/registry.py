@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, merkle, mixing, records, sharding, simhash, url_filter, warc
+from . import contamination, langid, line_dedup, merkle, mixing, records, sharding, simhash, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": lambda s, d: langid.query(_table(s, d, "documents")),
+        "op2_fuzzy_line_dedup": lambda s, d: line_dedup.query(_table(s, d, "documents")),
         "op3_url_filters": lambda s, d: url_filter.query(_table(s, d, "pages")),
         "op4_token_records": lambda s, d: records.query(_table(s, d, "documents")),
         "op5_decontamination": lambda s, d: contamination.query(_table(s, d, "documents"), _table(s, d, "benchmark")),
