@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 #: Fingerprints of linked lines differ in this many bits at most.
-DISTANCE = 2
+DISTANCE = 3
 #: Blocks of a fingerprint; close pairs agree in two of them.
-BLOCKS = 4
+BLOCKS = 5
+SHINGLE = 5
 SIMILARITY = 0.8
 #: Keys of candidate lines that are broadcast to the second pass (16 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -39,40 +40,47 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id, h, c, line_nos (of the document's lines with that key, ascending), fp."""
-    hashed = lines(docs).select("doc_id", "h", "c", "line_no", F.explode("words").alias("word")).withColumn("w", F.xxhash64("word"))
+    """doc_id, line_no, h, c, fp of every line that has a word.
+
+    The hashes of a line's SHINGLE-word shingles (of all its words, if it has fewer) are summed bit by bit; a bit of
+    the fingerprint is set if it is in more than half of them. The shingle is cut from the words in the same generated
+    loop that sums it.
+    """
+    at = F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
+    each = lines(docs).select("doc_id", "line_no", "h", "c", "words", F.explode(at).alias("i"))
+    hashed = each.select("doc_id", "line_no", "h", "c", F.xxhash64(*[F.get("words", F.col("i") + k) for k in range(SHINGLE)]).alias("w"))
     counters = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(0x100000001))).alias(f"s{i}") for i in range(32)]
-    summed = hashed.groupBy("doc_id", "h", "c").agg(F.count("*").alias("n"), F.collect_set("line_no").alias("line_nos"), *counters)
+    summed = hashed.groupBy("doc_id", "line_no", "h", "c").agg(F.count("*").alias("n"), *counters)
     bits = []
     for i in range(32):
         low, high = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{i}", 32)
         bits += [F.when(2 * low > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)), F.when(2 * high > F.col("n"), F.lit((1 << (i + 32)) - (1 << 64 if i == 31 else 0))).otherwise(F.lit(0))]
     fp = reduce(lambda a, b: a.bitwiseOR(b), [b.cast("long") for b in bits])
-    return summed.select("doc_id", "h", "c", F.array_sort("line_nos").alias("line_nos"), fp.alias("fp"))
+    return summed.select("doc_id", "line_no", "h", "c", fp.alias("fp"))
 
 
 def block_masks() -> list[int]:
-    """Masks of every choice of two blocks, as signed longs."""
-    block = [((1 << 16) - 1) << (16 * i) for i in range(BLOCKS)]
+    """Masks of every choice of BLOCKS - DISTANCE blocks, as signed longs."""
+    edge = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    block = [((1 << (y - x)) - 1) << x for x, y in zip(edge, edge[1:])]
     masks = [sum(chosen) for chosen in combinations(block, BLOCKS - DISTANCE)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs of keys (ah, ac, bh, bc) whose fingerprints differ in DISTANCE bits at most, each pair once.
+def candidates(fps: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in DISTANCE bits at most, each once.
 
     A pair is made only in the first table in which it agrees, and only if it is close: the join writes out links,
-    not the pairs of a block.
+    not the pairs of a block. Its key is a hash of table and block bits; chance agreement is sorted out by the check.
     """
     masks = block_masks()
-    keyed = distinct.select("h", "c", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    a = keyed.select("t", "key", F.col("h").alias("ah"), F.col("c").alias("ac"), F.col("fp").alias("afp"))
-    b = keyed.select("t", "key", F.col("h").alias("bh"), F.col("c").alias("bc"), F.col("fp").alias("bfp"))
-    differ = F.col("afp").bitwiseXOR(F.col("bfp"))
-    first = reduce(lambda rest, x: F.when(differ.bitwiseAND(F.lit(x[1])) == 0, F.lit(x[0])).otherwise(rest), reversed(list(enumerate(masks))), F.lit(-1))
-    ordered = (F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ac") < F.col("bc")))
-    close = ordered & (F.bit_count(differ) <= DISTANCE) & (first == a["t"])
-    return a.join(b, (a["t"] == b["t"]) & (a["key"] == b["key"]) & close).select("ah", "ac", "bh", "bc")
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
+    keyed = fps.select("fp", F.explode(keys).alias("key"))
+    a, b = keyed.select("key", F.col("fp").alias("a")), keyed.select(F.col("key").alias("same"), F.col("fp").alias("b"))
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    first = reduce(lambda rest, x: F.when(differ.bitwiseAND(F.lit(x[1])) == 0, F.xxhash64(F.lit(x[0]), F.col("a").bitwiseAND(F.lit(x[1])))).otherwise(rest), reversed(list(enumerate(masks))), F.lit(0))
+    close = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= DISTANCE) & (first == F.col("key"))
+    return a.join(b, (F.col("key") == F.col("same")) & close).select("a", "b")
 
 
 def signs(words: Column) -> Column:
@@ -82,11 +90,17 @@ def signs(words: Column) -> Column:
 
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Pairs of candidates whose edit similarity, counted in words, is SIMILARITY at least."""
-    pairs = cut(candidates(distinct), "line-pairs")
+    """Pairs of keys (ah, ac, bh, bc) of lines whose fingerprints are close or equal, and whose edit similarity,
+    counted in words, is SIMILARITY at least. distinct: (h, c, fp) of distinct lines."""
+    shared = distinct.groupBy("fp").agg(F.count("*").alias("m"))
+    near = candidates(shared.select("fp")).unionByName(shared.where("m > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    one = distinct.select(F.col("h").alias("ah"), F.col("c").alias("ac"), F.col("fp").alias("a"))
+    two = distinct.select(F.col("h").alias("bh"), F.col("c").alias("bc"), F.col("fp").alias("b"))
+    ordered = (F.col("a") < F.col("b")) | (F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ac") < F.col("bc")))
+    pairs = cut(near.join(one, "a").join(two, "b").where(ordered).select("ah", "ac", "bh", "bc"), "line-pairs")
     keys = cut(pairs.select(F.col("ah").alias("h"), F.col("ac").alias("c")).union(pairs.select("bh", "bc")).distinct(), "line-keys")
     wanted = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    texts = lines(docs).join(wanted, ["h", "c"], "left_semi").select("h", "c", signs(F.col("words")).alias("s")).groupBy("h", "c").agg(F.max("s").alias("s"))
+    texts = lines(docs).join(wanted, ["h", "c"], "left_semi").select("h", "c", signs(F.col("words")).alias("s")).dropDuplicates(["h", "c"])
     texts = cut(texts, "line-texts")
     a, b = (texts.select(F.col("h").alias(f"{x}h"), F.col("c").alias(f"{x}c"), F.col("s").alias(f"{x}s")) for x in "ab")
     longest = F.greatest(F.length("as"), F.length("bs"))
@@ -102,19 +116,16 @@ def dropped(docs: DataFrame) -> DataFrame:
     without a word are never dropped. Rows that share a doc_id count as one document.
     """
     own = cut(fingerprinted(docs), "lines")
-    place = F.struct("doc_id", F.element_at("line_nos", 1).alias("line_no"))
-    distinct = cut(own.groupBy("h", "c").agg(F.min(place).alias("first"), F.max("fp").alias("fp"), F.sum(F.size("line_nos")).alias("n")), "distinct-lines")
-    found = links(docs, distinct)
+    distinct = cut(own.groupBy("h", "c").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("fp").alias("fp"), F.count("*").alias("n")), "distinct-lines")
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
-    roots = components(found.select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")
+    roots = components(links(docs, distinct).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")
     linked = distinct.join(roots, ["h", "c"])
     kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
     grouped = linked.join(kept, "root").select("h", "c", "kept")
     alone = distinct.where("n > 1").join(roots.select("h", "c"), ["h", "c"], "left_anti").select("h", "c", F.col("first").alias("kept"))
     repeated = own.join(grouped.unionByName(alone), ["h", "c"])
-    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))
-    gone = F.filter("line_nos", lambda i: ~(stays & (i == F.col("kept.line_no"))))
-    return repeated.select("doc_id", gone.alias("gone")).where(F.size("gone") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line_no") == F.col("kept.line_no"))
+    return repeated.where(~stays).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

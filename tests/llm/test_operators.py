@@ -123,12 +123,14 @@ def test_line_dedup_exact_and_fuzzy(spark, docs, empty):
     other = prose(rng, 300, string.ascii_lowercase)
     rows = [(1, " ".join(words) + "\n" + other), (2, "  " + " ".join(words).upper() + " \nkeep 12"), (3, " ".join(changed) + "\nkeep 99\n\nnew line"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    fps = {tuple(r.line_nos): r.fp for r in line_dedup.fingerprinted(df.where("doc_id = 1")).collect()}
+    fps = {r.line_no: r.fp for r in line_dedup.fingerprinted(df.where("doc_id = 1")).collect()}
     for i, text in enumerate(rows[0][1].split("\n")):
-        hs = [r.h for r in spark.createDataFrame([(w,) for w in text.split()], "w string").select(F.xxhash64("w").alias("h")).collect()]
+        split = text.split()
+        grams = [split[j : j + 5] for j in range(max(1, len(split) - 4))]
+        hs = [r.h for r in spark.createDataFrame(grams, "a string, b string, c string, d string, e string").select(F.xxhash64("a", "b", "c", "d", "e").alias("h")).collect()]
         bits = [sum(h >> b & 1 for h in hs) * 2 > len(hs) for b in range(64)]
-        assert fps[(i,)] % (1 << 64) == sum(1 << b for b, on in enumerate(bits) if on)
-    near = bin((line_dedup.fingerprinted(df.where("doc_id = 3")).where("line_nos[0] = 0").first().fp ^ fps[(0,)]) % (1 << 64)).count("1") <= line_dedup.DISTANCE
+        assert fps[i] % (1 << 64) == sum(1 << b for b, on in enumerate(bits) if on)
+    near = bin((line_dedup.fingerprinted(df.where("doc_id = 3")).where("line_no = 0").first().fp ^ fps[0]) % (1 << 64)).count("1") <= line_dedup.DISTANCE
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
     assert got[1] == rows[0][1] and got[2] == "keep 12" and got[4] is None
     assert got[3] == ("\nnew line" if near else " ".join(changed) + "\n\nnew line")
@@ -139,8 +141,8 @@ def test_close_lines_are_all_candidates(spark):
     fps = [rng.getrandbits(64) for _ in range(20)]
     fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps for _ in range(3)]
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = [(r.ah, r.bh) for r in line_dedup.candidates(spark.createDataFrame([(i, 0, f) for i, f in enumerate(signed)], "h long, c int, fp long")).collect()]
-    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bin(fps[i] ^ fps[j]).count("1") <= line_dedup.DISTANCE}
+    got = [(r.a, r.b) for r in line_dedup.candidates(spark.createDataFrame([(f,) for f in set(signed)], "fp long")).collect()]
+    want = {tuple(sorted((x, y))) for x in signed for y in signed if x != y and bin((x ^ y) % (1 << 64)).count("1") <= line_dedup.DISTANCE}
     assert sorted(got) == sorted(want)
 
 
