@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .common import by_bytes
 
@@ -119,7 +118,7 @@ def occurrences(w: Words, windows: list[Windows]) -> Iterator[tuple[int, int, li
                 yield int(i), group.size, items
 
 
-FOUND = "n_words long, spans array<struct<first:int,last:int,items:array<long>>>"
+SPANS = "array<struct<first:int,last:int,items:array<long>>>"
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -136,31 +135,30 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, carry: list[Column], size: int = 13) -> DataFrame:
-    """carry columns, n_words and spans (word positions from 0, last included, and the items that occur there).
+    """row (a struct of carry columns), text (binary), n_words and spans (word positions from 0, last included, and
+    the items that occur there).
 
     The benchmark is broadcast in blocks of at most BLOCK_BYTES; each block is one more map over the documents in the
     same stage, so neither its size nor the documents' decides whether this runs. Spans may overlap.
     """
-    spark = docs.sparkSession
-    at = docs.select(F.struct(*carry).alias("row"), F.col("text").cast("string").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:int,last:int,items:array<long>>>").alias("spans"))
+    at = docs.select(F.struct(*carry).alias("row"), F.col("text").cast("string").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"))
     schema = at.schema
     arrow_spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("items", pa.list_(pa.int64()))]))
-    blocks = list(_broadcasts(spark, benchmark, size)) or [spark.sparkContext.broadcast([])]
+    blocks = list(_broadcasts(docs.sparkSession, benchmark, size)) or [docs.sparkSession.sparkContext.broadcast([])]
     for held in blocks:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in by_bytes(whole, 1):
-                    w = words(batch.column(1))
-                    spans = [list(x.as_py()) for x in batch.column(3)]
-                    for i, n, items in occurrences(w, held.value):
-                        doc = int(np.searchsorted(w.first, i, side="right")) - 1
-                        first = i - int(w.first[doc])
-                        spans[doc].append({"first": first, "last": first + n - 1, "items": items})
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(w.first), pa.int64()), pa.array(spans, arrow_spans)], names=["row", "text", "n_words", "spans"])
+            for batch in (part for whole in batches for part in by_bytes(whole, 1)):
+                w = words(batch.column(1))
+                spans = [list(x.as_py()) for x in batch.column(3)]
+                for i, n, items in occurrences(w, held.value):
+                    doc = int(np.searchsorted(w.first, i, side="right")) - 1
+                    first = i - int(w.first[doc])
+                    spans[doc].append({"first": first, "last": first + n - 1, "items": items})
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(w.first), pa.int64()), pa.array(spans, arrow_spans)], names=["row", "text", "n_words", "spans"])
 
         at = at.mapInArrow(run, schema)
-    return at.select("row.*", "n_words", "spans")
+    return at
 
 
 def _broadcasts(spark: SparkSession, benchmark: DataFrame, size: int) -> Iterator[Broadcast]:
@@ -169,26 +167,12 @@ def _broadcasts(spark: SparkSession, benchmark: DataFrame, size: int) -> Iterato
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, carry: list[Column], size: int = 13) -> DataFrame:
-    """carry columns, n_words, n_hit, items (ids with occurring windows, distinct), contaminated, spans."""
-    found = scan(docs, benchmark, [F.struct(*carry).alias("carry")], size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits, items = [], []
-            for n, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                mark = np.zeros(n if spans else 0, bool)
-                for s in spans:
-                    mark[s["first"] : s["last"] + 1] = True
-                hits.append(int(mark.sum()))
-                items.append(sorted({i for s in spans for i in s["items"]}))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["carry", "n_words", "spans", "n_hit", "items"])
-
-    counted = found.mapInArrow(run, _plus(found, "n_hit long, items array<long>"))
-    return counted.select("carry.*", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
-
-
-def _plus(df: DataFrame, more: str) -> StructType:
-    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+    """scan()'s columns, n_hit, items (ids with occurring windows, distinct) and contaminated."""
+    found = scan(docs, benchmark, carry, size)
+    hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))
+    items = F.array_distinct(F.flatten(F.transform("spans", lambda s: s["items"])))
+    counted = found.select("*", F.size(hit).cast("long").alias("n_hit"), items.alias("items"))
+    return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -198,17 +182,22 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeated rows are judged each.
     """
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return judge(docs, benchmark, [F.col("doc_id")]).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+    return judge(docs, benchmark, [F.col("doc_id")]).select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """docs' columns again, of a row without its text and a binary text."""
+    return [F.col("text").cast("string").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; the others stay as they are."""
-    return judge(docs, benchmark, [F.struct(*docs.columns).alias("row")]).where("not contaminated").select("row.*")
+    return judge(docs, benchmark, [F.col(c) for c in docs.columns if c != "text"]).where("not contaminated").select(*_columns(docs))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the hit words cut out of every text, from the first word's start to the last one's end."""
-    found = scan(docs, benchmark, [F.struct(*docs.columns).alias("row"), F.col("text").cast("string").cast("binary").alias("data")])
+    found = scan(docs, benchmark, [F.col(c) for c in docs.columns if c != "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in by_bytes(whole, 1)):
@@ -220,10 +209,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[w.start[lo] - base : w.end[hi] - base] = False
                 out.append(None if data is None else np.frombuffer(data, np.uint8)[keep].tobytes())
                 base += len(data or b"") + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()).cast(pa.string())], names=["row", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["row", "text"])
 
-    cleaned = found.mapInArrow(run, _plus(found.select("row"), "text string"))
-    return cleaned.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return found.mapInArrow(run, found.select("row", "text").schema).select(*_columns(docs))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import cut
+from .common import by_bytes, cut
 
 UNKNOWN = "und"
 
@@ -227,22 +228,20 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def predict(docs: DataFrame, model: Model, *carry: Column) -> DataFrame:
-    """carry columns plus lang_pred and score for every row.
+    """carry columns (as they are named) plus lang_pred and score for every row, and the text that was read.
 
-    Only the text is read. A null text or one without a letter is `und`, score 0; so is every text if no labelled row
+    Only the text decides. A null text or one without a letter is `und`, score 0; so is every text if no labelled row
     was there to learn from. Equal scores go to the language that sorts first.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    kept = docs.select(*carry, F.col("text").cast("string").alias("__text"))
-    names = kept.columns[:-1]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1]) + "lang_pred string, score double"
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(F.struct(*carry).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1, 8 << 20)):
             langs, scores = [], []
-            for text in batch.column(len(names)):
+            for text in batch.column(1):
                 text = text.as_py()
                 if not m.langs or not has_letter(text):
                     langs.append(UNKNOWN)
@@ -252,14 +251,15 @@ def predict(docs: DataFrame, model: Model, *carry: Column) -> DataFrame:
                 p = softmax((tfidf(which, counts, m.idf) @ m.weights[which] + m.bias) / m.temperature)
                 langs.append(m.langs[int(p.argmax())])
                 scores.append(float(p.max()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "text", "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    return predict(docs, fit(docs), F.col("doc_id"), held_out("doc_id").alias("held_out"))
+    told = predict(docs, fit(docs), F.col("doc_id"), held_out("doc_id").alias("held_out"))
+    return told.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
@@ -270,5 +270,6 @@ def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     model = fit(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = predict(docs, model, F.struct(*docs.columns).alias("row"))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
+    told = predict(docs, model, *[F.col(c) for c in docs.columns if c != "text"])
+    kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

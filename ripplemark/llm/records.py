@@ -27,7 +27,7 @@ from .common import by_bytes, scratch
 
 INDEX = "doc_id long, shard int, path string, offset long, bytes long, n_tokens long"
 #: Chunks of text whose ids a Python worker remembers (some 200 bytes each); then only those of its latest batch stay.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 HEAD, BODY = "<QI", "<qBB"
 HEAD_BYTES, BODY_BYTES = struct.calcsize(HEAD), struct.calcsize(BODY)
 

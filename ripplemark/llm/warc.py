@@ -42,11 +42,6 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:x-page:{NO_ID if page_id is None else page_id}>"
 
 
-def page_of(urn: str | None) -> int | None:
-    value = (urn or "").rstrip(">").rpartition(":")[2]
-    return None if value in ("", NO_ID) else int(value)
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     """One gzip member. A revisit has the HTTP header, with the payload's length, but no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -201,18 +196,30 @@ def records(source: pa.NativeFile, start: int, end: int, size: int) -> Iterator[
         at = member[1]
 
 
-READ = "path string, offset long, length long, record_type string, headers map<string,string>, payload binary, payload_bytes long"
+READ = "path string, offset long, length long, record_type string, headers map<string,string>, payload binary, payload_bytes long, payload_digest string"
+
+
+def checked_digest(r: Record) -> str | None:
+    """The payload's SHA-1 in hex: of what was read, which must agree with the header; of a revisit, the header's."""
+    label = r.headers.get("warc-payload-digest", "")
+    named = base64.b32decode(label.partition(":")[2]).hex() if label.startswith("sha1:") else None
+    if r.type == "revisit":
+        return named
+    own = hashlib.sha1(r.payload).hexdigest()
+    if named not in (None, own):
+        raise ValueError(f"{r.headers.get('warc-record-id')}: its payload isn't what its digest says")
+    return own
 
 
-def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of archives (path, bytes), in byte ranges of split_bytes: READ's columns. Any WARC file with a gzip
-    member for each record can be read, not only those of write_warc()."""
+def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
+    """Records of archives (path, bytes), in byte ranges of split_bytes: READ's columns, payload null unless wanted.
+    Any WARC file with a gzip member for each record can be read, not only those of write_warc()."""
     spark: SparkSession = files.sparkSession
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     ranges = files.where("bytes > 0").select("path", "bytes", starts.alias("start"))
     dealt = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64()]
-    names = [x.strip().split()[0] for x in ("path", "offset", "length", "record_type", "headers", "payload", "payload_bytes")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string()]
+    names = ["path", "offset", "length", "record_type", "headers", "payload", "payload_bytes", "payload_digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -224,9 +231,10 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 rows, held = [], 0
                 with store.open_input_file(path) as source:
                     for r in records(source, row["start"], min(row["start"] + split_bytes, row["bytes"]), row["bytes"]):
-                        rows.append((row["path"], r.offset, r.length, r.type, list(r.headers.items()), r.payload, r.payload_bytes))
-                        held += len(r.payload)
-                        if held > 4 << 20 or len(rows) >= 2000:
+                        digest = checked_digest(r)
+                        rows.append((row["path"], r.offset, r.length, r.type, list(r.headers.items()), r.payload if with_payload else None, r.payload_bytes, digest))
+                        held += len(r.payload) if with_payload else 0
+                        if held > 4 << 20 or len(rows) >= 1000:
                             yield packed(rows)
                             rows, held = [], 0
                 yield packed(rows)
@@ -237,23 +245,10 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 def query(pages: DataFrame) -> DataFrame:
     """Write pages as archives in the shared folder and read them back: page_id, payload_bytes, payload_digest,
     record_type, refers_to. A response's digest is that of the payload read; a revisit's is its header's."""
-    spark = pages.sparkSession
-    got = read_warc(write_warc(pages, scratch(spark, "warc")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for kind, headers, payload, size in zip(*(c.to_pylist() for c in batch.columns)):
-                headers = dict(headers)
-                label = headers.get("warc-payload-digest", "")
-                digest = base64.b32decode(label.partition(":")[2]).hex()
-                if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                    raise ValueError(f"{headers.get('warc-record-id')}: its payload isn't what its digest says")
-                out.append((page_of(headers.get("warc-record-id")), size, digest, kind, page_of(headers.get("warc-refers-to"))))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return got.select("record_type", "headers", "payload", "payload_bytes").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    got = read_warc(write_warc(pages, scratch(pages.sparkSession, "warc")), with_payload=False)
+    page = lambda header: F.try_element_at("headers", F.lit(header))
+    number = lambda urn: F.regexp_extract(urn, r":(-?\d+)>$", 1).try_cast("long")
+    return got.select(number(page("warc-record-id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(page("warc-refers-to")).alias("refers_to"))
 
 
 ORACLE = """

@@ -84,7 +84,7 @@ def test_language_id(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in got.values())
     got = langid.query(docs).collect()
     assert len(got) == docs.count()
-    for r in langid.predict(docs, langid.fit(docs), F.col("text")).collect():
+    for r in langid.predict(docs, langid.fit(docs), F.col("doc_id")).collect():
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
     assert langid.query(empty).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
