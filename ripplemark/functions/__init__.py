@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column expressions: text, paths, patterns, timestamps. They serve batch and stream alike."""

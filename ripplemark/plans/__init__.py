@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Queries: the operators wired to the driver's tables, each beside the SQL it equals."""

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import impact, retrieving, scanning
+from .plans.tables import Tables
+
+FAMILIES = [impact, scanning, retrieving]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: (lambda spark, path, f=f: f(Tables(spark, path))) for family in FAMILIES for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}

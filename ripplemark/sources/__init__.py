@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Sources: JSON catalogs, change lines, rules, and the choice among candidate sources."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Event operators as Structured Streaming, with the batch forms they equal."""
