@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluating, impact, retrieving, scanning
+from .plans import cataloging, evaluating, impact, retrieving, scanning
 from .plans.tables import Tables
 
-FAMILIES = [impact, scanning, retrieving, evaluating]
+FAMILIES = [impact, scanning, retrieving, evaluating, cataloging]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
