@@ -1,7 +1,7 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a group.
 
-DataFrame functions only. A line's SimHash is a sum of its words' hash bits, so it is an ordinary aggregation: words
-are exploded and summed per line, two bit counters in one long. Line texts are never shuffled for the search; a second
+DataFrame functions only. A line's SimHash is a sum of its shingles' hash bits, so it is an ordinary aggregation: shingles
+are exploded and summed per line, four bit counters in one long. Line texts are never shuffled for the search; a second
 pass over the documents fetches what the few candidate pairs need.
 """
 
@@ -20,16 +20,22 @@ DISTANCE = 3
 #: Blocks of a fingerprint; close pairs agree in two of them.
 BLOCKS = 5
 SHINGLE = 5
+#: Shingles of a line that are summed together: what a 16-bit counter holds.
+STRETCH = 65_535
 SIMILARITY = 0.8
-#: Keys of candidate lines that are broadcast to the second pass (16 bytes each); more are joined by shuffle.
+#: Candidate lines whose places are broadcast to the second pass (some 30 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 #: A word's stand-in in the edit distance: one of so many characters from this code point on.
 FIRST_SIGN, SIGNS = 0x4E00, 20_000
 
 
 def words(line: Column) -> Column:
-    """A line's normalised words: lower case, digits as 0, parted by white space."""
-    return F.split(F.btrim(F.regexp_replace(F.lower(line), r"\d", "0"), F.lit(" \t\r\f\v")), r"\s+")
+    """A line's normalised words: lower case, digits as 0, parted by white space. Patterns run only on lines that have
+    more than letters and single blanks."""
+    low = F.lower(line)
+    plain = F.when(low.rlike(r"[1-9]"), F.regexp_replace(low, "[1-9]", "0")).otherwise(low)
+    odd = F.contains(plain, F.lit("  ")) | plain.rlike(r"[\t\r\f\x0B]|^ | $")
+    return F.split(F.when(odd, F.btrim(F.regexp_replace(plain, r"\s+", " "))).otherwise(plain), " ")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -42,21 +48,24 @@ def lines(docs: DataFrame) -> DataFrame:
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, h, c, fp of every line that has a word.
 
-    The hashes of a line's SHINGLE-word shingles (of all its words, if it has fewer) are summed bit by bit; a bit of
-    the fingerprint is set if it is in more than half of them. The shingle is cut from the words in the same generated
-    loop that sums it.
+    The hashes of a line's SHINGLE-word shingles (of all its words, if it has fewer) are summed bit by bit, four bits
+    in a long; a bit of the fingerprint is set if it is in more than half of them. The shingle is cut from the words
+    in the same generated loop that sums it. A line of more than STRETCH shingles is summed in stretches, and its
+    fingerprint is the exclusive or of theirs.
     """
-    at = F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
-    each = lines(docs).select("doc_id", "line_no", "h", "c", "words", F.explode(at).alias("i"))
-    hashed = each.select("doc_id", "line_no", "h", "c", F.xxhash64(*[F.get("words", F.col("i") + k) for k in range(SHINGLE)]).alias("w"))
-    counters = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(0x100000001))).alias(f"s{i}") for i in range(32)]
-    summed = hashed.groupBy("doc_id", "line_no", "h", "c").agg(F.count("*").alias("n"), *counters)
+    many = F.size("words") - (SHINGLE - 1)
+    each = lines(docs).select("doc_id", "line_no", "h", "c", "words", (many > STRETCH).alias("long"), F.explode(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0)))).alias("i"))
+    hashed = each.select("doc_id", "line_no", "h", "c", "long", F.floor(F.col("i") / STRETCH).cast("int").alias("part"), F.xxhash64(*[F.get("words", F.col("i") + k) for k in range(SHINGLE)]).alias("w"))
+    counters = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(0x0001000100010001))).alias(f"s{i}") for i in range(16)]
+    summed = hashed.groupBy("doc_id", "line_no", "h", "c", "long", "part").agg(F.count("*").alias("n"), *counters)
     bits = []
-    for i in range(32):
-        low, high = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{i}", 32)
-        bits += [F.when(2 * low > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)), F.when(2 * high > F.col("n"), F.lit((1 << (i + 32)) - (1 << 64 if i == 31 else 0))).otherwise(F.lit(0))]
-    fp = reduce(lambda a, b: a.bitwiseOR(b), [b.cast("long") for b in bits])
-    return summed.select("doc_id", "line_no", "h", "c", fp.alias("fp"))
+    for i in range(16):
+        for lane in range(4):
+            value, bit = F.shiftrightunsigned(f"s{i}", 16 * lane).bitwiseAND(F.lit(0xFFFF)), i + 16 * lane
+            bits.append(F.when(2 * value > F.col("n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    own = cut(summed.select("doc_id", "line_no", "h", "c", "long", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp")), "lines")
+    short = own.where("not long").select("doc_id", "line_no", "h", "c", "fp")
+    return short.unionByName(own.where("long").groupBy("doc_id", "line_no", "h", "c").agg(F.bit_xor("fp").alias("fp")))
 
 
 def block_masks() -> list[int]:
@@ -91,17 +100,21 @@ def signs(words: Column) -> Column:
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Pairs of keys (ah, ac, bh, bc) of lines whose fingerprints are close or equal, and whose edit similarity,
-    counted in words, is SIMILARITY at least. distinct: (h, c, fp) of distinct lines."""
+    counted in words, is SIMILARITY at least. distinct: (h, c, fp, first) of distinct lines."""
     shared = distinct.groupBy("fp").agg(F.count("*").alias("m"))
     near = candidates(shared.select("fp")).unionByName(shared.where("m > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
     one = distinct.select(F.col("h").alias("ah"), F.col("c").alias("ac"), F.col("fp").alias("a"))
     two = distinct.select(F.col("h").alias("bh"), F.col("c").alias("bc"), F.col("fp").alias("b"))
     ordered = (F.col("a") < F.col("b")) | (F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ac") < F.col("bc")))
     pairs = cut(near.join(one, "a").join(two, "b").where(ordered).select("ah", "ac", "bh", "bc"), "line-pairs")
-    keys = cut(pairs.select(F.col("ah").alias("h"), F.col("ac").alias("c")).union(pairs.select("bh", "bc")).distinct(), "line-keys")
-    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    texts = lines(docs).join(wanted, ["h", "c"], "left_semi").select("h", "c", signs(F.col("words")).alias("s")).dropDuplicates(["h", "c"])
-    texts = cut(texts, "line-texts")
+    keys = pairs.select(F.col("ah").alias("h"), F.col("ac").alias("c")).union(pairs.select("bh", "bc")).distinct()
+    places = cut(distinct.join(keys, ["h", "c"], "left_semi").select("h", "c", F.col("first.doc_id").alias("at"), F.col("first.line_no").alias("line_no")), "line-places")
+    wanted = F.broadcast(places) if places.count() <= BROADCAST_KEYS else places
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("at")))
+    found = rows.select("h", "c", words(F.try_element_at(F.split("text", "\n"), F.col("line_no") + 1)).alias("words"))
+    # rows that share an id may differ, so the line is looked at again
+    same = (F.xxhash64("words") == F.col("h")) & (F.hash("words") == F.col("c"))
+    texts = cut(found.where(same).select("h", "c", signs(F.col("words")).alias("s")).dropDuplicates(["h", "c"]), "line-texts")
     a, b = (texts.select(F.col("h").alias(f"{x}h"), F.col("c").alias(f"{x}c"), F.col("s").alias(f"{x}s")) for x in "ab")
     longest = F.greatest(F.length("as"), F.length("bs"))
     allowed = F.floor((1 - SIMILARITY) * longest + 1e-9).cast("int")
@@ -115,7 +128,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     Of each connected group of lines the first occurrence stays: smallest doc_id (null first), then line number. Lines
     without a word are never dropped. Rows that share a doc_id count as one document.
     """
-    own = cut(fingerprinted(docs), "lines")
+    own = fingerprinted(docs)
     distinct = cut(own.groupBy("h", "c").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("fp").alias("fp"), F.count("*").alias("n")), "distinct-lines")
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
     roots = components(links(docs, distinct).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")

@@ -136,6 +136,19 @@ def test_line_dedup_exact_and_fuzzy(spark, docs, empty):
     assert got[3] == ("\nnew line" if near else " ".join(changed) + "\n\nnew line")
 
 
+def test_long_lines_are_summed_in_stretches(spark, monkeypatch):
+    df = spark.createDataFrame([(1, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))), (2, "a b")], "doc_id long, text string")
+    whole = {r.doc_id: r.fp for r in line_dedup.fingerprinted(df).collect()}
+    monkeypatch.setattr(line_dedup, "STRETCH", 20)
+    split = {r.doc_id: r.fp for r in line_dedup.fingerprinted(df).collect()}
+    assert split.keys() == whole.keys() and split[2] == whole[2] and split[1] != whole[1]
+
+
+@pytest.mark.parametrize(("line", "want"), [(" A  b\t1c9 ", ["a", "b", "0c0"]), ("A b", ["a", "b"]), ("a b ", ["a", "b"]), ("\r", [""]), ("x\rY", ["x", "y"]), ("0", ["0"]), ("ÀÉ 5", ["àé", "0"])])
+def test_normalised_words(spark, line, want):
+    assert spark.createDataFrame([(line,)], "x string").select(line_dedup.words(F.col("x"))).first()[0] == want
+
+
 def test_close_lines_are_all_candidates(spark):
     rng = random.Random(11)
     fps = [rng.getrandbits(64) for _ in range(20)]
