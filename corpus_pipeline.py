@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplemark.llm import contamination, langid, mixing, records, simhash
 from ripplemark.llm.common import cut
+from ripplemark.session import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +49,11 @@ def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("language_id", known_language),
-    ("simhash_near_dedup", without_near_copies),
-    ("decontamination", without_benchmark),
-    ("source_mixing", mixed),
-    ("token_records", token_records),
+    ("language_id", _shipped(known_language)),
+    ("simhash_near_dedup", _shipped(without_near_copies)),
+    ("decontamination", _shipped(without_benchmark)),
+    ("source_mixing", _shipped(mixed)),
+    ("token_records", _shipped(token_records)),
 ]
 #: Language prediction, XXH64 fingerprints and tokens have no SQL; tests/llm holds the rows against a plain version.
 ORACLE_SQL = None

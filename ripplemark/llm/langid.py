@@ -30,7 +30,7 @@ class Settings:
     orders: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 16
     sample_rows: int = 1500
-    passes: int = 4
+    passes: int = 8
     shards: int = 6
     alpha: float = 0.5
     beta: float = 1.0
@@ -262,7 +262,7 @@ def query(docs: DataFrame) -> DataFrame:
     return told.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """docs without those whose language can't be told: no letter, or a calibrated score under min_score.
 
     If docs holds no labelled row nothing is learned, and only texts without a letter go.
