@@ -16,10 +16,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, cut
 
-#: Bytes of benchmark text whose windows one broadcast holds; a larger benchmark is scanned for in as many rounds.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text whose windows one broadcast holds (some 500 bytes a window in a worker); a larger benchmark
+#: is scanned for in as many rounds, MAPS of them in a stage.
+BLOCK_BYTES = 1 << 20
+MAPS = 3
 STEP, WORD_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -138,14 +140,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: list[Column], size: int =
     """row (a struct of carry columns), text (binary), n_words and spans (word positions from 0, last included, and
     the items that occur there).
 
-    The benchmark is broadcast in blocks of at most BLOCK_BYTES; each block is one more map over the documents in the
-    same stage, so neither its size nor the documents' decides whether this runs. Spans may overlap.
+    The benchmark is broadcast in blocks of about BLOCK_BYTES; each block is one more map over the documents. After
+    MAPS of them the rows go to the shared folder, so a task never holds more windows than MAPS blocks', however large
+    the benchmark is. Spans may overlap.
     """
     at = docs.select(F.struct(*carry).alias("row"), F.col("text").cast("string").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"))
     schema = at.schema
     arrow_spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("items", pa.list_(pa.int64()))]))
     blocks = list(_broadcasts(docs.sparkSession, benchmark, size)) or [docs.sparkSession.sparkContext.broadcast([])]
-    for held in blocks:
+    for number, held in enumerate(blocks):
+        if number and number % MAPS == 0:
+            at = cut(at, "scan")
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in (part for whole in batches for part in by_bytes(whole, 1)):
