@@ -99,8 +99,8 @@ def silence(rows: DataFrame, findings: DataFrame, allowed: DataFrame, key: str)
     """rows without a finding, and findings that no exception declares. findings, allowed: (key, rule_id)."""
     found = findings.select(key).distinct().withColumn("loud", F.lit(1))
     quiet = rows.join(found, key, "left").agg(F.count("*").alias("n"), F.count_if(F.col("loud").isNull()).alias("silent"))
-    undeclared = findings.join(allowed, [key, "rule_id"], "left_anti").agg(F.count("*").alias("undeclared"))
-    return quiet.crossJoin(undeclared).select("n", "silent", "undeclared", rate(F.col("silent"), F.col("n")).alias("silence_rate"))
+    undeclared = findings.join(allowed, [key, "rule_id"], "left_anti").agg(F.count("*"))
+    return quiet.withColumn("undeclared", undeclared.scalar()).select("n", "silent", "undeclared", rate(F.col("silent"), F.col("n")).alias("silence_rate"))
 
 
 def floored_citations(cited: DataFrame, rules: DataFrame, by: str) -> DataFrame:

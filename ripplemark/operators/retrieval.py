@@ -22,9 +22,9 @@ def terms(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 def idf(counted: DataFrame, key: str) -> DataFrame:
     """(term, df, idf), smoothed: ln((1 + N) / (1 + df)) + 1."""
-    n = counted.select(key).distinct().agg(F.count("*").alias("n"))
-    by_term = counted.groupBy("term").agg(F.count("*").alias("df"))
-    return by_term.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n = counted.select(key).distinct().agg(F.count("*"))
+    by_term = counted.groupBy("term").agg(F.count("*").alias("df")).withColumn("n", n.scalar())
+    return by_term.select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def vectors(counted: DataFrame, weights: DataFrame, key: str) -> DataFrame:
