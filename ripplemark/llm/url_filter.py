@@ -113,8 +113,8 @@ def judge(pages: DataFrame, rules: list[Rule], carry: list[Column], url: str = "
     if len(rules) <= BROADCAST_RULES:
         # the whole index is small: candidates are looked up where the row is, and rows aren't shuffled
         entries = index.groupBy("__token").agg(F.collect_list(F.struct("weight", (-F.col("rule_no")).alias("order"), "action", "name", "host_rule", "regex")).alias("rules"))
-        lookup = F.broadcast(entries.agg(F.map_from_entries(F.collect_list(F.struct("__token", "rules"))).alias("index")))
-        found = rows.join(lookup)
+        lookup = entries.agg(F.map_from_entries(F.collect_list(F.struct("__token", "rules"))))
+        found = rows.withColumn("index", lookup.scalar())
         candidates = F.flatten(F.transform("tokens", lambda t: F.coalesce(F.try_element_at("index", t), F.array())))
         fits = F.filter(candidates, lambda r: F.regexp_like(F.col("__full"), r["regex"]))
         found = found.withColumn("__fits", fits)
@@ -126,7 +126,7 @@ def judge(pages: DataFrame, rules: list[Rule], carry: list[Column], url: str = "
         entry = F.struct("weight", (-F.col("rule_no")).alias("order"), "action", "name")
         ruled = hits.groupBy("__row").agg(F.max(F.when(F.col("host_rule"), entry)).alias("__rule"), F.max(F.when(~F.col("host_rule"), entry)).alias("__pattern"))
         found = rows.join(ruled, "__row", "left")
-    names = [c for c in rows.columns if c not in ("__rest", "__full", "tokens", "__row")]
+    names = [c for c in rows.columns if c not in ("__rest", "__full", "tokens", "__row", "index")]
     return found.select(*names, F.col("__rule.name").alias("rule"), F.coalesce("__rule.action", "__pattern.action", F.lit("allow")).alias("verdict"))
 
 
