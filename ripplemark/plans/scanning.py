@@ -230,14 +230,13 @@ def secret_formats(t: Tables) -> DataFrame:
 
 
 def secret_urls(t: Tables) -> DataFrame:
-    url = F.regexp_extract("text", patterns.URL_CREDENTIALS, 1)
+    url = patterns.url_password(F.col("text"))
     return code(t).where((url != "") & patterns.literal(url, F.lit(True)).isNotNull()).select("path", "line_no")
 
 
 def secret_assignments(t: Tables) -> DataFrame:
-    key = F.regexp_extract("text", patterns.ASSIGNMENT, 1)
-    value = patterns.literal(F.regexp_extract("text", patterns.ASSIGNMENT, 2), patterns.is_config(F.col("path")))
-    return code(t).where((key != "") & ~key.rlike(patterns.DESCRIPTIVE_KEY) & value.isNotNull()).select("path", "line_no", key.alias("key"))
+    value = patterns.assigned_literal(F.col("text"), F.col("path"))
+    return code(t).where(value.isNotNull()).select("path", "line_no", patterns.assigned_key(F.col("text")).alias("key"))
 
 
 def secret_findings(t: Tables) -> DataFrame:
@@ -280,12 +279,12 @@ def missing_entry_anti(t: Tables) -> DataFrame:
 
 
 def report_rows(t: Tables) -> DataFrame:
-    """For each source its findings as lines in order, flattened and cut, and a preview of six paths."""
-    f = scan.all_findings(code(t)).withColumn("folder", F.element_at(F.split(F.translate("path", "\\", "/"), "/"), -2))
-    row = F.struct("path", "rule_id", flat(F.concat_ws(" ", "rule_id", F.lit("in"), "path", F.lit("on   line"), "line_no"), 60).alias("text"))
-    rows = f.groupBy("folder").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.array_sort(F.collect_set("path")).alias("paths"))
-    more = F.when(F.size("paths") > 6, F.concat(F.lit(" +"), (F.size("paths") - 6).cast("string"), F.lit(" more"))).otherwise("")
-    return rows.select("folder", F.size("rows").cast("long").alias("n"), F.sha2(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"), 256).alias("rows_sha256"), F.concat(F.array_join(F.slice("paths", 1, 6), ", "), more).alias("preview"))
+    """For each file its findings as lines in order, flattened and cut, and a preview of six rules."""
+    f = scan.all_findings(code(t))
+    row = F.struct("rule_id", "line_no", flat(F.concat_ws(" ", "rule_id", F.lit("in"), "path", F.lit("on   line"), "line_no"), 60).alias("text"))
+    rows = f.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.array_sort(F.collect_set("rule_id")).alias("rules"))
+    more = F.when(F.size("rules") > 6, F.concat(F.lit(" +"), (F.size("rules") - 6).cast("string"), F.lit(" more"))).otherwise("")
+    return rows.select("path", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("report"), F.concat(F.array_join(F.slice("rules", 1, 6), ", "), more).alias("preview"))
 
 
 def change_summary(t: Tables) -> DataFrame:
@@ -396,10 +395,10 @@ JOIN (SELECT * FROM after WHERE c_custkey NOT IN (SELECT c_custkey FROM before))
     "cross_layer_refs": f"WITH {EDGES}, r AS (SELECT child AS s, parent AS t FROM edges UNION SELECT parent, child FROM edges WHERE parent >= 4000000000) SELECT {label_sql('s')} AS source, {label_sql('t')} AS target FROM r WHERE t // 1000000000 > s // 1000000000",
     "missing_entry_anti": "SELECT source AS pr, doc_id AS name FROM documents WHERE doc_id % 13 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)",
     "report_rows": f"""WITH {_SECRETS}{_LINT},
-f AS (SELECT *, string_split(translate(path, '\\', '/'), '/')[-2] AS folder, trim(regexp_replace(concat_ws(' ', rule_id, 'in', path, 'on   line', line_no), '\\s+', ' ', 'g')) AS t FROM findings),
+f AS (SELECT *, trim(regexp_replace(concat_ws(' ', rule_id, 'in', path, 'on   line', line_no), '\\s+', ' ', 'g')) AS t FROM findings),
 c AS (SELECT *, CASE WHEN length(t) > 60 THEN concat(substr(t, 1, 59), '…') ELSE t END AS text FROM f)
-SELECT folder, count(*) AS n, sha256(string_agg(text, chr(10) ORDER BY path, rule_id, text)) AS rows_sha256,
-  concat(array_to_string(list_sort(list(DISTINCT path))[1:6], ', '), CASE WHEN count(DISTINCT path) > 6 THEN concat(' +', count(DISTINCT path) - 6, ' more') ELSE '' END) AS preview FROM c GROUP BY folder""",
+SELECT path, count(*) AS n, string_agg(text, chr(10) ORDER BY rule_id, line_no, text) AS report,
+  concat(array_to_string(list_sort(list(DISTINCT rule_id))[1:6], ', '), CASE WHEN count(DISTINCT rule_id) > 6 THEN concat(' +', count(DISTINCT rule_id) - 6, ' more') ELSE '' END) AS preview FROM c GROUP BY path""",
     "change_summary": """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat_ws(' ', ['added', 'modified', 'deleted', 'renamed'][doc_id % 4 + 1], CASE WHEN doc_id % 3 = 0 THEN concat('removed column dropped column c', doc_id) END,
   CASE WHEN doc_id % 4 >= 2 THEN 'deleted model renamed rename' END, replace(text, chr(10), ' ')) END AS text FROM documents) SELECT doc_id, sha256(text) AS summary_sha256, length(text) AS n_chars FROM s""",
     "tokens": f"WITH b AS (SELECT item_id, regexp_replace(text, '^(\\w+) (\\w+)', '\\1_\\2') AS text FROM benchmark) SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest({TOKENS_SQL.format('text')}) AS token FROM b) GROUP BY ALL",
