@@ -20,8 +20,8 @@ DISTANCE = 3
 #: Blocks of a fingerprint; close pairs agree in two of them.
 BLOCKS = 5
 SHINGLE = 5
-#: Shingles of a line that are summed together: what a 16-bit counter holds.
-STRETCH = 65_535
+#: Shingles of a line that are summed together: what a 16-bit counter holds with its top bit free.
+STRETCH = 32_767
 SIMILARITY = 0.8
 #: Candidate lines whose places are broadcast to the second pass (some 30 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -33,9 +33,8 @@ def words(line: Column) -> Column:
     """A line's normalised words: lower case, digits as 0, parted by white space. Patterns run only on lines that have
     more than letters and single blanks."""
     low = F.lower(line)
-    plain = F.when(low.rlike(r"[1-9]"), F.regexp_replace(low, "[1-9]", "0")).otherwise(low)
-    odd = F.contains(plain, F.lit("  ")) | plain.rlike(r"[\t\r\f\x0B]|^ | $")
-    return F.split(F.when(odd, F.btrim(F.regexp_replace(plain, r"\s+", " "))).otherwise(plain), " ")
+    clean = F.btrim(F.regexp_replace(F.regexp_replace(low, "[1-9]", "0"), r"\s+", " "))
+    return F.split(F.when(low.rlike(r"[1-9\t\r\f\x0B]|  |^ | $"), clean).otherwise(low), " ")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -58,11 +57,13 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     hashed = each.select("doc_id", "line_no", "h", "c", "long", F.floor(F.col("i") / STRETCH).cast("int").alias("part"), F.xxhash64(*[F.get("words", F.col("i") + k) for k in range(SHINGLE)]).alias("w"))
     counters = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(0x0001000100010001))).alias(f"s{i}") for i in range(16)]
     summed = hashed.groupBy("doc_id", "line_no", "h", "c", "long", "part").agg(F.count("*").alias("n"), *counters)
+    # a counter is over half of n if adding 0x7FFF - n / 2 carries into its top bit; two counters are tried at a time
+    over = (F.lit(0x7FFF) - F.shiftright("n", 1)) * F.lit(0x10001)
     bits = []
     for i in range(16):
-        for lane in range(4):
-            value, bit = F.shiftrightunsigned(f"s{i}", 16 * lane).bitwiseAND(F.lit(0xFFFF)), i + 16 * lane
-            bits.append(F.when(2 * value > F.col("n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+        low, high = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) + over, F.shiftrightunsigned(f"s{i}", 32) + over
+        carried = low.bitwiseAND(F.lit(0x80008000)).bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(0x80008000)), 32))
+        bits.append(F.shiftleft(F.shiftrightunsigned(carried, 15), i))
     own = cut(summed.select("doc_id", "line_no", "h", "c", "long", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp")), "lines")
     short = own.where("not long").select("doc_id", "line_no", "h", "c", "fp")
     return short.unionByName(own.where("long").groupBy("doc_id", "line_no", "h", "c").agg(F.bit_xor("fp").alias("fp")))
