@@ -12,6 +12,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, cut
 
@@ -37,15 +38,21 @@ def words(line: Column) -> Column:
     return F.split(F.when(low.rlike(r"[1-9\t\r\f\x0B]|  |^ | $"), clean).otherwise(low), " ")
 
 
+def identity() -> Column:
+    """With doc_id, what tells a row from others: ids may be null or repeat. Rows that agree in both are copies."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, words, and the key (h, c) of the normalised line, for every line that has a word."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    made = split.select("doc_id", "line_no", words(F.col("line")).alias("words")).where(F.element_at("words", 1) != "")
+    """doc_id, t, line_no, words, and the key (h, c) of the normalised line, for every line that has a word.
+    (doc_id, t) is the row's identity."""
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identity().alias("t"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    made = split.select("doc_id", "t", "line_no", words(F.col("line")).alias("words")).where(F.element_at("words", 1) != "")
     return made.select("*", F.xxhash64("words").alias("h"), F.hash("words").alias("c"))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, h, c, fp of every line that has a word.
+    """doc_id, t, line_no, h, c, fp of every line that has a word; copies of a row are summed apart.
 
     The hashes of a line's SHINGLE-word shingles (of all its words, if it has fewer) are summed bit by bit, four bits
     in a long; a bit of the fingerprint is set if it is in more than half of them. The shingle is cut from the words
@@ -53,10 +60,10 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     fingerprint is the exclusive or of theirs.
     """
     many = F.size("words") - (SHINGLE - 1)
-    each = lines(docs).select("doc_id", "line_no", "h", "c", "words", (many > STRETCH).alias("long"), F.explode(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0)))).alias("i"))
-    hashed = each.select("doc_id", "line_no", "h", "c", "long", F.floor(F.col("i") / STRETCH).cast("int").alias("part"), F.xxhash64(*[F.get("words", F.col("i") + k) for k in range(SHINGLE)]).alias("w"))
+    each = lines(docs).withColumn("copy", F.monotonically_increasing_id()).select("doc_id", "t", "copy", "line_no", "h", "c", "words", (many > STRETCH).alias("long"), F.explode(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0)))).alias("i"))
+    hashed = each.select("doc_id", "t", "copy", "line_no", "h", "c", "long", F.floor(F.col("i") / STRETCH).cast("int").alias("part"), F.xxhash64(*[F.get("words", F.col("i") + k) for k in range(SHINGLE)]).alias("w"))
     counters = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(0x0001000100010001))).alias(f"s{i}") for i in range(16)]
-    summed = hashed.groupBy("doc_id", "line_no", "h", "c", "long", "part").agg(F.count("*").alias("n"), *counters)
+    summed = hashed.groupBy("doc_id", "t", "copy", "line_no", "h", "c", "long", "part").agg(F.count("*").alias("n"), *counters)
     # a counter is over half of n if adding 0x7FFF - n / 2 carries into its top bit; two counters are tried at a time
     over = (F.lit(0x7FFF) - F.shiftright("n", 1)) * F.lit(0x10001)
     bits = []
@@ -64,9 +71,9 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         low, high = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) + over, F.shiftrightunsigned(f"s{i}", 32) + over
         carried = low.bitwiseAND(F.lit(0x80008000)).bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(0x80008000)), 32))
         bits.append(F.shiftleft(F.shiftrightunsigned(carried, 15), i))
-    own = cut(summed.select("doc_id", "line_no", "h", "c", "long", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp")), "lines")
-    short = own.where("not long").select("doc_id", "line_no", "h", "c", "fp")
-    return short.unionByName(own.where("long").groupBy("doc_id", "line_no", "h", "c").agg(F.bit_xor("fp").alias("fp")))
+    own = cut(summed.select("doc_id", "t", "copy", "line_no", "h", "c", "long", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp")), "lines")
+    short = own.where("not long").select("doc_id", "t", "line_no", "h", "c", "fp")
+    return short.unionByName(own.where("long").groupBy("doc_id", "t", "copy", "line_no", "h", "c").agg(F.bit_xor("fp").alias("fp")).drop("copy"))
 
 
 def block_masks() -> list[int]:
@@ -109,11 +116,11 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     ordered = (F.col("a") < F.col("b")) | (F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ac") < F.col("bc")))
     pairs = cut(near.join(one, "a").join(two, "b").where(ordered).select("ah", "ac", "bh", "bc"), "line-pairs")
     keys = pairs.select(F.col("ah").alias("h"), F.col("ac").alias("c")).union(pairs.select("bh", "bc")).distinct()
-    places = cut(distinct.join(keys, ["h", "c"], "left_semi").select("h", "c", F.col("first.doc_id").alias("at"), F.col("first.line_no").alias("line_no")), "line-places")
+    places = cut(distinct.join(keys, ["h", "c"], "left_semi").select("h", "c", F.col("first.t").alias("at"), F.col("first.line_no").alias("line_no")), "line-places")
     wanted = F.broadcast(places) if places.count() <= BROADCAST_KEYS else places
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("at")))
+    rows = docs.select(identity().alias("t"), F.col("text").cast("string").alias("text")).join(wanted, F.col("t") == F.col("at"))
     found = rows.select("h", "c", words(F.try_element_at(F.split("text", "\n"), F.col("line_no") + 1)).alias("words"))
-    # rows that share an id may differ, so the line is looked at again
+    # rows that share a hash may differ, so the line is looked at again
     same = (F.xxhash64("words") == F.col("h")) & (F.hash("words") == F.col("c"))
     texts = cut(found.where(same).select("h", "c", signs(F.col("words")).alias("s")).dropDuplicates(["h", "c"]), "line-texts")
     a, b = (texts.select(F.col("h").alias(f"{x}h"), F.col("c").alias(f"{x}c"), F.col("s").alias(f"{x}s")) for x in "ab")
@@ -124,13 +131,13 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def dropped(docs: DataFrame) -> DataFrame:
-    """doc_id and gone, the numbers (from 0) of lines of which another occurrence stays.
+    """doc_id, t and gone, the numbers (from 0) of lines of which another occurrence stays.
 
-    Of each connected group of lines the first occurrence stays: smallest doc_id (null first), then line number. Lines
-    without a word are never dropped. Rows that share a doc_id count as one document.
+    Of each connected group of lines the first occurrence stays: smallest doc_id (null first), then t, then line
+    number. Lines without a word are never dropped. Copies of a row count as one here.
     """
     own = fingerprinted(docs)
-    distinct = cut(own.groupBy("h", "c").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("fp").alias("fp"), F.count("*").alias("n")), "distinct-lines")
+    distinct = cut(own.groupBy("h", "c").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.max("fp").alias("fp"), F.count("*").alias("n")), "distinct-lines")
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
     roots = components(links(docs, distinct).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")
     linked = distinct.join(roots, ["h", "c"])
@@ -138,24 +145,29 @@ def dropped(docs: DataFrame) -> DataFrame:
     grouped = linked.join(kept, "root").select("h", "c", "kept")
     alone = distinct.where("n > 1").join(roots.select("h", "c"), ["h", "c"], "left_anti").select("h", "c", F.col("first").alias("kept"))
     repeated = own.join(grouped.unionByName(alone), ["h", "c"])
-    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line_no") == F.col("kept.line_no"))
-    return repeated.where(~stays).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("t") == F.col("kept.t")) & (F.col("line_no") == F.col("kept.line_no"))
+    return repeated.where(~stays).groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs (all columns) with repeated lines cut out of text, plus n_lines and n_dropped as a struct named cut.
 
-    A null text stays null and has no lines; an empty one has one line. Texts are shuffled once, by doc_id.
+    A null text stays null and has no lines; an empty one has one line. Of rows with the same doc_id and text one is
+    treated as such, the others lose every line that has a word. Texts are shuffled once, by identity.
     """
-    gone = dropped(docs).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("__doc"))
-    joined = rows.join(gone, F.col("__doc").eqNullSafe(F.col("__id")), "left")
+    gone = dropped(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
+    others = [F.col(f"row.{c}") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"), identity().alias("__t"))
+    copy = F.row_number().over(Window.partitionBy("__id", "__t").orderBy(F.xxhash64(F.lit(0), *others)))
+    joined = rows.join(gone, ["__id", "__t"], "left").withColumn("__copy", copy)
     split = F.split(F.col("row.text").cast("string"), "\n")
-    drop = F.coalesce("__gone", F.array().cast("array<int>"))
-    text = F.when(F.size(drop) == 0, F.col("row.text").cast("string")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(drop, i)), "\n"))
-    counts = F.struct(F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_dropped"))
-    made = joined.select("row", text.alias("text"), F.when(F.col("row.text").isNull(), F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))).otherwise(counts).alias("cut"))
-    return made.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "cut")
+    worded = F.filter(F.sequence(F.lit(0), F.size(split) - 1), lambda i: F.element_at(words(F.get(split, i)), 1) != "")
+    drop = F.when(F.col("__copy") > 1, worded).otherwise(F.coalesce("__gone", F.array().cast("array<int>")))
+    made = joined.select("row", split.alias("split"), drop.alias("drop"))
+    text = F.when(F.size("drop") == 0, F.col("row.text").cast("string")).otherwise(F.array_join(F.filter("split", lambda x, i: ~F.array_contains("drop", i)), "\n"))
+    none = F.lit(0).cast("long")
+    counts = F.when(F.col("row.text").isNull(), F.struct(none.alias("n_lines"), none.alias("n_dropped"))).otherwise(F.struct(F.size("split").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped")))
+    return made.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], counts.alias("cut"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -45,15 +45,17 @@ def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long. A null text is an empty one."""
+    """(doc_id, t, fp) of every row; t is a hash of the text, fp the fingerprint as a signed long. A null text is an
+    empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             made = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), dtype="<u8", count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view("<i8"))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made.view("<i8"))], names=["doc_id", "t", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, t long, fp long")
 
 
 def blocks_for(count: int, distance: int, bits: int = 64) -> int:
@@ -116,6 +118,16 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return small.unionByName(large.groupBy("t", "key", "p", "q").applyInPandas(span, "a long, b long")).distinct()
 
 
+def classed(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """(doc_id, t, fp, root, component_id) for every row of docs; root is the component's smallest fingerprint."""
+    own = cut(fingerprints(docs, shingle), "fingerprints")
+    reps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    roots = components(links(reps.select("fp"), distance)).withColumnRenamed("node", "fp")
+    rooted = reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return own.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "t", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
@@ -124,13 +136,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     keeps its row and gets its component's smallest id (null if it has none). Other columns are ignored. Empty in,
     empty out.
     """
-    own = cut(fingerprints(docs, shingle), "fingerprints")
-    reps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    roots = components(links(reps.select("fp"), distance)).withColumnRenamed("node", "fp")
-    rooted = reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return classed(docs, shingle, distance).select("doc_id", "fp", "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -141,11 +147,15 @@ def query(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """docs without near copies: of each component the row with the smallest doc_id stays, once.
 
-    Among repeated rows of one id, one stays. Rows without an id can't be told apart by it, so they stay. The texts
-    are shuffled once, by doc_id.
+    A row is told by doc_id and text, so an id's texts in other components stay; of an id's texts in one component the
+    one with the smallest hash does. Rows without an id can't be told apart by it, so they stay. The texts are
+    shuffled once, by doc_id and hash.
     """
-    classes = near_duplicates(docs, shingle, distance)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = docs.where("doc_id is not null").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
-    return once.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").unionByName(docs.where("doc_id is null"))
+    own = classed(docs, shingle, distance).where("doc_id is not null").select("doc_id", "t", "root", "component_id")
+    first = own.where("doc_id = component_id").groupBy("root").agg(F.min("t").alias("kept"))
+    other = (F.col("doc_id") != F.col("component_id")) | (F.col("t") != F.col("kept"))
+    gone = own.join(first, "root").where(other).select(F.col("doc_id").alias("__gone"), F.col("t").alias("__gone_t"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__t").orderBy("__t"))
+    once = docs.where("doc_id is not null").withColumn("__t", F.xxhash64(F.col("text").cast("string"))).withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    kept = once.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__t") == F.col("__gone_t")), "left_anti").drop("__t")
+    return kept.unionByName(docs.where("doc_id is null"))
