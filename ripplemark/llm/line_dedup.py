@@ -1,8 +1,9 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a group.
+"""Fuzzy line dedup: lines that share one of their longest words, edit similarity, one occurrence a group.
 
-DataFrame functions only. A line's SimHash is a sum of its shingles' hash bits, so it is an ordinary aggregation: shingles
-are exploded and summed per line, four bit counters in one long. Line texts are never shuffled for the search; a second
-pass over the documents fetches what the few candidate pairs need.
+DataFrame functions only. Every pair of lines with an edit similarity of 0.8 and more (counted in words) is found: lines
+are filed under so many of their words, in one order for all, that similar ones share one. Line texts are never
+shuffled for the search; further passes over the documents fetch what the few candidate pairs need. SimHash
+fingerprints of lines and their pigeonhole blocks (fingerprinted, candidates) find far fewer and aren't used for it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ SHINGLE = 5
 #: Shingles of a line that are summed together: what a 16-bit counter holds with its top bit free.
 STRETCH = 32_767
 SIMILARITY = 0.8
+#: Lines of a block up to which pairs are made at once; a larger block links its lines to one of them before.
+SMALL_BLOCK = 64
+#: Lines of a chunk of a block; a task's group holds two chunks.
+CHUNK = 2000
 #: Candidate lines whose places are broadcast to the second pass (some 30 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 #: A word's stand-in in the edit distance: one of so many characters from this code point on.
@@ -106,15 +111,71 @@ def signs(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
+def features(words: Column) -> Column:
+    """The words of which two similar lines share one at least: a line's longest distinct words, as numbers.
+
+    A line of n words keeps all but n / 5 of them in any line that is similar, and the order (longer words, then hash)
+    is the same everywhere, so one more than n / 5 distinct words are enough. A line with few distinct words gives all
+    of them: its partners may have fewer than that. Long words come first because they are rare.
+    """
+    marks = F.array_distinct(F.transform(words, lambda w: F.shiftleft((127 - F.least(F.length(w), F.lit(127))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))))
+    n, own = F.size(words), F.size(marks)
+    return F.slice(F.sort_array(marks), 1, F.when(own <= 0.45 * n + 1, own).otherwise(F.floor(n / 5).cast("int") + 1))
+
+
+def bitmap(words: Column, seed: int) -> Column:
+    """64 bits, set by the words: an edit changes two of them at most."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(64)).cast("int"))))
+
+
+def chunked(keyed: DataFrame) -> DataFrame:
+    """keyed with the chunk pairs (p, q) of its block that a row belongs to; m is the block's number of rows."""
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    own = keyed.withColumn("chunks", chunks).withColumn("i", F.pmod(F.col("h"), F.col("chunks")).cast("int"))
+    each = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return each.withColumn("p", F.least("i", "j")).withColumn("q", F.greatest("i", "j")).drop("chunks", "i", "j")
+
+
+def may_be_similar(a: str, b: str) -> Column:
+    """Whether word counts and bitmaps of two lines leave room for SIMILARITY."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    edits = F.floor(0.2 * F.greatest(n, m) + 1e-9)
+    apart = lambda x: F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) <= 2 * edits
+    return (F.abs(n - m) <= edits) & apart("u") & apart("v")
+
+
+def named(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n", "u", "v")])
+
+
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Pairs of keys (ah, ac, bh, bc) of lines whose fingerprints are close or equal, and whose edit similarity,
-    counted in words, is SIMILARITY at least. distinct: (h, c, fp, first) of distinct lines."""
-    shared = distinct.groupBy("fp").agg(F.count("*").alias("m"))
-    near = candidates(shared.select("fp")).unionByName(shared.where("m > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    one = distinct.select(F.col("h").alias("ah"), F.col("c").alias("ac"), F.col("fp").alias("a"))
-    two = distinct.select(F.col("h").alias("bh"), F.col("c").alias("bc"), F.col("fp").alias("b"))
-    ordered = (F.col("a") < F.col("b")) | (F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ac") < F.col("bc")))
-    pairs = cut(near.join(one, "a").join(two, "b").where(ordered).select("ah", "ac", "bh", "bc"), "line-pairs")
+    """Pairs of keys (ah, ac, bh, bc) of lines whose edit similarity, counted in words, is SIMILARITY at least; enough
+    of them to connect whatever is similar. distinct: (h, c, first, n, u, v, keys) of distinct lines.
+
+    Large blocks first link their members to one of them. Pairs are then made only between lines that this didn't
+    connect, so a block of N near copies has N links and no pair.
+    """
+    keyed = distinct.where("n >= 4").select("h", "c", "n", "u", "v", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("h", "c", "n", "u", "v")).alias("lead")).where("m > 1")
+    blocks = cut(keyed.join(sizes, "key"), "line-blocks")
+    led = blocks.where(F.col("m") > SMALL_BLOCK).select(*[F.col(x).alias(f"b{x}") for x in ("h", "c", "n", "u", "v")], *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n", "u", "v")])
+    stars = led.where(((F.col("ah") != F.col("bh")) | (F.col("ac") != F.col("bc"))) & may_be_similar("a", "b"))
+    near = cut(verified(docs, distinct, stars.select("ah", "ac", "bh", "bc").distinct()), "line-links")
+
+    key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
+    roots = components(near.select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", F.xxhash64("root").alias("root"))
+    rooted = blocks.drop("lead").join(roots, ["h", "c"], "left").withColumn("root", F.coalesce("root", F.xxhash64(F.struct("h", "c"))))
+    split = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    left = cut(chunked(rooted.join(split, "key", "left_semi")), "line-blocks")
+    a, b = named(left, "a", "key", "p", "q", F.col("root").alias("ar")), named(left, "b", "key", "p", "q", F.col("root").alias("br"))
+    ordered = (F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ac") < F.col("bc")))
+    made = a.join(b, ["key", "p", "q"]).where(ordered & (F.col("ar") != F.col("br")) & may_be_similar("a", "b"))
+    return near.unionByName(verified(docs, distinct, made.select("ah", "ac", "bh", "bc").distinct()))
+
+
+def verified(docs: DataFrame, distinct: DataFrame, made: DataFrame) -> DataFrame:
+    """The pairs (ah, ac, bh, bc) whose edit similarity, counted in words, is SIMILARITY at least."""
+    pairs = cut(made, "line-pairs")
     keys = pairs.select(F.col("ah").alias("h"), F.col("ac").alias("c")).union(pairs.select("bh", "bc")).distinct()
     places = cut(distinct.join(keys, ["h", "c"], "left_semi").select("h", "c", F.col("first.t").alias("at"), F.col("first.line_no").alias("line_no")), "line-places")
     wanted = F.broadcast(places) if places.count() <= BROADCAST_KEYS else places
@@ -136,14 +197,16 @@ def dropped(docs: DataFrame) -> DataFrame:
     Of each connected group of lines the first occurrence stays: smallest doc_id (null first), then t, then line
     number. Lines without a word are never dropped. Copies of a row count as one here.
     """
-    own = fingerprinted(docs)
-    distinct = cut(own.groupBy("h", "c").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.max("fp").alias("fp"), F.count("*").alias("n")), "distinct-lines")
+    made = lines(docs)
+    own = cut(made.select("doc_id", "t", "line_no", "h", "c", F.size("words").alias("n"), bitmap(F.col("words"), 1).alias("u"), bitmap(F.col("words"), 2).alias("v"), features(F.col("words")).alias("keys")), "lines")
+    first = F.min(F.struct("doc_id", "t", "line_no")).alias("first")
+    distinct = cut(own.groupBy("h", "c").agg(first, *[F.first(x).alias(x) for x in ("n", "u", "v", "keys")], F.count("*").alias("times")), "distinct-lines")
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
     roots = components(links(docs, distinct).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")
     linked = distinct.join(roots, ["h", "c"])
     kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
     grouped = linked.join(kept, "root").select("h", "c", "kept")
-    alone = distinct.where("n > 1").join(roots.select("h", "c"), ["h", "c"], "left_anti").select("h", "c", F.col("first").alias("kept"))
+    alone = distinct.where("times > 1").join(roots.select("h", "c"), ["h", "c"], "left_anti").select("h", "c", F.col("first").alias("kept"))
     repeated = own.join(grouped.unionByName(alone), ["h", "c"])
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("t") == F.col("kept.t")) & (F.col("line_no") == F.col("kept.line_no"))
     return repeated.where(~stays).groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("gone"))
