@@ -25,6 +25,8 @@ SHINGLE = 5
 #: Shingles of a line that are summed together: what a 16-bit counter holds with its top bit free.
 STRETCH = 32_767
 SIMILARITY = 0.8
+#: Columns of a line's bitmap.
+BITS = ("u", "v", "y", "z")
 #: Lines of a block up to which pairs are made at once; a larger block links its lines to one of them before.
 SMALL_BLOCK = 64
 #: Lines of a chunk of a block; a task's group holds two chunks.
@@ -111,21 +113,27 @@ def signs(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
-def features(words: Column) -> Column:
-    """The words of which two similar lines share one at least: a line's longest distinct words, as numbers.
+def marks(words: Column) -> Column:
+    """A line's distinct words as numbers, whose order puts longer words first, then goes by hash."""
+    return F.array_distinct(F.transform(words, lambda w: F.shiftleft((127 - F.least(F.length(w), F.lit(127))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))))
 
-    A line of n words keeps all but n / 5 of them in any line that is similar, and the order (longer words, then hash)
-    is the same everywhere, so one more than n / 5 distinct words are enough. A line with few distinct words gives all
-    of them: its partners may have fewer than that. Long words come first because they are rare.
+
+def features(n: Column, marks: Column) -> Column:
+    """The marks of which two similar lines share one at least, out of a line's n words.
+
+    A line keeps all but n / 5 of its words in any line that is similar, and the order is the same everywhere, so one
+    more than n / 5 distinct words are enough. A line with few distinct words gives all of them: its partners may have
+    fewer than that. Long words come first because they are rare.
     """
-    marks = F.array_distinct(F.transform(words, lambda w: F.shiftleft((127 - F.least(F.length(w), F.lit(127))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))))
-    n, own = F.size(words), F.size(marks)
+    own = F.size(marks)
     return F.slice(F.sort_array(marks), 1, F.when(own <= 0.45 * n + 1, own).otherwise(F.floor(n / 5).cast("int") + 1))
 
 
-def bitmap(words: Column, seed: int) -> Column:
-    """64 bits, set by the words: an edit changes two of them at most."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(64)).cast("int"))))
+def bitmap(marks: Column, part: int) -> Column:
+    """64 of the 256 bits that the marks set, each one of them: an edit changes two of the 256 at most."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    own = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3).cast("long")) == part
+    return F.aggregate(marks, F.lit(0).cast("long"), lambda bits, x: F.when(own(x), bits.bitwiseOR(bit(x))).otherwise(bits))
 
 
 def chunked(keyed: DataFrame) -> DataFrame:
@@ -140,37 +148,39 @@ def may_be_similar(a: str, b: str) -> Column:
     """Whether word counts and bitmaps of two lines leave room for SIMILARITY."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
     edits = F.floor(0.2 * F.greatest(n, m) + 1e-9)
-    apart = lambda x: F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) <= 2 * edits
-    return (F.abs(n - m) <= edits) & apart("u") & apart("v")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITS])
+    return (F.abs(n - m) <= edits) & (apart <= 2 * edits)
 
 
 def named(rows: DataFrame, x: str, *more: str) -> DataFrame:
-    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n", "u", "v")])
+    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n", *BITS)])
 
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Pairs of keys (ah, ac, bh, bc) of lines whose edit similarity, counted in words, is SIMILARITY at least; enough
-    of them to connect whatever is similar. distinct: (h, c, first, n, u, v, keys) of distinct lines.
+    of them to connect whatever is similar. distinct: (h, c, first, n, BITS, keys) of distinct lines.
 
     Large blocks first link their members to one of them. Pairs are then made only between lines that this didn't
     connect, so a block of N near copies has N links and no pair.
     """
-    keyed = distinct.where("n >= 4").select("h", "c", "n", "u", "v", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("h", "c", "n", "u", "v")).alias("lead")).where("m > 1")
-    blocks = cut(keyed.join(sizes, "key"), "line-blocks")
-    led = blocks.where(F.col("m") > SMALL_BLOCK).select(*[F.col(x).alias(f"b{x}") for x in ("h", "c", "n", "u", "v")], *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n", "u", "v")])
-    stars = led.where(((F.col("ah") != F.col("bh")) | (F.col("ac") != F.col("bc"))) & may_be_similar("a", "b"))
+    keyed = distinct.where("n >= 4").select("h", "c", "n", *BITS, F.explode("keys").alias("key"))
+    blocks = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "line-blocks")
+    large = blocks.where(F.col("m") > SMALL_BLOCK)
+    lead = large.groupBy("key").agg(F.min(F.struct("h", "c", "n", *BITS)).alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n", *BITS)])
+    stars = named(large, "b", "key").join(lead, "key").where(((F.col("ah") != F.col("bh")) | (F.col("ac") != F.col("bc"))) & may_be_similar("a", "b"))
     near = cut(verified(docs, distinct, stars.select("ah", "ac", "bh", "bc").distinct()), "line-links")
 
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
-    roots = components(near.select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", F.xxhash64("root").alias("root"))
-    rooted = blocks.drop("lead").join(roots, ["h", "c"], "left").withColumn("root", F.coalesce("root", F.xxhash64(F.struct("h", "c"))))
-    split = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = cut(chunked(rooted.join(split, "key", "left_semi")), "line-blocks")
-    a, b = named(left, "a", "key", "p", "q", F.col("root").alias("ar")), named(left, "b", "key", "p", "q", F.col("root").alias("br"))
+    roots = cut(components(near.select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", F.xxhash64("root.h", "root.c").alias("root")), "line-roots")
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_KEYS else roots
+    rooted = blocks.join(roots, ["h", "c"], "left").withColumn("root", F.coalesce("root", F.xxhash64("h", "c")))
+    split = rooted.where(F.col("m") > SMALL_BLOCK).groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     ordered = (F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ac") < F.col("bc")))
-    made = a.join(b, ["key", "p", "q"]).where(ordered & (F.col("ar") != F.col("br")) & may_be_similar("a", "b"))
-    return near.unionByName(verified(docs, distinct, made.select("ah", "ac", "bh", "bc").distinct()))
+    made = []
+    for left in (rooted.where(F.col("m") <= SMALL_BLOCK).withColumns({"p": F.lit(0), "q": F.lit(0)}), chunked(rooted.where(F.col("m") > SMALL_BLOCK).join(split, "key", "left_semi"))):
+        a, b = named(left, "a", "key", "p", "q", F.col("root").alias("ar")), named(left, "b", "key", "p", "q", F.col("root").alias("br"))
+        made.append(a.join(b, ["key", "p", "q"]).where(ordered & (F.col("ar") != F.col("br")) & may_be_similar("a", "b")).select("ah", "ac", "bh", "bc"))
+    return near.unionByName(verified(docs, distinct, made[0].unionByName(made[1]).distinct()))
 
 
 def verified(docs: DataFrame, distinct: DataFrame, made: DataFrame) -> DataFrame:
@@ -197,10 +207,10 @@ def dropped(docs: DataFrame) -> DataFrame:
     Of each connected group of lines the first occurrence stays: smallest doc_id (null first), then t, then line
     number. Lines without a word are never dropped. Copies of a row count as one here.
     """
-    made = lines(docs)
-    own = cut(made.select("doc_id", "t", "line_no", "h", "c", F.size("words").alias("n"), bitmap(F.col("words"), 1).alias("u"), bitmap(F.col("words"), 2).alias("v"), features(F.col("words")).alias("keys")), "lines")
+    made = lines(docs).select("doc_id", "t", "line_no", "h", "c", F.size("words").alias("n"), marks(F.col("words")).alias("marks"))
+    own = cut(made.select("doc_id", "t", "line_no", "h", "c", "n", *[bitmap(F.col("marks"), i).alias(x) for i, x in enumerate(BITS)], features(F.col("n"), F.col("marks")).alias("keys")), "lines")
     first = F.min(F.struct("doc_id", "t", "line_no")).alias("first")
-    distinct = cut(own.groupBy("h", "c").agg(first, *[F.first(x).alias(x) for x in ("n", "u", "v", "keys")], F.count("*").alias("times")), "distinct-lines")
+    distinct = cut(own.groupBy("h", "c").agg(first, *[F.first(x).alias(x) for x in ("n", *BITS, "keys")], F.count("*").alias("times")), "distinct-lines")
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
     roots = components(links(docs, distinct).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")
     linked = distinct.join(roots, ["h", "c"])
