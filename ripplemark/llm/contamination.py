@@ -101,7 +101,7 @@ def index_items(items: list[tuple[int, bytes]], size: int) -> list[Windows]:
     out = []
     for own, by_hash in sorted(found.items()):
         hashes = np.array(sorted(by_hash), np.uint64)
-        out.append(Windows(own, hashes, [{t: sorted(s) for t, s in by_hash[int(h)].items()} for h in hashes]))
+        out.append(Windows(own, hashes, [{t: sorted(s, key=lambda x: (x is not None, x or 0)) for t, s in by_hash[int(h)].items()} for h in hashes]))
     return out
 
 
