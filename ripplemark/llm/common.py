@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..shared import cut, discard, scratch, shared_dir
 
-__all__ = ["by_bytes", "components", "cut", "discard", "running_total", "scratch", "shared_dir"]
+__all__ = ["by_bytes", "components", "cut", "discard", "running_total", "scratch", "shared_dir", "slices"]
 
 
 def running_total(df: DataFrame, group: list[str], chunk: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -80,3 +80,12 @@ def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterat
         end = max(at + 1, int(np.searchsorted(ends, below + limit, side="right")))
         yield batch.slice(at, end - at)
         at = end
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """by_bytes() of every batch of a task; at its end the worker, which lives on, gives Arrow's memory back."""
+    try:
+        for batch in batches:
+            yield from by_bytes(batch, column, limit)
+    finally:
+        pa.default_memory_pool().release_unused()

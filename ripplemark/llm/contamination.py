@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut
+from .common import cut, slices
 
 #: Bytes of benchmark text whose windows one broadcast holds (some 500 bytes a window in a worker); a larger benchmark
 #: is scanned for in as many rounds, MAPS of them in a stage.
@@ -153,7 +153,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: list[Column], size: int =
             at = cut(at, "scan")
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in (part for whole in batches for part in by_bytes(whole, 1)):
+            for batch in slices(batches, 1):
                 w = words(batch.column(1))
                 spans = [list(x.as_py()) for x in batch.column(3)]
                 for i, n, items in occurrences(w, held.value):
@@ -205,7 +205,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = scan(docs, benchmark, [F.col(c) for c in docs.columns if c != "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in by_bytes(whole, 1)):
+        for batch in slices(batches, 1):
             w, out, base = words(batch.column(1)), [], 0
             for i, (data, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())):
                 keep = np.ones(len(data or b""), bool)

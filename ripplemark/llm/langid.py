@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import by_bytes, cut
+from .common import cut, slices
 
 UNKNOWN = "und"
 
@@ -118,7 +118,7 @@ def document_frequencies(rows: DataFrame, s: Settings) -> tuple[np.ndarray, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(s.buckets, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text in batch.column(0):
                 df[grams(text.as_py(), s.orders, s.buckets)[0]] += 1
                 rows += 1
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
     index = {x: i for i, x in enumerate(langs)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0, 1 << 20):
             made = [grams(t.as_py(), s.orders, s.buckets) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([index[x.as_py()] for x in batch.column(1)], pa.int32()), batch.column(2), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([tfidf(*m, idf) for m in made], pa.list_(pa.float32()))],
@@ -239,7 +239,7 @@ def predict(docs: DataFrame, model: Model, *carry: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in (part for whole in batches for part in by_bytes(whole, 1, 8 << 20)):
+        for batch in slices(batches, 1):
             langs, scores = [], []
             for text in batch.column(1):
                 text = text.as_py()

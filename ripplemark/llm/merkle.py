@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, cut
+from .common import cut, slices
 
 PIECE = 4
 BYTES = 16
@@ -100,7 +100,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         def packed(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(types)], names=names)
 
-        for batch in (piece for whole in batches for piece in by_bytes(whole, 1)):
+        for batch in slices(batches, 1):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = tree(text)
@@ -121,7 +121,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     pairs = ends.join(order, F.col("part") == F.col("p")).join(heads, "next_part").select("doc_id", "text", "following")
 
     def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in by_bytes(whole, 1)):
+        for batch in slices(batches, 1):
             out = [(i, *compare(t, tree(t), f, tree(f))) for i, t, f in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate([pa.int64(), *types[4:]])], names=["doc_id", *names[4:]])
 
@@ -138,7 +138,7 @@ def nodes(docs: DataFrame) -> DataFrame:
     kinds = [pa.int32()] * 4 + [pa.string(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in by_bytes(whole, 1, 1 << 20)):
+        for batch in slices(batches, 1, 1 << 20):
             ids, out = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = list(_nodes(text or ""))

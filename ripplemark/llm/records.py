@@ -8,26 +8,31 @@ writes it, so it names only files of tasks that ended well; what a lost executor
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, scratch
+from .common import scratch, slices
 
 INDEX = "doc_id long, shard int, path string, offset long, bytes long, n_tokens long"
-#: Chunks of text whose ids a Python worker remembers (some 200 bytes each); then only those of its latest batch stay.
-REMEMBERED = 500_000
+#: Chunks of text whose ids a Python worker remembers at least, twice as many at most; and the longest that it does. Most
+#: take 200 bytes, so a worker holds 60 MB of them at most.
+REMEMBERED, LONG_CHUNK = 150_000, 64
+#: Bytes of a record file that a task reads at a time.
+READ_BYTES = 4 << 20
 HEAD, BODY = "<QI", "<qBB"
 HEAD_BYTES, BODY_BYTES = struct.calcsize(HEAD), struct.calcsize(BODY)
 
@@ -67,48 +72,80 @@ def unframe(data: bytes | memoryview, at: int = 0) -> tuple[int | None, np.ndarr
     return (None if null else doc_id), np.frombuffer(data, f"<u{width}", (size - BODY_BYTES) // width, begin + BODY_BYTES), end + 4
 
 
-@cache
-def _encoder(path: str, width: int):
-    """bytes of ids for a list of texts, by the tokenizers library.
+# The word_bpe vocabulary's own description of how it cuts a text, as its file has it.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+class _Chunks(dict):
+    """ids of white-space-separated chunks. Two generations: when REMEMBERED chunks are new, those before are let go."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes]) -> None:
+        super().__init__()
+        self.make, self.old = make, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            # a mark after letters is a piece of its own
+            ids = self[chunk[:-1]] + self[chunk[-1]] if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha() else self.make(chunk)
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = ids
+        return ids
+
 
-    The vocabulary splits at white space before anything else, so a text's ids are those of its white-space-separated
-    chunks in a row. Texts of Latin letters and ASCII go through a memory of chunks; new chunks of a batch are encoded
-    together, parted by a special token. Every other text (other scripts, control characters, texts that spell a
-    special token) is encoded as a whole.
+class Encoder:
+    """Bytes of ids (of a width) for texts, by the tokenizers library.
+
+    A vocabulary whose file describes the normalizer and the splitter above splits at white space before anything else
+    and never looks beyond a piece, so a text's ids are those of its pieces in a row. For such a file, pieces of texts
+    of Latin letters and ASCII are given to the library's model one by one, and chunks are remembered. Every other
+    text (other scripts, control characters, texts that spell a special token), and every text for any other file, is
+    encoded as a whole.
     """
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
-    part, part_id = max(special.items(), key=lambda x: x[1]) if special else ("", -1)
-    kind = f"<u{width}"
-    plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
-    spaced = "\\s+" in str(tok.normalizer) and "Lowercase" in str(tok.normalizer) and part
-    known: dict[str, bytes] = {}
-
-    def whole(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, dtype=kind).tobytes()
-
-    def learn(chunks: list[str]) -> None:
-        ids = np.array(tok.encode(part.join(chunks), add_special_tokens=False).ids, dtype=kind)
-        cuts = np.flatnonzero(ids == part_id)
-        for chunk, start, end in zip(chunks, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-            known[chunk] = ids[start:end].tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if not spaced:
-            return [whole(t) for t in texts]
-        split = [t.lower().split() if plain.fullmatch(t) and not any(s in t for s in special) else None for t in texts]
-        fresh = list(set().union(*(s for s in split if s)).difference(known))
-        if len(known) + len(fresh) > REMEMBERED:
-            frequent = {c: known[c] for c in set().union(*(s for s in split if s)) if c in known}
-            known.clear()
-            known.update(frequent)
-        for i in range(0, len(fresh), 4096):
-            learn(fresh[i : i + 4096])
-        return [whole(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
-
-    return encode
+    def __init__(self, path: str, width: int) -> None:
+        from tokenizers import Tokenizer
+
+        self.tok, self.kind = Tokenizer.from_file(path), f"<u{width}"
+        described = json.loads(self.tok.to_str())
+        self.by_piece = described["normalizer"] == NORMALIZER and described["pre_tokenizer"] == SPLITTER and described["model"]["type"] == "BPE"
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
+        self.pieces, self.model, self.packed = regex.compile(PIECES), self.tok.model, {2: "<%dH", 4: "<%dI"}[width]
+        # byte-level spelling: bytes without a visible character of their own are written as those from 256 on
+        hidden = [i for i in range(256) if not (0x21 <= i <= 0x7E or 0xA1 <= i <= 0xFF and i != 0xAD)]
+        self.spelling = {i: 256 + n for n, i in enumerate(hidden)}
+        self.chunks = _Chunks(self.chunk, {})
+
+    def chunk(self, chunk: str) -> bytes:
+        ids = []
+        for piece in [chunk] if chunk.isalpha() else self.pieces.findall(chunk):
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spelling)
+            ids += [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(self.packed % len(ids), *ids)
+
+    def __call__(self, text: str) -> bytes:
+        if not (self.by_piece and self.plain.fullmatch(text)) or any(t in text for t in self.special):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        if len(self.chunks) > REMEMBERED:
+            self.chunks = _Chunks(self.chunk, dict(self.chunks))
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+
+    def forget(self) -> None:
+        self.chunks = _Chunks(self.chunk, {})
+
+
+@cache
+def _encoder(path: str, width: int) -> Encoder:
+    return Encoder(path, width)
 
 
 def vocabulary_size(path: str) -> int:
@@ -136,26 +173,27 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         shard = TaskContext.get().partitionId()
         store, base = pafs.FileSystem.from_uri(f"{folder}/records")
         name, out, offset = f"{shard:06d}-{uuid.uuid4().hex}.bin", None, 0
+        encode = _encoder(tokenizer_path(tokenizer), width)
         try:
-            for whole in batches:
-                for batch in by_bytes(whole, 1):
-                    if out is None:
-                        store.create_dir(base, recursive=True)
-                        out = store.open_output_stream(f"{base}/{name}", compression=None)
-                    doc_ids, sizes, counts, framed = batch.column(0).to_pylist(), [], [], []
-                    for doc_id, ids in zip(doc_ids, _encoder(tokenizer_path(tokenizer), width)(batch.column(1).to_pylist())):
-                        framed.append(frame(payload(doc_id, ids + end, width)))
-                        sizes.append(len(framed[-1]))
-                        counts.append(len(ids) // width + 1)
-                    out.write(b"".join(framed))
-                    starts = offset + np.cumsum([0, *sizes])
-                    offset = int(starts[-1])
-                    n = len(sizes)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), pa.array([shard] * n, pa.int32()), pa.array([f"{folder}/records/{name}"] * n), pa.array(starts[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
-                        names=["doc_id", "shard", "path", "offset", "bytes", "n_tokens"],
-                    )
+            for batch in slices(batches, 1):
+                if out is None:
+                    store.create_dir(base, recursive=True)
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
+                doc_ids, sizes, counts, framed = batch.column(0).to_pylist(), [], [], []
+                for doc_id, ids in zip(doc_ids, (encode(t.as_py()) for t in batch.column(1))):
+                    framed.append(frame(payload(doc_id, ids + end, width)))
+                    sizes.append(len(framed[-1]))
+                    counts.append(len(ids) // width + 1)
+                out.write(b"".join(framed))
+                starts = offset + np.cumsum([0, *sizes])
+                offset = int(starts[-1])
+                n = len(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([shard] * n, pa.int32()), pa.array([f"{folder}/records/{name}"] * n), pa.array(starts[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
+                    names=["doc_id", "shard", "path", "offset", "bytes", "n_tokens"],
+                )
         finally:
+            encode.forget()
             if out is not None:
                 out.close()
 
@@ -194,7 +232,7 @@ def read_in_order(index: DataFrame, with_ids: bool = True) -> DataFrame:
                 start, at, base, data = row["start"], 0, 0, b""
                 with store.open_input_stream(path, compression=None) as source:
                     while base + at < row["bytes"]:
-                        data = data[at:] + source.read(16 << 20)
+                        data = data[at:] + source.read(READ_BYTES)
                         base, at, out = base + at, 0, []
                         while complete(data, at):
                             doc_id, ids, at = unframe(data, at)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut
+from .common import components, cut, slices
 
 #: Expected chance partners of a fingerprint over all block tables, above which finer blocks are used.
 CHANCE_PARTNERS = 8.0
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = batch.column(1).cast(pa.binary())
             made = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), dtype="<u8", count=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made.view("<i8"))], names=["doc_id", "t", "fp"])

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, scratch
+from .common import cut, scratch, slices
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
@@ -84,7 +84,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         name, out, size = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, 0
         store, base = pafs.FileSystem.from_uri(f"{folder}/archives")
         try:
-            for batch in (piece for whole in batches for piece in by_bytes(whole, 2)):
+            for batch in slices(batches, 2):
                 if out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}", compression=None)

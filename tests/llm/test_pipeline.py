@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from test_operators import brute_components, brute_contamination, brute_fingerprint
+from brute import brute_components, brute_contamination, brute_fingerprint
 
 import corpus_pipeline
 from ripplemark.llm import records, registry
