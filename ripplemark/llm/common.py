@@ -14,7 +14,10 @@ from pyspark.sql.window import Window
 
 from ..shared import cut, discard, scratch, shared_dir
 
-__all__ = ["by_bytes", "components", "cut", "discard", "running_total", "scratch", "shared_dir", "slices"]
+#: A key that more than one row in HOT has is joined by broadcast.
+HOT = 1000
+
+__all__ = ["HOT", "by_bytes", "components", "cut", "discard", "join_counted", "running_total", "scratch", "shared_dir", "slices"]
 
 
 def running_total(df: DataFrame, group: list[str], chunk: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -71,6 +74,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = after
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows.join(table, keys), where table has one row for each value of keys and count, how many of the rows have it.
+
+    Values that more than a HOT-th of all total rows have are joined by broadcast (there are HOT at most, as the counts
+    add up to total), so that none of them is one task; the others by shuffle. Null keys match nothing.
+    """
+    hot = table.where(F.col(count) * HOT > total)
+    if not total or hot.isEmpty():
+        return rows.join(table, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(count) * HOT <= total), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about limit bytes of a text column each, one row at least: what a task holds at a time."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

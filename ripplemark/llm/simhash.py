@@ -13,11 +13,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import components, cut, slices
+from .common import components, cut, join_counted, slices
 
 #: Expected chance partners of a fingerprint over all block tables, above which finer blocks are used.
 CHANCE_PARTNERS = 8.0
@@ -92,22 +91,30 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """Links (a, b) among distinct fingerprints (column fp) that connect whatever lies within distance.
 
-    Pairs of small blocks are joined and checked. A block of more than SMALL_BLOCK members is cut into chunks; each
-    pair of chunks is a group that returns a spanning forest of its links, so no block becomes one task and pairs
-    within it aren't written out. Every link's ends are connected, none is lost.
+    Pairs of small blocks are joined and checked. A larger block links its members to its smallest one; if that leaves
+    it in several components, it is cut into chunks, and each pair of chunks is a group that returns a spanning forest
+    of its links. So no block becomes one task, a block of near copies costs a row for each, and no pairs are written
+    out. Every link's ends are connected, none is lost.
     """
     count = fps.count()
     masks = block_masks(blocks_for(count, distance), distance)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lead")).where("n > 1")
     shared = cut(keyed.join(sizes, ["t", "key"]), "blocks")
     x = shared.where(f"n <= {SMALL_BLOCK}").select("t", "key", F.col("fp").alias("a"))
     y = shared.where(f"n <= {SMALL_BLOCK}").select("t", "key", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    small = x.join(y, (x.t == y.t) & (x.key == y.key) & (F.col("a") < F.col("b")) & near).select("a", "b")
-
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    small = x.join(y, (x.t == y.t) & (x.key == y.key) & (F.col("a") < F.col("b")) & close("a", "b")).select("a", "b")
+    rest = shared.where(f"n > {SMALL_BLOCK}")
+    if rest.isEmpty():
+        return small.distinct()
+
+    stars = cut(rest.where((F.col("lead") < F.col("fp")) & close("lead", "fp")).select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct(), "stars")
+    roots = components(stars).withColumnRenamed("node", "fp")
+    rooted = cut(rest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    apart = rooted.groupBy("t", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("t", "key")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = shared.where(f"n > {SMALL_BLOCK}").select("t", "key", "fp", chunks.alias("c"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("i"))
+    own = rooted.join(apart, ["t", "key"], "left_semi").select("t", "key", "fp", chunks.alias("c"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("i"))
     large = own.select("t", "key", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j")).select(
         "t", "key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "fp"
     )
@@ -115,17 +122,27 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     def span(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(forest(pdf["fp"].to_numpy(np.int64), distance), columns=["a", "b"], dtype="int64")
 
-    return small.unionByName(large.groupBy("t", "key", "p", "q").applyInPandas(span, "a long, b long")).distinct()
+    found = large.groupBy("t", "key", "p", "q").applyInPandas(span, "a long, b long")
+    return small.unionByName(stars).unionByName(found).distinct()
 
 
-def classed(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
-    """(doc_id, t, fp, root, component_id) for every row of docs; root is the component's smallest fingerprint."""
+def classed(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame, int]:
+    """own: (doc_id, t, fp) for every row of docs; classes: fp, n (its rows), first (the component's first doc_id, null
+    only if it has none, and of its texts the one with the smallest hash) and rows, the number of rows."""
     own = cut(fingerprints(docs, shingle), "fingerprints")
-    reps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("first")
+    reps = cut(own.groupBy("fp").agg(first, F.count("*").alias("n")), "reps")
     roots = components(links(reps.select("fp"), distance)).withColumnRenamed("node", "fp")
-    rooted = reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return own.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "t", "fp", "root", "component_id")
+    rooted = reps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # a component has fewer fingerprints than a copied text has rows; those without a partner are their own first
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    classes = cut(rooted.join(least, "root").select("fp", "n", F.col("least").alias("first")), "classes")
+    return own, classes, reps.agg(F.sum("n")).first()[0] or 0
+
+
+def key() -> Column:
+    """doc_id as a key that null ids have as well."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -136,7 +153,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     keeps its row and gets its component's smallest id (null if it has none). Other columns are ignored. Empty in,
     empty out.
     """
-    return classed(docs, shingle, distance).select("doc_id", "fp", "component_id")
+    own, classes, rows = classed(docs, shingle, distance)
+    return join_counted(own, classes, ["fp"], "n", rows).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -145,17 +163,21 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays, once.
+    """docs without near copies: of each component one row stays, with the smallest doc_id.
 
-    A row is told by doc_id and text, so an id's texts in other components stay; of an id's texts in one component the
-    one with the smallest hash does. Rows without an id can't be told apart by it, so they stay. The texts are
-    shuffled once, by doc_id and hash.
+    A row is told by doc_id and text. Of an id's texts in one component the one with the smallest hash stays, of equal
+    rows any; an id's texts in other components stay. Rows without an id come after those with one, so they stay only
+    where a component has no id. Texts without a word are near copies of each other. The texts are shuffled once, by
+    doc_id and hash, or not at all if few rows go.
     """
-    own = classed(docs, shingle, distance).where("doc_id is not null").select("doc_id", "t", "root", "component_id")
-    first = own.where("doc_id = component_id").groupBy("root").agg(F.min("t").alias("kept"))
-    other = (F.col("doc_id") != F.col("component_id")) | (F.col("t") != F.col("kept"))
-    gone = own.join(first, "root").where(other).select(F.col("doc_id").alias("__gone"), F.col("t").alias("__gone_t"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__t").orderBy("__t"))
-    once = docs.where("doc_id is not null").withColumn("__t", F.xxhash64(F.col("text").cast("string"))).withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    kept = once.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__t") == F.col("__gone_t")), "left_anti").drop("__t")
-    return kept.unionByName(docs.where("doc_id is null"))
+    own, classes, rows = classed(docs, shingle, distance)
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    told = join_counted(own, classes, ["fp"], "n", rows).select(key().alias("__key"), F.col("t").alias("__t"), kept.alias("kept"))
+    marked = cut(told.groupBy("__key", "__t").agg(F.first("kept").alias("kept"), F.count("*").alias("copies")).where("not kept or copies > 1"), "near-copies")
+    keyed = docs.withColumns({"__key": key(), "__t": F.xxhash64(F.col("text").cast("string"))})
+    left = keyed.join(marked.select("__key", "__t"), ["__key", "__t"], "left_anti").select(*docs.columns)
+    twice = marked.where("kept").select("__key", "__t")
+    if twice.isEmpty():
+        return left
+    once = keyed.join(twice, ["__key", "__t"]).groupBy("__key", "__t").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return left.unionByName(once.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
