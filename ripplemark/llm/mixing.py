@@ -37,7 +37,7 @@ def n_words(text: str = "text") -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """Targets of sources (source, source_size): weights 1, 2, 3, repeating in code-point order, null last.
+    """Targets of sources (source, source_size; more columns are carried): weights 1, 2, 3, repeating in code-point order, null last.
 
     The sources share all words by weight; none gets over MOST times its own, and what is over goes to the others by
     weight. That is a common level: a source gets the lesser of its cap and level x weight. Sources ordered by
@@ -54,7 +54,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     # the first source that doesn't fill up has the level that holds for all after it
     final = level.withColumn("final", F.min(F.struct(F.col("full"), F.col("cap") / F.col("weight"), "source_no", "level")).over(everything))
     return final.select(
-        "source", "source_no", "source_size", F.when(F.col("full") | F.col("final.full"), F.col("cap")).otherwise(F.col("final.level") * F.col("weight")).alias("target")
+        "source", "source_no", "source_size", *[c for c in sizes.columns if c not in ("source", "source_size")], F.when(F.col("full") | F.col("final.full"), F.col("cap")).otherwise(F.col("final.level") * F.col("weight")).alias("target")
     )
 
 
@@ -73,20 +73,20 @@ def mix(docs: DataFrame, block_words: int | None = None, seed: int = 0) -> Mix:
     docs: doc_id, text, source; more columns are ignored. Rows equal in id, source and size are one stretch of words
     and share what it gets evenly (rounded down), so repeated rows agree. A null or wordless text has size 0 and gets
     nothing; a null source is a source. An empty table gives empty results. block_words: by default so many that
-    there are about a million blocks, 256 at most.
+    there are about a million blocks, but 256 at most, so a large corpus has a slot for every 256 words.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
     rows = cut(slim.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")), "mix-rows")
-    sources = cut(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))), "mix-sources")
+    sources = cut(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("source_rows"))), "mix-sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     words = block_words or max(1, min(256, total >> 20))
 
     shuffle = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
     laid = rows.join(F.broadcast(sources) if sources.count() <= 100_000 else sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    # enough chunks of a source that a task sorts some ten thousand rows of it
-    digits = max(1, (rows.count() // 10_000).bit_length() // 4 + 1)
-    laid = laid.withColumn("length", F.col("size") * F.col("copies")).withColumn("mixed", shuffle).withColumn("chunk", F.substring("mixed", 1, digits))
+    # as many chunks of a source as each has rows, so that neither sorting one nor adding up their sums is a large task
+    place = F.conv(F.substring("mixed", 1, 8), 16, 10).cast("long") * F.ceil(F.sqrt("source_rows")).cast("long")
+    laid = laid.withColumn("length", F.col("size") * F.col("copies")).withColumn("mixed", shuffle).withColumn("chunk", F.shiftright(place, 32)).drop("source_rows")
     laid = cut(running_total(laid, ["source_no"], "chunk", [F.col("mixed"), F.col("doc_id"), F.col("size")], "length", "at"), "mix-laid")
 
     blocks = F.ceil(F.col("source_size") / F.lit(words)).cast("long")
