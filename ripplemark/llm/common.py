@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,7 +17,7 @@ from ..shared import cut, discard, scratch, shared_dir
 #: A key that more than one row in HOT has is joined by broadcast.
 HOT = 1000
 
-__all__ = ["HOT", "by_bytes", "components", "cut", "discard", "join_counted", "running_total", "scratch", "shared_dir", "slices"]
+__all__ = ["HOT", "by_bytes", "components", "cut", "discard", "join_counted", "remember", "running_total", "scratch", "shared_dir", "slices"]
 
 
 def running_total(df: DataFrame, group: list[str], chunk: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -98,8 +98,19 @@ def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterat
         at = end
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+#: What a Python worker remembers from task to task, by the kind of task, as functions that let it go.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(kind: str, forget: Callable[[], None]) -> None:
+    """Keep something in this worker for the next tasks of a kind; slices() of any other kind calls forget."""
+    _remembered[kind] = forget
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20, kind: str = "") -> Iterator[pa.RecordBatch]:
     """by_bytes() of every batch of a task; at its end the worker, which lives on, gives Arrow's memory back."""
+    for other in [k for k in _remembered if k != kind]:
+        _remembered.pop(other)()
     try:
         for batch in batches:
             yield from by_bytes(batch, column, limit)

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch, slices
+from .common import remember, scratch, slices
 
 INDEX = "doc_id long, shard int, path string, offset long, bytes long, n_tokens long"
 #: Chunks of text whose ids a Python worker remembers at least, twice as many at most; and the longest that it does. Most
-#: take 200 bytes, so a worker holds 60 MB of them at most.
-REMEMBERED, LONG_CHUNK = 150_000, 64
+#: take 160 bytes, so a worker holds 100 MB of them at most, for as long as its tasks encode.
+REMEMBERED, LONG_CHUNK = 300_000, 64
 #: Bytes of a record file that a task reads at a time.
 READ_BYTES = 4 << 20
 HEAD, BODY = "<QI", "<qBB"
@@ -136,7 +136,8 @@ class Encoder:
         if not (self.by_piece and self.plain.fullmatch(text)) or any(t in text for t in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         if len(self.chunks) > REMEMBERED:
-            self.chunks = _Chunks(self.chunk, dict(self.chunks))
+            self.chunks.old = {}
+            self.chunks = _Chunks(self.chunk, self.chunks)
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
     def forget(self) -> None:
@@ -174,8 +175,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         store, base = pafs.FileSystem.from_uri(f"{folder}/records")
         name, out, offset = f"{shard:06d}-{uuid.uuid4().hex}.bin", None, 0
         encode = _encoder(tokenizer_path(tokenizer), width)
+        remember("records", encode.forget)
         try:
-            for batch in slices(batches, 1):
+            for batch in slices(batches, 1, kind="records"):
                 if out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
@@ -193,7 +195,6 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
                     names=["doc_id", "shard", "path", "offset", "bytes", "n_tokens"],
                 )
         finally:
-            encode.forget()
             if out is not None:
                 out.close()
 
