@@ -1,40 +1,28 @@
-"""Fuzzy line dedup: lines that share one of their longest words, edit similarity, one occurrence a group.
+"""Fuzzy line dedup: lines that share one of their rarest word pairs, edit similarity, one occurrence a group.
 
 DataFrame functions only. Every pair of lines with an edit similarity of 0.8 and more (counted in words) is found: lines
-are filed under so many of their words, in one order for all, that similar ones share one. Line texts are never
-shuffled for the search; further passes over the documents fetch what the few candidate pairs need. SimHash
-fingerprints of lines and their pigeonhole blocks (fingerprinted, candidates) find far fewer and aren't used for it.
+are filed under so many of their pairs of neighbouring words, in one order for all, that similar ones share one
+(prefix filter). SimHash fingerprints in pigeonhole blocks can't do that: at that similarity some 13 of 64 bits differ.
+Line texts are never shuffled for the search; one more pass over the documents fetches the lines of candidate pairs.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut
+from .common import HOT, components, cut, join_counted
 
-#: Fingerprints of linked lines differ in this many bits at most.
-DISTANCE = 3
-#: Blocks of a fingerprint; close pairs agree in two of them.
-BLOCKS = 5
-SHINGLE = 5
-#: Shingles of a line that are summed together: what a 16-bit counter holds with its top bit free.
-STRETCH = 32_767
 SIMILARITY = 0.8
-#: Columns of a line's bitmap.
-BITS = ("u", "v", "y", "z")
 #: Lines of a block up to which pairs are made at once; a larger block links its lines to one of them before.
-SMALL_BLOCK = 64
+SMALL_BLOCK = 16
 #: Lines of a chunk of a block; a task's group holds two chunks.
 CHUNK = 2000
-#: Candidate lines whose places are broadcast to the second pass (some 30 bytes each); more are joined by shuffle.
+#: Candidate lines whose places are broadcast to the pass that fetches them (some 30 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
-#: A word's stand-in in the edit distance: one of so many characters from this code point on.
-FIRST_SIGN, SIGNS = 0x4E00, 20_000
+#: A word's stand-in in the edit distance of two lines: its number among their distinct words, from this code point on.
+FIRST_SIGN, SIGNS = 0x10000, 0x100000
 
 
 def words(line: Column) -> Column:
@@ -58,82 +46,52 @@ def lines(docs: DataFrame) -> DataFrame:
     return made.select("*", F.xxhash64("words").alias("h"), F.hash("words").alias("c"))
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id, t, line_no, h, c, fp of every line that has a word; copies of a row are summed apart.
+def parity(words: Column) -> Column:
+    """64 bits, each the parity of the words that fall to it: an edit changes two of them at most."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
-    The hashes of a line's SHINGLE-word shingles (of all its words, if it has fewer) are summed bit by bit, four bits
-    in a long; a bit of the fingerprint is set if it is in more than half of them. The shingle is cut from the words
-    in the same generated loop that sums it. A line of more than STRETCH shingles is summed in stretches, and its
-    fingerprint is the exclusive or of theirs.
-    """
-    many = F.size("words") - (SHINGLE - 1)
-    each = lines(docs).withColumn("copy", F.monotonically_increasing_id()).select("doc_id", "t", "copy", "line_no", "h", "c", "words", (many > STRETCH).alias("long"), F.explode(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0)))).alias("i"))
-    hashed = each.select("doc_id", "t", "copy", "line_no", "h", "c", "long", F.floor(F.col("i") / STRETCH).cast("int").alias("part"), F.xxhash64(*[F.get("words", F.col("i") + k) for k in range(SHINGLE)]).alias("w"))
-    counters = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(0x0001000100010001))).alias(f"s{i}") for i in range(16)]
-    summed = hashed.groupBy("doc_id", "t", "copy", "line_no", "h", "c", "long", "part").agg(F.count("*").alias("n"), *counters)
-    # a counter is over half of n if adding 0x7FFF - n / 2 carries into its top bit; two counters are tried at a time
-    over = (F.lit(0x7FFF) - F.shiftright("n", 1)) * F.lit(0x10001)
-    bits = []
-    for i in range(16):
-        low, high = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) + over, F.shiftrightunsigned(f"s{i}", 32) + over
-        carried = low.bitwiseAND(F.lit(0x80008000)).bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(0x80008000)), 32))
-        bits.append(F.shiftleft(F.shiftrightunsigned(carried, 15), i))
-    own = cut(summed.select("doc_id", "t", "copy", "line_no", "h", "c", "long", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp")), "lines")
-    short = own.where("not long").select("doc_id", "t", "line_no", "h", "c", "fp")
-    return short.unionByName(own.where("long").groupBy("doc_id", "t", "copy", "line_no", "h", "c").agg(F.bit_xor("fp").alias("fp")).drop("copy"))
-
-
-def block_masks() -> list[int]:
-    """Masks of every choice of BLOCKS - DISTANCE blocks, as signed longs."""
-    edge = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    block = [((1 << (y - x)) - 1) << x for x, y in zip(edge, edge[1:])]
-    masks = [sum(chosen) for chosen in combinations(block, BLOCKS - DISTANCE)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def candidates(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in DISTANCE bits at most, each once.
-
-    A pair is made only in the first table in which it agrees, and only if it is close: the join writes out links,
-    not the pairs of a block. Its key is a hash of table and block bits; chance agreement is sorted out by the check.
-    """
-    masks = block_masks()
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
-    keyed = fps.select("fp", F.explode(keys).alias("key"))
-    a, b = keyed.select("key", F.col("fp").alias("a")), keyed.select(F.col("key").alias("same"), F.col("fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    first = reduce(lambda rest, x: F.when(differ.bitwiseAND(F.lit(x[1])) == 0, F.xxhash64(F.lit(x[0]), F.col("a").bitwiseAND(F.lit(x[1])))).otherwise(rest), reversed(list(enumerate(masks))), F.lit(0))
-    close = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= DISTANCE) & (first == F.col("key"))
-    return a.join(b, (F.col("key") == F.col("same")) & close).select("a", "b")
 
+def features(words: Column) -> Column:
+    """Numbers of word pairs of which two similar lines share one at least. words: an attribute.
 
-def signs(words: Column) -> Column:
-    """One character for each word, so that the edit distance of two such strings counts words."""
-    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(SIGNS)) + FIRST_SIGN), 4, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+    Pairs of neighbours are put in one order for all, longer ones first, as these are rare. An edit takes two of a
+    line's pairs away at most, one if it inserts a word; so lines of n and m words whose edits are a fifth of the
+    longer's words at most keep all but 0.4 n of one's pairs and all but 0.4 m of the other's, and the first common
+    one is among the first 0.4 n + 1 and the first 0.4 m + 1. Repeated pairs count as often as they occur.
+    """
+    n = F.size(words)
+    after = lambda i: F.get(words, i + 1)
+    rank = lambda w, i: F.shiftleft((127 - F.least(F.octet_length(w) + F.octet_length(after(i)), F.lit(127))).cast("long"), 56)
+    pairs = F.transform(F.slice(words, 1, n - 1), lambda w, i: rank(w, i).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w, after(i)), 8)))
+    return F.array_distinct(F.slice(F.sort_array(pairs), 1, F.floor(0.4 * n).cast("int") + 1))
 
 
-def marks(words: Column) -> Column:
-    """A line's distinct words as numbers, whose order puts longer words first, then goes by hash."""
-    return F.array_distinct(F.transform(words, lambda w: F.shiftleft((127 - F.least(F.length(w), F.lit(127))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))))
+def allowed(x: str, y: str) -> Column:
+    """Edits that lines of x and y words may be apart."""
+    return F.floor((1 - SIMILARITY) * F.greatest(x, y) + 1e-9).cast("int")
 
 
-def features(n: Column, marks: Column) -> Column:
-    """The marks of which two similar lines share one at least, out of a line's n words.
+def may_be_similar(a: str, b: str) -> Column:
+    """Whether word counts and parities of two lines leave room for SIMILARITY."""
+    edits = allowed(f"{a}n", f"{b}n")
+    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= edits) & (F.bit_count(F.col(f"{a}x").bitwiseXOR(F.col(f"{b}x"))) <= 2 * edits)
 
-    A line keeps all but n / 5 of its words in any line that is similar, and the order is the same everywhere, so one
-    more than n / 5 distinct words are enough. A line with few distinct words gives all of them: its partners may have
-    fewer than that. Long words come first because they are rare.
-    """
-    own = F.size(marks)
-    return F.slice(F.sort_array(marks), 1, F.when(own <= 0.45 * n + 1, own).otherwise(F.floor(n / 5).cast("int") + 1))
 
+def filed(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
+    """key, h, c, n, x, m and lead for every distinct line and each of its keys that other lines have as well; m is the
+    number of lines under the key, lead the smallest (h).
 
-def bitmap(marks: Column, part: int) -> Column:
-    """64 of the 256 bits that the marks set, each one of them: an edit changes two of the 256 at most."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    own = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3).cast("long")) == part
-    return F.aggregate(marks, F.lit(0).cast("long"), lambda bits, x: F.when(own(x), bits.bitwiseOR(bit(x))).otherwise(bits))
+    Lines that one of HOT has are filed at their first place only, so that no key holds their copies.
+    """
+    often = F.broadcast(distinct.where(F.col("times") * HOT > total).select(F.col("h").alias("oh"), F.col("c").alias("oc"), F.col("first").alias("of")))
+    first = F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("t") == F.col("of.t")) & (F.col("line_no") == F.col("of.line_no"))
+    found = lines(docs).where(F.size("words") >= 4).join(often, (F.col("h") == F.col("oh")) & (F.col("c") == F.col("oc")), "left").where(F.col("oh").isNull() | first)
+    keyed = found.select("h", F.explode(features(F.col("words"))).alias("key"))
+    ordered, whole = Window.partitionBy("key").orderBy("h"), Window.partitionBy("key")
+    once = keyed.withColumn("before", F.lag("h").over(ordered)).where("before is null or before <> h").drop("before")
+    blocks = once.withColumns({"m": F.count("*").over(whole), "lead": F.min("h").over(whole)}).where("m > 1")
+    return blocks.join(distinct.select("h", "c", "n", "x"), "h")
 
 
 def chunked(keyed: DataFrame) -> DataFrame:
@@ -144,30 +102,21 @@ def chunked(keyed: DataFrame) -> DataFrame:
     return each.withColumn("p", F.least("i", "j")).withColumn("q", F.greatest("i", "j")).drop("chunks", "i", "j")
 
 
-def may_be_similar(a: str, b: str) -> Column:
-    """Whether word counts and bitmaps of two lines leave room for SIMILARITY."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    edits = F.floor(0.2 * F.greatest(n, m) + 1e-9)
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITS])
-    return (F.abs(n - m) <= edits) & (apart <= 2 * edits)
-
-
-def named(rows: DataFrame, x: str, *more: str) -> DataFrame:
-    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n", *BITS)])
+def named(rows: DataFrame, x: str, *more: str | Column) -> DataFrame:
+    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n", "x")])
 
 
-def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def links(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
     """Pairs of keys (ah, ac, bh, bc) of lines whose edit similarity, counted in words, is SIMILARITY at least; enough
-    of them to connect whatever is similar. distinct: (h, c, first, n, BITS, keys) of distinct lines.
+    of them to connect whatever is similar. distinct: (h, c, first, times, n, x) of distinct lines.
 
     Large blocks first link their members to one of them. Pairs are then made only between lines that this didn't
     connect, so a block of N near copies has N links and no pair.
     """
-    keyed = distinct.where("n >= 4").select("h", "c", "n", *BITS, F.explode("keys").alias("key"))
-    blocks = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "line-blocks")
+    blocks = cut(filed(docs, distinct, total), "line-blocks")
     large = blocks.where(F.col("m") > SMALL_BLOCK)
-    lead = large.groupBy("key").agg(F.min(F.struct("h", "c", "n", *BITS)).alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n", *BITS)])
-    stars = named(large, "b", "key").join(lead, "key").where(((F.col("ah") != F.col("bh")) | (F.col("ac") != F.col("bc"))) & may_be_similar("a", "b"))
+    leads = large.where("h = lead").groupBy("key").agg(F.min(F.struct("h", "c", "n", "x")).alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n", "x")])
+    stars = named(large, "b", "key").join(leads, "key").where(((F.col("ah") != F.col("bh")) | (F.col("ac") != F.col("bc"))) & may_be_similar("a", "b"))
     near = cut(verified(docs, distinct, stars.select("ah", "ac", "bh", "bc").distinct()), "line-links")
 
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
@@ -184,7 +133,8 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, distinct: DataFrame, made: DataFrame) -> DataFrame:
-    """The pairs (ah, ac, bh, bc) whose edit similarity, counted in words, is SIMILARITY at least."""
+    """The pairs (ah, ac, bh, bc) whose edit similarity, counted in words, is SIMILARITY at least. Words are told apart
+    by their 64-bit hashes."""
     pairs = cut(made, "line-pairs")
     keys = pairs.select(F.col("ah").alias("h"), F.col("ac").alias("c")).union(pairs.select("bh", "bc")).distinct()
     places = cut(distinct.join(keys, ["h", "c"], "left_semi").select("h", "c", F.col("first.t").alias("at"), F.col("first.line_no").alias("line_no")), "line-places")
@@ -193,12 +143,20 @@ def verified(docs: DataFrame, distinct: DataFrame, made: DataFrame) -> DataFrame
     found = rows.select("h", "c", words(F.try_element_at(F.split("text", "\n"), F.col("line_no") + 1)).alias("words"))
     # rows that share a hash may differ, so the line is looked at again
     same = (F.xxhash64("words") == F.col("h")) & (F.hash("words") == F.col("c"))
-    texts = cut(found.where(same).select("h", "c", signs(F.col("words")).alias("s")).dropDuplicates(["h", "c"]), "line-texts")
+    texts = cut(found.where(same).select("h", "c", F.transform("words", lambda w: F.xxhash64(w)).alias("s")).dropDuplicates(["h", "c"]), "line-texts")
     a, b = (texts.select(F.col("h").alias(f"{x}h"), F.col("c").alias(f"{x}c"), F.col("s").alias(f"{x}s")) for x in "ab")
-    longest = F.greatest(F.length("as"), F.length("bs"))
-    allowed = F.floor((1 - SIMILARITY) * longest + 1e-9).cast("int")
     both = pairs.join(a, ["ah", "ac"]).join(b, ["bh", "bc"])
-    return both.where(F.call_function("levenshtein", F.col("as"), F.col("bs"), allowed) >= 0).select("ah", "ac", "bh", "bc")
+    edits = F.floor((1 - SIMILARITY) * F.greatest(F.size("as"), F.size("bs")) + 1e-9).cast("int")
+    close = both.withColumn("edits", edits).where((F.size(F.array_except("as", "bs")) <= F.col("edits")) & (F.size(F.array_except("bs", "as")) <= F.col("edits")))
+    told = close.withColumn("known", F.array_distinct(F.concat("as", "bs")))
+    return told.where(F.call_function("levenshtein", signs("as"), signs("bs"), F.col("edits")) >= 0).select("ah", "ac", "bh", "bc")
+
+
+def signs(line: str) -> Column:
+    """One character for each word, by its place in the column known, so that the edit distance of two such strings
+    counts words. There are SIGNS of them, for lines of up to half a million different words."""
+    code = F.transform(line, lambda w: F.lpad(F.hex(F.pmod(F.array_position("known", w), F.lit(SIGNS)) + FIRST_SIGN), 8, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
 def dropped(docs: DataFrame) -> DataFrame:
@@ -207,27 +165,29 @@ def dropped(docs: DataFrame) -> DataFrame:
     Of each connected group of lines the first occurrence stays: smallest doc_id (null first), then t, then line
     number. Lines without a word are never dropped. Copies of a row count as one here.
     """
-    made = lines(docs).select("doc_id", "t", "line_no", "h", "c", F.size("words").alias("n"), marks(F.col("words")).alias("marks"))
-    own = cut(made.select("doc_id", "t", "line_no", "h", "c", "n", *[bitmap(F.col("marks"), i).alias(x) for i, x in enumerate(BITS)], features(F.col("n"), F.col("marks")).alias("keys")), "lines")
+    own = cut(lines(docs).select("doc_id", "t", "line_no", "h", "c", F.size("words").alias("n"), parity(F.col("words")).alias("x")), "lines")
     first = F.min(F.struct("doc_id", "t", "line_no")).alias("first")
-    distinct = cut(own.groupBy("h", "c").agg(first, *[F.first(x).alias(x) for x in ("n", *BITS, "keys")], F.count("*").alias("times")), "distinct-lines")
+    distinct = cut(own.groupBy("h", "c").agg(first, F.first("n").alias("n"), F.first("x").alias("x"), F.count("*").alias("times")), "distinct-lines")
+    total = own.count()
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
-    roots = components(links(docs, distinct).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")
+    roots = components(links(docs, distinct, total).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")
     linked = distinct.join(roots, ["h", "c"])
     kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
-    grouped = linked.join(kept, "root").select("h", "c", "kept")
-    alone = distinct.where("times > 1").join(roots.select("h", "c"), ["h", "c"], "left_anti").select("h", "c", F.col("first").alias("kept"))
-    repeated = own.join(grouped.unionByName(alone), ["h", "c"])
+    grouped = linked.join(kept, "root").select("h", "c", "times", "kept")
+    alone = distinct.where("times > 1").join(roots.select("h", "c"), ["h", "c"], "left_anti").select("h", "c", "times", F.col("first").alias("kept"))
+    repeated = join_counted(own.select("doc_id", "t", "line_no", "h", "c"), cut(grouped.unionByName(alone), "line-groups"), ["h", "c"], "times", total)
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("t") == F.col("kept.t")) & (F.col("line_no") == F.col("kept.line_no"))
     return repeated.where(~stays).groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (all columns) with repeated lines cut out of text, plus n_lines and n_dropped as a struct named cut.
+    """docs (all columns) with repeated lines cut out of text, plus n_lines and n_dropped as a struct named cut, which
+    takes the place of a column of that name.
 
     A null text stays null and has no lines; an empty one has one line. Of rows with the same doc_id and text one is
     treated as such, the others lose every line that has a word. Texts are shuffled once, by identity.
     """
+    docs = docs.drop("cut")
     gone = dropped(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
     others = [F.col(f"row.{c}") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind]
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"), identity().alias("__t"))
@@ -237,7 +197,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     worded = F.filter(F.sequence(F.lit(0), F.size(split) - 1), lambda i: F.element_at(words(F.get(split, i)), 1) != "")
     drop = F.when(F.col("__copy") > 1, worded).otherwise(F.coalesce("__gone", F.array().cast("array<int>")))
     made = joined.select("row", split.alias("split"), drop.alias("drop"))
-    text = F.when(F.size("drop") == 0, F.col("row.text").cast("string")).otherwise(F.array_join(F.filter("split", lambda x, i: ~F.array_contains("drop", i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "drop")
+    text = F.when(F.size("drop") == 0, F.col("row.text").cast("string")).otherwise(F.array_join(F.transform(left, lambda i: F.get("split", i)), "\n"))
     none = F.lit(0).cast("long")
     counts = F.when(F.col("row.text").isNull(), F.struct(none.alias("n_lines"), none.alias("n_dropped"))).otherwise(F.struct(F.size("split").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped")))
     return made.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], counts.alias("cut"))

@@ -105,12 +105,6 @@ def test_temperature_lowers_the_loss():
 # --- 2
 
 
-def brute_lines(docs):
-    norm = lambda line: re.sub(r"[0-9]", "0", line.lower()).split()
-    at = [(d, i, line) for d, t in dict.fromkeys(docs) if t is not None for i, line in enumerate(t.split("\n"))]
-    return [(d, i, tuple(norm(line))) for d, i, line in at if norm(line)]
-
-
 def test_line_dedup_exact_and_fuzzy(spark, docs, empty):
     got = {(r.doc_id, r.text): (r.cut.n_lines, r.cut.n_dropped) for r in line_dedup.dedup_lines(docs).collect()}
     assert all(t is not None or n == (0, 0) for (_, t), n in got.items())
@@ -123,25 +117,9 @@ def test_line_dedup_exact_and_fuzzy(spark, docs, empty):
     other = prose(rng, 300, string.ascii_lowercase)
     rows = [(1, " ".join(words) + "\n" + other), (2, "  " + " ".join(words).upper() + " \nkeep 12"), (3, " ".join(changed) + "\nkeep 99\n\nnew line"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    fps = {r.line_no: r.fp for r in line_dedup.fingerprinted(df.where("doc_id = 1")).collect()}
-    for i, text in enumerate(rows[0][1].split("\n")):
-        split = text.split()
-        grams = [split[j : j + 5] for j in range(max(1, len(split) - 4))]
-        hs = [r.h for r in spark.createDataFrame(grams, "a string, b string, c string, d string, e string").select(F.xxhash64("a", "b", "c", "d", "e").alias("h")).collect()]
-        bits = [sum(h >> b & 1 for h in hs) * 2 > len(hs) for b in range(64)]
-        assert fps[i] % (1 << 64) == sum(1 << b for b, on in enumerate(bits) if on)
-    near = bin((line_dedup.fingerprinted(df.where("doc_id = 3")).where("line_no = 0").first().fp ^ fps[0]) % (1 << 64)).count("1") <= line_dedup.DISTANCE
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
     assert got[1] == rows[0][1] and got[2] == "keep 12" and got[4] is None
-    assert got[3] == ("\nnew line" if near else " ".join(changed) + "\n\nnew line")
-
-
-def test_long_lines_are_summed_in_stretches(spark, monkeypatch):
-    df = spark.createDataFrame([(1, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))), (2, "a b")], "doc_id long, text string")
-    whole = {r.doc_id: r.fp for r in line_dedup.fingerprinted(df).collect()}
-    monkeypatch.setattr(line_dedup, "STRETCH", 20)
-    split = {r.doc_id: r.fp for r in line_dedup.fingerprinted(df).collect()}
-    assert split.keys() == whole.keys() and split[2] == whole[2] and split[1] != whole[1]
+    assert got[3] == "\nnew line"
 
 
 @pytest.mark.parametrize(("line", "want"), [(" A  b\t1c9 ", ["a", "b", "0c0"]), ("A b", ["a", "b"]), ("a b ", ["a", "b"]), ("\r", [""]), ("x\rY", ["x", "y"]), ("0", ["0"]), ("ÀÉ 5", ["àé", "0"])])
@@ -149,16 +127,6 @@ def test_normalised_words(spark, line, want):
     assert spark.createDataFrame([(line,)], "x string").select(line_dedup.words(F.col("x"))).first()[0] == want
 
 
-def test_close_lines_are_all_candidates(spark):
-    rng = random.Random(11)
-    fps = [rng.getrandbits(64) for _ in range(20)]
-    fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps for _ in range(3)]
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = [(r.a, r.b) for r in line_dedup.candidates(spark.createDataFrame([(f,) for f in set(signed)], "fp long")).collect()]
-    want = {tuple(sorted((x, y))) for x in signed for y in signed if x != y and bin((x ^ y) % (1 << 64)).count("1") <= line_dedup.DISTANCE}
-    assert sorted(got) == sorted(want)
-
-
 # --- 3
 
 

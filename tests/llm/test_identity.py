@@ -2,8 +2,6 @@
 
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from ripplemark.llm import line_dedup, simhash
 
 
@@ -20,14 +18,6 @@ def test_lines_of_rows_that_share_an_id_and_of_copies(spark):
     assert sorted(tuple(r.cut) for r in got if r.doc_id == 2) == [(3, 0), (3, 2), (3, 2)]
 
 
-def test_copies_do_not_overflow_a_fingerprint(spark):
-    line = "one two three four five six seven eight nine ten"
-    alone = spark.createDataFrame([(None, line)], "doc_id long, text string")
-    many = spark.range(11_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(line).alias("text"))
-    want = line_dedup.fingerprinted(alone).first().fp
-    assert {r.fp for r in line_dedup.fingerprinted(many).collect()} == {want}
-
-
 def test_an_id_of_two_components_keeps_both(spark):
     rows = [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta gamma delta epsilon"), (2, "quite another text that nobody copied"), (3, "first text of three"), (3, "second words under three")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
