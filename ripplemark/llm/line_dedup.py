@@ -8,6 +8,9 @@ Line texts are never shuffled for the search; one more pass over the documents f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,16 +24,24 @@ SMALL_BLOCK = 16
 CHUNK = 2000
 #: Candidate lines whose places are broadcast to the pass that fetches them (some 30 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Columns of a line's parities.
+PARITIES = ("x", "y")
 #: A word's stand-in in the edit distance of two lines: its number among their distinct words, from this code point on.
 FIRST_SIGN, SIGNS = 0x10000, 0x100000
 
 
 def words(line: Column) -> Column:
     """A line's normalised words: lower case, digits as 0, parted by white space. Patterns run only on lines that have
-    more than letters and single blanks."""
+    other digits or more than single blanks between words."""
     low = F.lower(line)
+    odd = reduce(lambda x, y: x | y, [F.contains(low, F.lit(c)) for c in ("  ", *"123456789", *"\t\r\f\x0B")])
     clean = F.btrim(F.regexp_replace(F.regexp_replace(low, "[1-9]", "0"), r"\s+", " "))
-    return F.split(F.when(low.rlike(r"[1-9\t\r\f\x0B]|  |^ | $"), clean).otherwise(low), " ")
+    return F.split(F.when(odd | F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" ")), clean).otherwise(low), " ")
+
+
+def worded(line: Column) -> Column:
+    """Whether a line has a word, told from its ends alone."""
+    return F.btrim(line, F.lit(" \t\n\x0B\f\r")) != ""
 
 
 def identity() -> Column:
@@ -42,13 +53,14 @@ def lines(docs: DataFrame) -> DataFrame:
     """doc_id, t, line_no, words, and the key (h, c) of the normalised line, for every line that has a word.
     (doc_id, t) is the row's identity."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identity().alias("t"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    made = split.select("doc_id", "t", "line_no", words(F.col("line")).alias("words")).where(F.element_at("words", 1) != "")
+    made = split.where(worded(F.col("line"))).select("doc_id", "t", "line_no", words(F.col("line")).alias("words"))
     return made.select("*", F.xxhash64("words").alias("h"), F.hash("words").alias("c"))
 
 
-def parity(words: Column) -> Column:
-    """64 bits, each the parity of the words that fall to it: an edit changes two of them at most."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+def parity(words: Column, part: int) -> Column:
+    """64 bits, each the parity of the words that fall to it: an edit changes two of all PARITIES' bits at most."""
+    code = lambda w: F.xxhash64(w).bitwiseAND(F.lit(127).cast("long")).cast("int")
+    bit = lambda w: F.when(F.shiftright(code(w), 6) == part, F.call_function("shiftleft", F.lit(1).cast("long"), code(w).bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long"))
     return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
 
@@ -75,11 +87,12 @@ def allowed(x: str, y: str) -> Column:
 def may_be_similar(a: str, b: str) -> Column:
     """Whether word counts and parities of two lines leave room for SIMILARITY."""
     edits = allowed(f"{a}n", f"{b}n")
-    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= edits) & (F.bit_count(F.col(f"{a}x").bitwiseXOR(F.col(f"{b}x"))) <= 2 * edits)
+    apart = [F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in PARITIES]
+    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= edits) & (apart[0] + apart[1] <= 2 * edits)
 
 
 def filed(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
-    """key, h, c, n, x, m and lead for every distinct line and each of its keys that other lines have as well; m is the
+    """key, h, c, n, PARITIES, m and lead for every distinct line and each of its keys that other lines have as well; m is the
     number of lines under the key, lead the smallest (h).
 
     Lines that one of HOT has are filed at their first place only, so that no key holds their copies.
@@ -91,7 +104,7 @@ def filed(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
     ordered, whole = Window.partitionBy("key").orderBy("h"), Window.partitionBy("key")
     once = keyed.withColumn("before", F.lag("h").over(ordered)).where("before is null or before <> h").drop("before")
     blocks = once.withColumns({"m": F.count("*").over(whole), "lead": F.min("h").over(whole)}).where("m > 1")
-    return blocks.join(distinct.select("h", "c", "n", "x"), "h")
+    return blocks.join(distinct.select("h", "c", "n", *PARITIES), "h")
 
 
 def chunked(keyed: DataFrame) -> DataFrame:
@@ -103,19 +116,19 @@ def chunked(keyed: DataFrame) -> DataFrame:
 
 
 def named(rows: DataFrame, x: str, *more: str | Column) -> DataFrame:
-    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n", "x")])
+    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n", *PARITIES)])
 
 
 def links(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
     """Pairs of keys (ah, ac, bh, bc) of lines whose edit similarity, counted in words, is SIMILARITY at least; enough
-    of them to connect whatever is similar. distinct: (h, c, first, times, n, x) of distinct lines.
+    of them to connect whatever is similar. distinct: (h, c, first, times, n, PARITIES) of distinct lines.
 
     Large blocks first link their members to one of them. Pairs are then made only between lines that this didn't
     connect, so a block of N near copies has N links and no pair.
     """
     blocks = cut(filed(docs, distinct, total), "line-blocks")
     large = blocks.where(F.col("m") > SMALL_BLOCK)
-    leads = large.where("h = lead").groupBy("key").agg(F.min(F.struct("h", "c", "n", "x")).alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n", "x")])
+    leads = large.where("h = lead").groupBy("key").agg(F.min(F.struct("h", "c", "n", *PARITIES)).alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n", *PARITIES)])
     stars = named(large, "b", "key").join(leads, "key").where(((F.col("ah") != F.col("bh")) | (F.col("ac") != F.col("bc"))) & may_be_similar("a", "b"))
     near = cut(verified(docs, distinct, stars.select("ah", "ac", "bh", "bc").distinct()), "line-links")
 
@@ -123,7 +136,7 @@ def links(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
     roots = cut(components(near.select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", F.xxhash64("root.h", "root.c").alias("root")), "line-roots")
     roots = F.broadcast(roots) if roots.count() <= BROADCAST_KEYS else roots
     rooted = blocks.join(roots, ["h", "c"], "left").withColumn("root", F.coalesce("root", F.xxhash64("h", "c")))
-    split = rooted.where(F.col("m") > SMALL_BLOCK).groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    split = rooted.where(F.col("m") > SMALL_BLOCK).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     ordered = (F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ac") < F.col("bc")))
     made = []
     for left in (rooted.where(F.col("m") <= SMALL_BLOCK).withColumns({"p": F.lit(0), "q": F.lit(0)}), chunked(rooted.where(F.col("m") > SMALL_BLOCK).join(split, "key", "left_semi"))):
@@ -139,23 +152,28 @@ def verified(docs: DataFrame, distinct: DataFrame, made: DataFrame) -> DataFrame
     keys = pairs.select(F.col("ah").alias("h"), F.col("ac").alias("c")).union(pairs.select("bh", "bc")).distinct()
     places = cut(distinct.join(keys, ["h", "c"], "left_semi").select("h", "c", F.col("first.t").alias("at"), F.col("first.line_no").alias("line_no")), "line-places")
     wanted = F.broadcast(places) if places.count() <= BROADCAST_KEYS else places
-    rows = docs.select(identity().alias("t"), F.col("text").cast("string").alias("text")).join(wanted, F.col("t") == F.col("at"))
-    found = rows.select("h", "c", words(F.try_element_at(F.split("text", "\n"), F.col("line_no") + 1)).alias("words"))
-    # rows that share a hash may differ, so the line is looked at again
-    same = (F.xxhash64("words") == F.col("h")) & (F.hash("words") == F.col("c"))
-    texts = cut(found.where(same).select("h", "c", F.transform("words", lambda w: F.xxhash64(w)).alias("s")).dropDuplicates(["h", "c"]), "line-texts")
+    rows = docs.select(identity().alias("at"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    found = rows.join(wanted, ["at", "line_no"]).select("h", "c", words(F.col("line")).alias("words"))
+    # rows that share a hash may differ, so the line is looked at again; after cut(), lest the join is made by these hashes
+    again = found.select("h", "c", F.xxhash64("words").alias("is_h"), F.hash("words").alias("is_c"), F.transform("words", lambda w: F.xxhash64(w)).alias("s"))
+    texts = cut(again, "line-texts").where("h = is_h and c = is_c").groupBy("h", "c").agg(F.first("s").alias("s"))
     a, b = (texts.select(F.col("h").alias(f"{x}h"), F.col("c").alias(f"{x}c"), F.col("s").alias(f"{x}s")) for x in "ab")
     both = pairs.join(a, ["ah", "ac"]).join(b, ["bh", "bc"])
     edits = F.floor((1 - SIMILARITY) * F.greatest(F.size("as"), F.size("bs")) + 1e-9).cast("int")
     close = both.withColumn("edits", edits).where((F.size(F.array_except("as", "bs")) <= F.col("edits")) & (F.size(F.array_except("bs", "as")) <= F.col("edits")))
     told = close.withColumn("known", F.array_distinct(F.concat("as", "bs")))
-    return told.where(F.call_function("levenshtein", signs("as"), signs("bs"), F.col("edits")) >= 0).select("ah", "ac", "bh", "bc")
-
-
-def signs(line: str) -> Column:
-    """One character for each word, by its place in the column known, so that the edit distance of two such strings
-    counts words. There are SIGNS of them, for lines of up to half a million different words."""
-    code = F.transform(line, lambda w: F.lpad(F.hex(F.pmod(F.array_position("known", w), F.lit(SIGNS)) + FIRST_SIGN), 8, "0"))
+    # numbers from hashes tell the pair's words apart nearly always; where they don't, words get their place among known
+    hashed, placed = (lambda w: F.pmod(w, F.lit(SIGNS))), (lambda w: F.pmod(F.array_position("known", w), F.lit(SIGNS)))
+    clear = F.size(F.array_distinct(F.transform("known", hashed))) == F.size("known")
+    within = lambda number: F.call_function("levenshtein", signs("as", number), signs("bs", number), F.col("edits")) >= 0
+    return told.where(within(hashed)).where(clear | within(placed)).select("ah", "ac", "bh", "bc")
+
+
+def signs(line: str, number: Callable[[Column], Column]) -> Column:
+    """One character for each word, by its number under SIGNS, so that the edit distance of two such strings counts
+    words. Equal numbers can only make lines look closer. SIGNS places suffice for pairs of lines with a million
+    different words."""
+    code = F.transform(line, lambda w: F.lpad(F.hex(number(w) + FIRST_SIGN), 8, "0"))
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
@@ -165,9 +183,9 @@ def dropped(docs: DataFrame) -> DataFrame:
     Of each connected group of lines the first occurrence stays: smallest doc_id (null first), then t, then line
     number. Lines without a word are never dropped. Copies of a row count as one here.
     """
-    own = cut(lines(docs).select("doc_id", "t", "line_no", "h", "c", F.size("words").alias("n"), parity(F.col("words")).alias("x")), "lines")
+    own = cut(lines(docs).select("doc_id", "t", "line_no", "h", "c", F.size("words").alias("n"), *[parity(F.col("words"), i).alias(x) for i, x in enumerate(PARITIES)]), "lines")
     first = F.min(F.struct("doc_id", "t", "line_no")).alias("first")
-    distinct = cut(own.groupBy("h", "c").agg(first, F.first("n").alias("n"), F.first("x").alias("x"), F.count("*").alias("times")), "distinct-lines")
+    distinct = cut(own.groupBy("h", "c").agg(first, *[F.first(x).alias(x) for x in ("n", *PARITIES)], F.count("*").alias("times")), "distinct-lines")
     total = own.count()
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
     roots = components(links(docs, distinct, total).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")
@@ -194,8 +212,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     copy = F.row_number().over(Window.partitionBy("__id", "__t").orderBy(F.xxhash64(F.lit(0), *others)))
     joined = rows.join(gone, ["__id", "__t"], "left").withColumn("__copy", copy)
     split = F.split(F.col("row.text").cast("string"), "\n")
-    worded = F.filter(F.sequence(F.lit(0), F.size(split) - 1), lambda i: F.element_at(words(F.get(split, i)), 1) != "")
-    drop = F.when(F.col("__copy") > 1, worded).otherwise(F.coalesce("__gone", F.array().cast("array<int>")))
+    every = F.filter(F.transform(split, lambda line, i: F.when(worded(line), i)), lambda i: i.isNotNull())
+    drop = F.when(F.col("__copy") > 1, every).otherwise(F.coalesce("__gone", F.array().cast("array<int>")))
     made = joined.select("row", split.alias("split"), drop.alias("drop"))
     left = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "drop")
     text = F.when(F.size("drop") == 0, F.col("row.text").cast("string")).otherwise(F.array_join(F.transform(left, lambda i: F.get("split", i)), "\n"))
