@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..functions.text import glob_regex
+from ..functions.text import basename, glob_regex, layer
+from .changes import list_name
 
 SEVERITY_RANK = {"low": 0, "medium": 1}
 
@@ -80,14 +81,46 @@ def lint_findings(lines: DataFrame, registry: Registry | None = None) -> DataFra
     return every.groupBy("path", "category", "rule_id", "severity", thing.alias("thing")).agg(F.min_by("what", "line_no").alias("what"), F.min("line_no").alias("line_no")).drop("thing")
 
 
-def all_findings(lines: DataFrame, scope: str = "models/**") -> DataFrame:
-    """Lint findings of files in scope and secrets of every file."""
+def cross_layer_findings(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A finding for each file and node that it refers to in a higher layer. lines: path, line_no, text; nodes: (name, path)."""
+    used = lines.where(basename(F.col("path")).endswith(".sql")).select("path", "line_no", layer(F.col("path")).alias("own_layer"), F.explode(patterns.references(F.col("text"))).alias("name"))
+    ranked = nodes.select("name", layer(F.col("path")).alias("target_layer")).where("target_layer is not null")
+    found = used.where("own_layer is not null").join(ranked, "name").where("target_layer > own_layer")
+    first = found.groupBy("path", F.col("name").alias("what")).agg(F.min("line_no").alias("line_no"))
+    return first.select("path", F.lit("lint").alias("category"), F.lit("cross-layer-reference").alias("rule_id"), F.lit("medium").alias("severity"), "what", "line_no")
+
+
+def missing_entry_findings(lines: DataFrame, documented: DataFrame) -> DataFrame:
+    """A finding for each SQL file whose name neither a list entry of its change set (pr) nor documented (name) has.
+    lines: pr, path, line_no, text."""
+    name = F.regexp_replace(basename(F.translate("path", "\\", "/")), r"\.sql$", "")
+    added = lines.where(F.endswith(F.col("path"), F.lit(".sql"))).groupBy("pr", "path").agg(F.min("line_no").alias("line_no")).withColumn("name", name)
+    here = lines.where(F.col("path").rlike(r"\.ya?ml$")).select("pr", list_name(F.col("text")).alias("name")).where("name is not null")
+    found = missing_entries(added, here, documented)
+    return found.select("path", F.lit("lint").alias("category"), F.lit("missing-schema-entry").alias("rule_id"), F.lit("medium").alias("severity"), F.col("name").alias("what"), "line_no")
+
+
+def all_findings(lines: DataFrame, scope: str = "models/**", nodes: DataFrame | None = None, documented: DataFrame | None = None) -> DataFrame:
+    """Lint findings of files in scope and secrets of every file; with nodes (name, path) and documented (name) also
+    references to higher layers and missing entries."""
     inside = F.translate("path", "\\", "/").rlike(glob_regex(scope))
     lint = lint_findings(lines.where(inside)).select("path", "category", "rule_id", "severity", "what", "line_no")
     secrets = secret_findings(lines).select("path", F.lit("secret").alias("category"), F.col("kind").alias("rule_id"), F.lit("medium").alias("severity"), F.col("preview").alias("what"), "line_no")
+    if nodes is not None:
+        lint = lint.unionByName(cross_layer_findings(lines.where(inside), nodes))
+    if documented is not None:
+        lint = lint.unionByName(missing_entry_findings(lines.where(inside), documented))
     return lint.unionByName(secrets)
 
 
+def by_severity(severity: str = "severity") -> Column:
+    """Rank to sort findings by, the worst first."""
+    rank = F.lit(-1)
+    for name, n in SEVERITY_RANK.items():
+        rank = F.when(F.col(severity) == name, F.lit(n)).otherwise(rank)
+    return F.desc(F.when(F.col(severity) == "high", F.lit(len(SEVERITY_RANK))).otherwise(rank))
+
+
 def layer_breaks(references: DataFrame, ranks: DataFrame) -> DataFrame:
     """Distinct (source, target) of references to a higher layer. references: (source, target); ranks: (id, layer)."""
     own = ranks.select(F.col("id").alias("source"), F.col("layer").alias("own_layer"))
@@ -96,5 +129,5 @@ def layer_breaks(references: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def missing_entries(added: DataFrame, documented_here: DataFrame, documented: DataFrame) -> DataFrame:
-    """Rows of added (pr, name) that neither the same change set nor the catalog documents."""
+    """Rows of added (pr, name and more) that neither the same change set nor the catalog documents."""
     return added.join(documented_here.select("pr", "name").distinct(), ["pr", "name"], "left_anti").join(documented.select("name").distinct(), "name", "left_anti")

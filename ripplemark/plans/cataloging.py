@@ -1,4 +1,4 @@
-"""Queries on catalogs (a JSON document for each nation, made from its customers) and on events."""
+"""Queries on catalogs (JSON documents made from customers) and on events."""
 
 from __future__ import annotations
 
@@ -10,8 +10,13 @@ from ..streaming import events as S
 from .tables import Tables
 
 
+#: Keys that a project spans.
+RUN = 1000
+
+
 def catalogs(t: Tables) -> DataFrame:
-    """Customers are models, with a test each (every third on a pair of columns, every fourth without attached_node);
+    """A project is up to RUN customers of a nation with neighbouring keys, so that documents stay small and grow in number.
+    Customers are models, with a test each (every third on a pair of columns, every fourth without attached_node);
     BUILDING customers have exposures. Even nations have a child map."""
     c = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
     key = F.col("c_custkey").cast("string")
@@ -32,7 +37,8 @@ def catalogs(t: Tables) -> DataFrame:
         F.struct(F.when(pair, "unique_pair").otherwise("unique").alias("name"), F.when(F.col("c_custkey") % 5 == 0, "lib").alias("namespace"), F.struct(F.when(pair, F.array(F.lit("id"), F.lit("name"))).alias("combination_of_columns")).alias("kwargs")).alias("test_metadata"),
     )
     exposure = F.when(F.col("c_mktsegment") == "BUILDING", F.struct(F.concat(F.lit("exposure.p.e"), key).alias("k"), F.struct(F.concat(F.lit("e"), key).alias("name"), F.struct(F.col("c_name").alias("name")).alias("owner"), F.struct(F.array(model).alias("nodes")).alias("depends_on")).alias("v")))
-    grouped = c.groupBy("n_nationkey", "n_name").agg(
+    run = (F.col("n_nationkey") + 100 * F.floor(F.col("c_custkey") / RUN)).cast("long").alias("project")
+    grouped = c.groupBy(run, "n_nationkey", "n_name").agg(
         F.collect_list(F.struct(model.alias("k"), node.alias("v"))).alias("models"), F.collect_list(F.struct(F.concat(F.lit("test.p.t"), key).alias("k"), test.alias("v"))).alias("tests"),
         F.collect_list(exposure).alias("exposures"), F.collect_list(model).alias("ids"),
     )
@@ -45,7 +51,7 @@ def catalogs(t: Tables) -> DataFrame:
     text = F.to_json(doc)
     # tests are nodes too: the two maps of the text become one
     merged = F.regexp_replace(F.regexp_replace(text, r',"tests":\{', r',"tests":{'), r'^(.*?"nodes":\{)(.*),"tests":\{(.*)\}\}$', "$1$3,$2}")
-    return C.parse(grouped.select(F.col("n_nationkey").alias("project"), merged.alias("value")), "value")
+    return C.parse(grouped.select("project", merged.alias("value")), "value")
 
 
 def catalog_scan(t: Tables) -> DataFrame:
@@ -135,25 +141,25 @@ QUERIES = {f.__name__: f for f in (
     catalog_scan, version_gate, node_table, edge_table, column_test_index, column_evidence, head_or_base_text, first_usable_source, latest_artifact_asof, stale_catalogs, asof_catalog,
     event_routing, latest_review_per_key, retracted_reviews, dedupe_events,
 )}
-_C = "c AS (SELECT *, CAST(c_custkey AS VARCHAR) AS k, c_nationkey AS project FROM customer)"
+_C = "c AS (SELECT *, CAST(c_custkey AS VARCHAR) AS k, c_nationkey + 100 * (c_custkey // 1000) AS project FROM customer)"
 _ASOF = """r AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'), f AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'signup' {more}),
 j AS (SELECT r.user_id, r.event_id AS change_id, arg_max(f.event_id, (f.ts, f.event_id)) AS fact_id, max(f.ts) AS fact_at FROM r LEFT JOIN f ON f.user_id = r.user_id AND f.ts <= r.ts GROUP BY ALL)"""
 _REV = "r AS (SELECT event_id AS delivery_id, ts, user_id AS key, value < 20 AS nothing FROM events WHERE event_type NOT IN ('view', 'error')), l AS (SELECT key, arg_max(delivery_id, (ts, delivery_id)) AS delivery_id, max(ts) AS ts, arg_max(nothing, (ts, delivery_id)) AS nothing FROM r GROUP BY key)"
 ORACLES = {
-    "catalog_scan": "SELECT c_nationkey AS project, CAST(c_nationkey % 12 + 5 AS INTEGER) AS version, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * c_nationkey AS generated_at, 2 * count(*) AS nodes, CAST(1 AS BIGINT) AS sources, count(*) FILTER (c_mktsegment = 'BUILDING') AS exposures FROM customer GROUP BY c_nationkey",
-    "version_gate": "SELECT DISTINCT c_nationkey AS project, CAST(c_nationkey % 12 + 5 AS INTEGER) AS version, c_nationkey % 12 + 5 BETWEEN 7 AND 14 AS accepted FROM customer",
+    "catalog_scan": f"WITH {_C} SELECT project, CAST(c_nationkey % 12 + 5 AS INTEGER) AS version, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * c_nationkey AS generated_at, 2 * count(*) AS nodes, CAST(1 AS BIGINT) AS sources, count(*) FILTER (c_mktsegment = 'BUILDING') AS exposures FROM c GROUP BY project, c_nationkey",
+    "version_gate": f"WITH {_C} SELECT DISTINCT project, CAST(c_nationkey % 12 + 5 AS INTEGER) AS version, c_nationkey % 12 + 5 BETWEEN 7 AND 14 AS accepted FROM c",
     "node_table": f"""WITH {_C} SELECT project, concat('model.p.c', k) AS id, c_name AS name, 'model' AS kind, concat('models\\c', k, '.sql') AS path, concat('models/c', k, '.yml') AS patch_path,
   CASE WHEN c_acctbal > 5000 THEN 'incremental' ELSE 'table' END AS materialization, c_acctbal < 0 AS contracted, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'public' ELSE 'protected' END AS access, NULL::VARCHAR AS owner FROM c
 UNION ALL SELECT project, concat('exposure.p.e', k), concat('e', k), 'exposure', NULL, NULL, NULL, false, NULL, c_name FROM c WHERE c_mktsegment = 'BUILDING'
-UNION ALL SELECT DISTINCT project, concat('source.p.n', project), n_name, 'source', NULL, NULL, NULL, false, NULL, NULL FROM c JOIN nation ON n_nationkey = project""",
-    "edge_table": f"""WITH {_C} SELECT project, concat('source.p.n', project) AS parent, concat('model.p.c', k) AS child FROM c
-UNION ALL SELECT project, concat('model.p.c', k), concat('exposure.p.e', k) FROM c WHERE project % 2 = 1 AND c_mktsegment = 'BUILDING'
-UNION ALL SELECT c.project, concat('model.p.c', p.k), concat('model.p.c', c.k) FROM c JOIN c p ON p.c_custkey = c.c_custkey + 1 AND p.project = c.project WHERE c.project % 2 = 1 AND c.c_custkey % 4 = 0""",
+UNION ALL SELECT DISTINCT project, concat('source.p.n', c_nationkey), n_name, 'source', NULL, NULL, NULL, false, NULL, NULL FROM c JOIN nation ON n_nationkey = c_nationkey""",
+    "edge_table": f"""WITH {_C} SELECT project, concat('source.p.n', c_nationkey) AS parent, concat('model.p.c', k) AS child FROM c
+UNION ALL SELECT project, concat('model.p.c', k), concat('exposure.p.e', k) FROM c WHERE c_nationkey % 2 = 1 AND c_mktsegment = 'BUILDING'
+UNION ALL SELECT c.project, concat('model.p.c', p.k), concat('model.p.c', c.k) FROM c JOIN c p ON p.c_custkey = c.c_custkey + 1 AND p.project = c.project WHERE c.c_nationkey % 2 = 1 AND c.c_custkey % 4 = 0""",
     "column_test_index": f"WITH {_C} SELECT project, concat('model.p.c', k) AS node, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'id' END AS column, concat(CASE WHEN c_custkey % 5 = 0 THEN 'lib.' ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN 'unique_pair(id, name)' ELSE 'unique' END) AS tests FROM c",
     "column_evidence": f"""WITH {_C}, x AS (SELECT *, concat(CASE WHEN c_custkey % 5 = 0 THEN 'lib.' ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN 'unique_pair(id, name)' ELSE 'unique' END) AS t FROM c)
 SELECT project, concat('model.p.c', k) AS node, CAST(0 AS INTEGER) AS position, 'id' AS column, CASE WHEN c_custkey % 2 = 0 THEN 'bigint' END AS type, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE t END AS tests, CASE WHEN c_custkey % 3 = 0 THEN t ELSE '' END AS node_tests FROM x
 UNION ALL SELECT project, concat('model.p.c', k), 1, 'name', NULL, '', CASE WHEN c_custkey % 3 = 0 THEN t ELSE '' END FROM x""",
-    "head_or_base_text": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels) THEN 'head' ELSE 'base' END AS version, CAST(least(12000, length(CASE WHEN doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels) THEN concat('-- head ', text) ELSE text END)) AS BIGINT) AS n_chars FROM documents",
+    "head_or_base_text": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels) THEN 'head' ELSE 'base' END AS version, CAST(length(CASE WHEN doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels) THEN concat('-- head ', text) ELSE text END) AS BIGINT) AS n_chars FROM documents",
     "first_usable_source": """WITH e AS (SELECT user_id, event_type AS source, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS p, max(value) >= 60 AS usable FROM events GROUP BY ALL),
 b AS (SELECT user_id, min(p) FILTER (usable) AS best, arg_min(source, p) FILTER (usable) AS source FROM e GROUP BY user_id)
 SELECT b.user_id, b.source, count(*) FILTER (NOT usable AND (best IS NULL OR p < best)) AS refused FROM b JOIN e USING (user_id) GROUP BY ALL""",

@@ -1,4 +1,4 @@
-"""Queries on rules: benchmark items are the rules, English documents the changes."""
+"""Queries on rules: benchmark items are the rules, documents the changes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+from ..functions.text import searchable, tokens
 from ..operators import retrieval as R
+from ..shared import cut
 from .scanning import TOKENS_SQL
 from .tables import NODES, Tables, label, label_sql, nodes
 
@@ -20,17 +22,23 @@ RULES = [
 ]
 
 
+def _rules(t: Tables) -> DataFrame:
+    """rule_id, text and keywords: the text's tokens of twelve letters and more."""
+    long = F.array_distinct(F.filter(tokens(F.col("text")), lambda x: F.length(x) >= 12))
+    return t.benchmark.select(F.col("item_id").alias("rule_id"), "text", long.alias("keywords"))
+
+
 def _rule_terms(t: Tables) -> DataFrame:
-    return R.terms(t.benchmark.select(F.col("item_id").alias("rule_id"), "text"), "rule_id", F.col("text"))
+    return R.terms(_rules(t), "rule_id", searchable(F.col("text"), F.col("keywords")))
 
 
 def _query_terms(t: Tables) -> DataFrame:
-    return R.terms(t.documents.where("lang = 'en'").select(F.col("doc_id").alias("query_id"), "text"), "query_id", F.col("text"))
+    """Written once, as scores, norms and keywords all read it."""
+    return cut(R.terms(t.documents.select(F.col("doc_id").alias("query_id"), "text"), "query_id", F.col("text")), "query-terms")
 
 
 def _keywords(t: Tables) -> DataFrame:
-    """A rule's keywords: its tokens of twelve letters and more."""
-    return _rule_terms(t).where("length(term) >= 12").select("rule_id", F.col("term").alias("keyword"), "term")
+    return _rules(t).select("rule_id", F.explode("keywords").alias("keyword")).withColumn("term", F.col("keyword"))
 
 
 def idf_table(t: Tables) -> DataFrame:
@@ -42,10 +50,10 @@ def tfidf_vectors(t: Tables) -> DataFrame:
     return R.vectors(counted, R.idf(counted, "rule_id"), "rule_id").select("rule_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def _scores(t: Tables) -> DataFrame:
-    rules = _rule_terms(t)
-    weights = R.idf(rules, "rule_id")
-    return R.scores(R.vectors(_query_terms(t), weights, "query_id"), R.vectors(rules, weights, "rule_id"))
+def _scores(t: Tables, queries: DataFrame) -> DataFrame:
+    rules = cut(_rule_terms(t), "rule-terms")
+    weights = cut(R.idf(rules, "rule_id"), "rule-weights")
+    return R.scores(R.vectors(queries, weights, "query_id"), cut(R.vectors(rules, weights, "rule_id"), "rule-vectors"))
 
 
 def keyword_matches(t: Tables) -> DataFrame:
@@ -53,14 +61,15 @@ def keyword_matches(t: Tables) -> DataFrame:
 
 
 def tfidf_topk(t: Tables) -> DataFrame:
-    return R.top_rules(_scores(t), keyword_matches(t)).select("query_id", "rule_id", "rank", "score", "has_keyword")
+    queries = _query_terms(t)
+    return R.top_rules(_scores(t, queries), R.keyword_hits(queries, _keywords(t))).select("query_id", "rule_id", "rank", "score", "has_keyword")
 
 
 def union_topk(t: Tables) -> DataFrame:
     """Rules of a change set (a source): each rule's best score over its documents, ranked anew."""
-    sets = t.documents.select(F.col("doc_id").alias("query_id"), "source")
-    best = _scores(t).join(sets, "query_id").groupBy("source", "rule_id").agg(F.max("score").alias("score"))
-    hits = keyword_matches(t).join(sets, "query_id").groupBy("source", "rule_id").agg(F.sum("hits").alias("hits"))
+    queries, sets = _query_terms(t), t.documents.select(F.col("doc_id").alias("query_id"), "source")
+    best = _scores(t, queries).join(sets, "query_id").groupBy("source", "rule_id").agg(F.max("score").alias("score"))
+    hits = R.keyword_hits(queries, _keywords(t)).join(sets, "query_id").groupBy("source", "rule_id").agg(F.sum("hits").alias("hits"))
     return R.top_rules(best, hits, "source").select("source", "rule_id", "rank", "score")
 
 
@@ -69,12 +78,18 @@ def _changed(t: Tables) -> DataFrame:
     return nodes(t).select(label("id").alias("node"), "kind", "access", "contracted", "materialization", path.alias("path"))
 
 
+def _rule_rows(t: Tables) -> list[dict]:
+    """The rules as a table of rows, loaded and checked."""
+    given = t.spark.createDataFrame([(r["rule_id"], r.get("applies_as"), r.get("kinds"), r.get("globs"), r.get("requires")) for r in RULES], R.RULE)
+    return R.load_rules(given)
+
+
 def rule_eligibility(t: Tables) -> DataFrame:
-    return R.eligibility(_changed(t), RULES).select("node", "rule_id", F.coalesce("reason", F.lit("")).alias("reason"))
+    return R.eligibility(_changed(t), _rule_rows(t)).select("node", "rule_id", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 def checklist_rules(t: Tables) -> DataFrame:
-    return R.eligibility(_changed(t), RULES, "checklist").where("reason is null").select("node", "rule_id")
+    return R.eligibility(_changed(t), _rule_rows(t), "checklist").where("reason is null").select("node", "rule_id")
 
 
 def content_signature(t: Tables) -> DataFrame:
@@ -82,12 +97,14 @@ def content_signature(t: Tables) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (idf_table, tfidf_vectors, keyword_matches, tfidf_topk, union_topk, rule_eligibility, checklist_rules, content_signature)}
-_RULES = f"""rt AS (SELECT item_id AS rule_id, term, count(*) AS tf FROM (SELECT item_id, unnest({TOKENS_SQL.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+_RULES = f"""rk AS (SELECT item_id, text, list_distinct(list_filter({TOKENS_SQL.format('text')}, lambda k: length(k) >= 12)) AS kws FROM benchmark),
+rs AS (SELECT item_id, concat_ws(' ', text, array_to_string(list_concat(kws, kws, kws), ' ')) AS text FROM rk),
+rt AS (SELECT item_id AS rule_id, term, count(*) AS tf FROM (SELECT item_id, unnest({TOKENS_SQL.format('text')}) AS term FROM rs) GROUP BY ALL),
 w AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(DISTINCT rule_id) FROM rt)) / (1 + count(*))) + 1 AS idf FROM rt GROUP BY term),
 rv AS (SELECT rule_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY rule_id)) AS weight FROM rt JOIN w USING (term)),
-kw AS (SELECT rule_id, term FROM rt WHERE length(term) >= 12)"""
+kw AS (SELECT item_id AS rule_id, unnest(kws) AS term FROM rk)"""
 _SCORES = f"""{_RULES},
-qt AS (SELECT doc_id AS query_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL.format('text')}) AS term FROM documents WHERE lang = 'en') GROUP BY ALL),
+qt AS (SELECT doc_id AS query_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL.format('text')}) AS term FROM documents) GROUP BY ALL),
 qw AS (SELECT query_id, term, tf * coalesce(idf, 1.0) AS x FROM qt LEFT JOIN w USING (term)),
 qv AS (SELECT query_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS weight FROM qw),
 sc AS (SELECT query_id, rule_id, round(sum(qv.weight * rv.weight), 6) AS score FROM qv JOIN rv USING (term) GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..functions.text import ALIAS, STOPWORDS, TEMPLATE, TOKEN, aliases, flat, line_class, normal_path, tokens
+from ..functions.text import ALIAS, LIST_NAME, STOPWORDS, TEMPLATE, TOKEN, aliases, flat, has_extension, line_class, normal_path, tokens
 from ..operators import changes, scan
 from .tables import EDGES, LINES, Tables, edges, label, label_sql, lines
 
@@ -31,13 +31,15 @@ PLANTED = [
     "'  amount as Total_' || lang || ','",
     "'update t set a = null'",
     "'where x = null -- or y <> null'",
+    "'join {{ ref(\"p\", \"d' || (doc_id + 2) || '\") }} on a = b'",
+    "'  - name: d' || (doc_id + 3)",
 ]
 PATHS = [
-    "'models/staging/' || lang || '/' || doc_id || '.sql'",
-    "'models/marts/' || lang || '/' || doc_id || '.yml'",
-    "'models\\intermediate\\' || lang || '\\' || doc_id || '.sql'",
-    "lang || '/' || doc_id || '.env'",
-    "'./models/marts/' || lang || '/' || doc_id || '.sql'",
+    "'models/staging/' || lang || '/d' || doc_id || '.sql'",
+    "'models/marts/' || lang || '/d' || doc_id || '.yml'",
+    "'models\\intermediate\\' || lang || '\\d' || doc_id || '.sql'",
+    "lang || '/d' || doc_id || '.env'",
+    "'models/marts/' || lang || '/d' || doc_id || '.sql'",
 ]
 
 
@@ -49,17 +51,17 @@ _PATH = _case("doc_id % 5", PATHS)
 
 
 def code(t: Tables) -> DataFrame:
-    """(path, line_no, text): the lines of documents, and a planted one before the first of each."""
-    docs = t.documents.selectExpr("doc_id", "lang", "text", "md5(cast(text as binary)) as m")
+    """(pr, path, line_no, text): the lines of documents, and a planted one before the first of each; a change set is a language."""
+    docs = t.documents.selectExpr("doc_id", "lang", "lang as pr", "text", "md5(cast(text as binary)) as m")
     path = F.expr(_PATH.replace("\\", "\\\\")).alias("path")
-    own = docs.select(path, F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    planted = docs.select(path, F.lit(-1).alias("line_no"), F.expr(_case(f"(doc_id div 5) % {len(PLANTED)}", PLANTED)).alias("text"))
+    own = docs.select("pr", path, F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    planted = docs.select("pr", path, F.lit(-1).alias("line_no"), F.expr(_case(f"(doc_id div 5) % {len(PLANTED)}", PLANTED)).alias("text"))
     return own.unionByName(planted)
 
 
 CODE = f"""docs AS (SELECT doc_id, lang, text, md5(text) AS m FROM documents),
-code AS (SELECT {_PATH} AS path, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS text FROM docs
-         UNION ALL SELECT {_PATH}, -1, {_case(f"(doc_id // 5) % {len(PLANTED)}", PLANTED)} FROM docs)"""
+code AS (SELECT lang AS pr, {_PATH} AS path, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS text FROM docs
+         UNION ALL SELECT lang, {_PATH}, -1, {_case(f"(doc_id // 5) % {len(PLANTED)}", PLANTED)} FROM docs)"""
 
 
 def diffs(t: Tables) -> DataFrame:
@@ -101,7 +103,7 @@ files AS (SELECT pr, file_no, max(CASE WHEN class = 'header' THEN regexp_extract
 
 def diff_lines(t: Tables) -> DataFrame:
     files = changes.changed_files(changes.segment(diffs(t)))
-    return files.where(F.col("path").rlike(r"\.(sql|yml|yaml|csv|py)$")).select("pr", "file_no", "path", "previous_path", "change_type", "n_added", "n_removed")
+    return files.where(has_extension(F.col("path"))).select("pr", "file_no", "path", "previous_path", "change_type", "n_added", "n_removed")
 
 
 def line_classes(t: Tables) -> DataFrame:
@@ -248,7 +250,7 @@ def hardcoded_relations(t: Tables) -> DataFrame:
 
 
 def null_comparisons(t: Tables) -> DataFrame:
-    return _lint(t, "null-comparison")
+    return _lint(t, "null-comparison").withColumn("fix", patterns.null_fix(F.col("what")))
 
 
 def deprecated_keys(t: Tables) -> DataFrame:
@@ -261,7 +263,23 @@ def _lint(t: Tables, rule: str) -> DataFrame:
 
 
 def all_findings(t: Tables) -> DataFrame:
-    return scan.all_findings(code(t)).orderBy(F.desc("severity"), "path", "rule_id")
+    return _findings(t).orderBy(scan.by_severity(), "path", "rule_id")
+
+
+def _findings(t: Tables) -> DataFrame:
+    """All checks; documents are the nodes, those with a label are documented."""
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name")
+    return scan.all_findings(code(t), nodes=t.documents.select(name, F.expr(_PATH.replace("\\", "\\\\")).alias("path")), documented=t.labels.select(name).distinct())
+
+
+def line_references(t: Tables) -> DataFrame:
+    """References to higher layers, read from lines."""
+    return _findings(t).where("rule_id = 'cross-layer-reference'").select("path", "what", "line_no")
+
+
+def missing_entry_lines(t: Tables) -> DataFrame:
+    """SQL files without an entry, read from lines."""
+    return _findings(t).where("rule_id = 'missing-schema-entry'").select("path", "what", "line_no")
 
 
 def cross_layer_refs(t: Tables) -> DataFrame:
@@ -280,7 +298,7 @@ def missing_entry_anti(t: Tables) -> DataFrame:
 
 def report_rows(t: Tables) -> DataFrame:
     """For each file its findings as lines in order, flattened and cut, and a preview of six rules."""
-    f = scan.all_findings(code(t))
+    f = _findings(t)
     row = F.struct("rule_id", "line_no", flat(F.concat_ws(" ", "rule_id", F.lit("in"), "path", F.lit("on   line"), "line_no"), 60).alias("text"))
     rows = f.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.array_sort(F.collect_set("rule_id")).alias("rules"))
     more = F.when(F.size("rules") > 6, F.concat(F.lit(" +"), (F.size("rules") - 6).cast("string"), F.lit(" more"))).otherwise("")
@@ -339,14 +357,22 @@ nc AS (SELECT path, 'lint' AS category, 'null-comparison' AS rule_id, 'medium' A
        WHERE op <> '' AND NOT regexp_matches(string_split(c, hit)[1], '(?i)\\bset\\b') GROUP BY path),
 dk AS (SELECT path, 'lint' AS category, 'deprecated-tests-key' AS rule_id, 'low' AS severity, 'tests:' AS what, CAST(min(line_no) AS INTEGER) AS line_no FROM code
        WHERE regexp_matches(path, '\\.ya?ml$') AND regexp_matches(text, '^\\s*tests:\\s*$') GROUP BY path),
-lint AS (SELECT * FROM hc UNION ALL SELECT * FROM nc UNION ALL SELECT * FROM dk),
+layers AS (SELECT path, translate(path, '\\', '/') AS p, CASE WHEN contains(p, 'models/staging/') THEN 0 WHEN contains(p, 'models/intermediate/') THEN 1 WHEN contains(p, 'models/marts/') THEN 2 END AS layer, concat('d', doc_id) AS name FROM (SELECT doc_id, {_PATH} AS path FROM docs)),
+used AS (SELECT path, line_no, unnest(regexp_extract_all(text, '{_q(patterns.REFERENCE)}', 1)) AS name FROM sqlf),
+cl AS (SELECT u.path, 'lint' AS category, 'cross-layer-reference' AS rule_id, 'medium' AS severity, u.name AS what, CAST(min(line_no) AS INTEGER) AS line_no
+       FROM used u JOIN (SELECT DISTINCT path, layer FROM layers) o ON o.path = u.path JOIN layers x ON x.name = u.name WHERE x.layer > o.layer GROUP BY u.path, u.name),
+added AS (SELECT pr, path, regexp_replace(list_last(string_split(translate(path, '\\', '/'), '/')), '\\.sql$', '') AS name, CAST(min(line_no) AS INTEGER) AS line_no FROM code WHERE ends_with(path, '.sql') AND starts_with(translate(path, '\\', '/'), 'models/') GROUP BY ALL),
+here AS (SELECT DISTINCT pr, regexp_extract(text, '{_q(LIST_NAME)}', 1) AS name FROM code WHERE regexp_matches(path, '\\.ya?ml$') AND starts_with(translate(path, '\\', '/'), 'models/')),
+me AS (SELECT path, 'lint' AS category, 'missing-schema-entry' AS rule_id, 'medium' AS severity, name AS what, line_no FROM added a
+       WHERE NOT EXISTS (SELECT 1 FROM here h WHERE h.pr = a.pr AND h.name = a.name) AND name NOT IN (SELECT concat('d', doc_id) FROM labels)),
+lint AS (SELECT * FROM hc UNION ALL SELECT * FROM nc UNION ALL SELECT * FROM dk UNION ALL SELECT * FROM cl UNION ALL SELECT * FROM me),
 findings AS (SELECT * FROM lint WHERE starts_with(translate(path, '\\', '/'), 'models/') UNION ALL SELECT path, 'secret', kind, 'medium', preview, line_no FROM secret_rows)
 """
 
 QUERIES = {f.__name__: f for f in (
     diff_lines, line_classes, segment_lines, semantic_flag, heading_attribution, owner_attribution, first_wins, net_column_delta, snapshot_diff, rename_detection, alias_extract, path_normalise,
     path_suffix_join, rename_fallback_join, unresolved_anti, findings_with_owner, secret_formats, secret_urls, secret_assignments, secret_findings, hardcoded_relations, null_comparisons,
-    deprecated_keys, all_findings, cross_layer_refs, missing_entry_anti, report_rows, change_summary,
+    deprecated_keys, all_findings, line_references, missing_entry_lines, cross_layer_refs, missing_entry_anti, report_rows, change_summary,
 )} | {"tokens": tokens_query}
 
 # RE2's word boundary knows ASCII only
@@ -389,8 +415,10 @@ JOIN (SELECT * FROM after WHERE c_custkey NOT IN (SELECT c_custkey FROM before))
     "secret_assignments": f"WITH {_SECRETS} SELECT path, CAST(line_no AS INTEGER) AS line_no, key FROM told WHERE by_key",
     "secret_findings": f"WITH {_SECRETS} SELECT * FROM secret_rows",
     "hardcoded_relations": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no FROM hc",
-    "null_comparisons": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no FROM nc",
+    "null_comparisons": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no, CASE WHEN what = '=' THEN 'is null' ELSE 'is not null' END AS fix FROM nc",
     "deprecated_keys": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no FROM dk",
+    "line_references": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no FROM cl",
+    "missing_entry_lines": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no FROM me",
     "all_findings": f"WITH {_SECRETS}{_LINT} SELECT * FROM findings",
     "cross_layer_refs": f"WITH {EDGES}, r AS (SELECT child AS s, parent AS t FROM edges UNION SELECT parent, child FROM edges WHERE parent >= 4000000000) SELECT {label_sql('s')} AS source, {label_sql('t')} AS target FROM r WHERE t // 1000000000 > s // 1000000000",
     "missing_entry_anti": "SELECT source AS pr, doc_id AS name FROM documents WHERE doc_id % 13 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)",

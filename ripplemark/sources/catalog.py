@@ -101,10 +101,10 @@ def column_evidence(catalogs: DataFrame) -> DataFrame:
     return joined.select("project", "node", "position", "column", F.try_element_at("column_types", F.col("column")).alias("type"), F.coalesce("tests", none).alias("tests"), F.coalesce("node_tests", none).alias("node_tests"))
 
 
-def head_or_base(base: DataFrame, head: DataFrame, key: str, limit: int = 12_000) -> DataFrame:
-    """(key, version, text): the head's text where there is one, else the base's, cut to limit."""
+def head_or_base(base: DataFrame, head: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """(key, version, text): the head's text where there is one, else the base's; cut to limit characters if one is given."""
     new = head.select(key, F.col("text").alias("head"))
-    return base.join(new, key, "left").select(key, F.when(F.col("head").isNotNull(), "head").otherwise("base").alias("version"), F.substring(F.coalesce("head", "text"), 1, limit).alias("text"))
+    return base.join(new, key, "left").select(key, F.when(F.col("head").isNotNull(), "head").otherwise("base").alias("version"), (F.coalesce("head", "text") if limit is None else F.substring(F.coalesce("head", "text"), 1, limit)).alias("text"))
 
 
 def first_usable(candidates: DataFrame, key: str) -> DataFrame:
