@@ -18,6 +18,14 @@ def segment(lines: DataFrame, key: str = "pr") -> DataFrame:
     return filed.withColumn("hunk_no", F.sum((F.col("class") == "hunk").cast("int")).over(within))
 
 
+def changed_lines(segmented: DataFrame, key: str = "pr", most: int = 40) -> DataFrame:
+    """(key, file_no, line_no, text, nth): the added and removed lines of each file without their sign, most at most; a
+    report shows no more."""
+    changed = segmented.where(F.col("class").isin("added", "removed") & (F.col("file_no") > 0))
+    nth = F.row_number().over(Window.partitionBy(key, "file_no").orderBy("line_no"))
+    return changed.select(key, "file_no", "line_no", F.substring(F.col("text"), 2, 1 << 30).alias("text"), nth.alias("nth")).where(F.col("nth") <= most)
+
+
 def changed_files(segmented: DataFrame, key: str = "pr") -> DataFrame:
     """A row for each file of a diff: path, previous_path, change_type, counts of lines, is_semantic."""
     header = r"^diff --git a/(.+?) b/(.+?)$"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns
 from ..functions.text import ALIAS, LIST_NAME, STOPWORDS, TEMPLATE, TOKEN, aliases, flat, has_extension, line_class, normal_path, tokens
 from ..operators import changes, scan
+from ..sources import diffs as diff_files
 from .tables import EDGES, LINES, Tables, edges, label, label_sql, lines
 
 # Lines that hold what documents don't: made from a digest of each document's text, chosen by its id.
@@ -106,6 +107,13 @@ def diff_lines(t: Tables) -> DataFrame:
     return files.where(has_extension(F.col("path"))).select("pr", "file_no", "path", "previous_path", "change_type", "n_added", "n_removed")
 
 
+def shown_lines(t: Tables) -> DataFrame:
+    """What a report shows of each file, of diffs written as whole texts and read again."""
+    whole = diffs(t).groupBy("pr", F.floor(F.col("line_no") / 900).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("diff"))
+    read = diff_files.lines(whole.withColumn("pr", F.concat_ws("/", "pr", "part")))
+    return changes.changed_lines(changes.segment(read), most=3).select("pr", "file_no", "line_no", "nth")
+
+
 def line_classes(t: Tables) -> DataFrame:
     return diffs(t).groupBy("pr", line_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
 
@@ -370,7 +378,7 @@ findings AS (SELECT * FROM lint WHERE starts_with(translate(path, '\\', '/'), 'm
 """
 
 QUERIES = {f.__name__: f for f in (
-    diff_lines, line_classes, segment_lines, semantic_flag, heading_attribution, owner_attribution, first_wins, net_column_delta, snapshot_diff, rename_detection, alias_extract, path_normalise,
+    diff_lines, shown_lines, line_classes, segment_lines, semantic_flag, heading_attribution, owner_attribution, first_wins, net_column_delta, snapshot_diff, rename_detection, alias_extract, path_normalise,
     path_suffix_join, rename_fallback_join, unresolved_anti, findings_with_owner, secret_formats, secret_urls, secret_assignments, secret_findings, hardcoded_relations, null_comparisons,
     deprecated_keys, all_findings, line_references, missing_entry_lines, cross_layer_refs, missing_entry_anti, report_rows, change_summary,
 )} | {"tokens": tokens_query}
@@ -381,6 +389,9 @@ _TURNS = """turns AS (SELECT *, last_value(CASE WHEN role = 'system' THEN concat
 members AS (SELECT * FROM turns WHERE role <> 'system')"""
 ORACLES = {
     "diff_lines": f"WITH {DIFFS} SELECT pr, file_no, path, previous_path, change_type, n_added, n_removed FROM files WHERE regexp_matches(path, '\\.(sql|yml|yaml|csv|py)$')",
+    "shown_lines": f"""WITH {DIFFS}, sl AS (SELECT concat(pr, '/', line_no // 900) AS pr, line_no % 900 AS line_no, class FROM seg),
+sf AS (SELECT *, CAST(sum(CAST(class = 'header' AS INTEGER)) OVER (PARTITION BY pr ORDER BY line_no) AS BIGINT) AS file_no FROM sl)
+SELECT * FROM (SELECT pr, file_no, CAST(line_no AS INTEGER) AS line_no, CAST(row_number() OVER (PARTITION BY pr, file_no ORDER BY line_no) AS INTEGER) AS nth FROM sf WHERE class IN ('added', 'removed') AND file_no > 0) WHERE nth <= 3""",
     "line_classes": f"WITH {DIFFS} SELECT pr, class, count(*) AS n FROM classed GROUP BY ALL",
     "segment_lines": f"WITH {DIFFS} SELECT pr, CAST(line_no AS INTEGER) AS line_no, class, file_no, hunk_no FROM seg",
     "semantic_flag": f"WITH {DIFFS} SELECT pr, file_no, CASE WHEN regexp_matches(path, '\\.ya?ml$') THEN yaml_semantic ELSE sql_semantic END AS is_semantic FROM files",

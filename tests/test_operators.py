@@ -325,3 +325,25 @@ def test_live_table_of_a_stream_equals_batch(spark, tmp_path):
     assert sorted((r.key, r.delivery_id) for r in got.collect()) == sorted((r.key, r.delivery_id) for r in events.live(made(raw)).collect())
     gone = {r.key for r in events.retracted(made(raw)).collect()}
     assert gone.isdisjoint({r.key for r in events.live(made(raw)).collect()})
+
+
+def test_diff_files_are_read_as_lines(spark, tmp_path):
+    from ripplemark.sources import diffs
+
+    (tmp_path / "a.diff").write_text("diff --git a/x.sql b/x.sql\n@@ -1 +1 @@\n-old\n+new\r\n+more\n")
+    (tmp_path / "b.txt").write_text("no diff")
+    rows = diffs.read_diffs(spark, f"file://{tmp_path}")
+    assert [(r.pr, r.line_no, r.text) for r in rows.orderBy("line_no").collect()] == [("a", i, t) for i, t in enumerate(["diff --git a/x.sql b/x.sql", "@@ -1 +1 @@", "-old", "+new", "+more"])]
+    shown = changes.changed_lines(changes.segment(rows), most=2)
+    assert [r.text for r in shown.orderBy("nth").collect()] == ["old", "new"]
+    assert changes.changed_files(changes.segment(rows)).first().n_added == 2
+
+
+def test_rules_are_checked_when_loaded(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "checklist")], "rule_id string, applies_as string")
+    assert retrieval.load_rules(rows)[0] == {"rule_id": "a", "applies_as": "retrieved", "kinds": [], "globs": [], "requires": {}}
+    for bad in ([("a", None), ("a", None)], [(None, None)], [("a", "other")]):
+        with pytest.raises(ValueError, match="a|rule"):
+            retrieval.load_rules(spark.createDataFrame(bad, "rule_id string, applies_as string"))
+    with pytest.raises(ValueError, match="over 1"):
+        retrieval.load_rules(rows, 1)
