@@ -17,7 +17,7 @@ from ..shared import cut, discard, scratch, shared_dir
 #: A key that more than one row in HOT has is joined by broadcast.
 HOT = 1000
 
-__all__ = ["HOT", "by_bytes", "components", "cut", "discard", "join_counted", "remember", "running_total", "scratch", "shared_dir", "slices"]
+__all__ = ["HOT", "by_bytes", "components", "cut", "discard", "join_counted", "parts_for", "remember", "running_total", "scratch", "shared_dir", "slices"]
 
 
 def running_total(df: DataFrame, group: list[str], chunk: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -87,6 +87,12 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
+def parts_for(texts: DataFrame, text: str = "text", size: int = 128 << 20) -> int:
+    """Partitions for an exchange of whole texts: the session's number, or more if they would pass size bytes."""
+    held = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), held // size + 1)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about limit bytes of a text column each, one row at least: what a task holds at a time."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

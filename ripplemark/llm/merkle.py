@@ -11,6 +11,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, slices
+from .common import cut, parts_for, slices
 
 PIECE = 4
 BYTES = 16
@@ -86,10 +87,8 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     own next. Texts are shuffled once, into ranges of doc_id; a partition's first and last text go on to a second,
     small step that pairs the ends of neighbouring partitions.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(parts or parts_for(rows), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     types = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in STAGED.split(", ")]
 
@@ -169,19 +168,28 @@ def _nodes(text: str) -> Iterator[tuple]:
 def locate_edits(old: DataFrame, new: DataFrame) -> DataFrame:
     """Paragraphs that differ between two versions of documents: doc_id, section, paragraph, change (added, deleted,
     modified). Only documents whose roots differ, and of those only sections that differ, are compared further.
-    Ids must be unique in each version."""
+    A document that only one version has is all added or all deleted; a null id is an id like any other, and a null text is
+    an empty one. Ids must be unique in each version; an empty version has no documents; other columns are ignored."""
     a, b = nodes(old), nodes(new)
     at = ["doc_id", "section", "paragraph"]
 
     def differing(level: int, x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
         one = x.where(F.col("level") == level).select(*keys, F.col("digest").alias("was"))
         two = y.where(F.col("level") == level).select(*keys, F.col("digest").alias("now"))
-        return one.join(two, keys, "full").where("not (was <=> now)")
+        two = two.select(*[F.col(k).alias(f"_{k}") for k in keys], "now")
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        found = one.join(two, same, "full").where("not (was <=> now)")
+        own = F.col("was").isNotNull()
+        return found.select(*[F.when(own, F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys], "was", "now")
+
+    def within(x: DataFrame, some: DataFrame, keys: list[str]) -> DataFrame:
+        some = some.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        return x.join(some, reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_semi")
 
     docs = differing(0, a, b, at[:1]).select("doc_id")
-    a, b = a.join(docs, "doc_id", "left_semi"), b.join(docs, "doc_id", "left_semi")
+    a, b = within(a, docs, at[:1]), within(b, docs, at[:1])
     sections = differing(1, a, b, at[:2]).select(*at[:2])
-    a, b = a.join(sections, at[:2], "left_semi"), b.join(sections, at[:2], "left_semi")
+    a, b = within(a, sections, at[:2]), within(b, sections, at[:2])
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").otherwise("modified")
     return differing(2, a, b, at).select(*at, change.alias("change"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import remember, scratch, slices
+from .common import parts_for, remember, scratch, slices
 
 INDEX = "doc_id long, shard int, path string, offset long, bytes long, n_tokens long"
 #: Chunks of text whose ids a Python worker remembers at least, twice as many at most; and the longest that it does. Most
@@ -165,9 +165,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     spark = docs.sparkSession
     path = tokenizer_path(tokenizer)
     width = 2 if vocabulary_size(path) <= 1 << 16 and end_id < 1 << 16 else 4
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(parts or parts_for(rows), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +247,10 @@ def read_in_order(index: DataFrame, with_ids: bool = True) -> DataFrame:
 
 
 def read_shuffled(index: DataFrame, seed: int = 0) -> DataFrame:
-    """(epoch_order, doc_id, ids) of single records fetched by offset, in a random order that the seed fixes."""
+    """(epoch_order, doc_id, ids) of single records fetched by offset, in a random order that the seed fixes.
+
+    A record of a null text has no ids but the end; records without an id have a null doc_id; repeated rows are records
+    of their own; an empty index gives an empty table."""
     spark = index.sparkSession
     order = F.xxhash64(F.lit(seed), "doc_id", "shard", "offset")
     dealt = index.select(order.alias("epoch_order"), "path", "offset", "bytes").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "epoch_order").sortWithinPartitions("epoch_order")

@@ -131,7 +131,8 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, carry:
 
     Shards have nearly equal bytes; slot counts from 0 without a gap in each. Equal texts share a shard unless one
     text has too many bytes for that. Null texts count as empty (size 1). Repeated rows are rows of their own; rows
-    that agree in text and id are interchangeable. An empty table has no shards.
+    that agree in text and id are interchangeable and share a shard whatever they weigh, so where such copies alone
+    pass the tolerance, shards are as equal as whole groups of them allow. An empty table has no shards.
 
     Rows are exchanged once, to chunks of a shard (by row_key, so that copies of one text part); a chunk's first slot
     is the number of rows in the chunks before it, known from a count of the keys.

@@ -320,9 +320,11 @@ def test_merkle(spark, docs, empty):
 
 
 def test_edits_are_located(spark):
-    old = spark.createDataFrame([(1, "a\nb\n\nc\nd"), (2, "same"), (3, None)], "doc_id long, text string")
-    new = spark.createDataFrame([(1, "a\nB\n\nc\nd\ne"), (2, "same"), (3, None)], "doc_id long, text string")
-    assert sorted(tuple(r) for r in merkle.locate_edits(old, new).collect()) == [(1, 0, 1, "modified"), (1, 1, 2, "added")]
+    old = spark.createDataFrame([(1, "a\nb\n\nc\nd"), (2, "same"), (3, None), (None, "x"), (4, "only old")], "doc_id long, text string")
+    new = spark.createDataFrame([(1, "a\nB\n\nc\nd\ne"), (2, "same"), (3, None), (None, "y")], "doc_id long, text string")
+    want = [(1, 0, 1, "modified"), (1, 1, 2, "added"), (4, 0, 0, "deleted"), (None, 0, 0, "modified")]
+    assert sorted((tuple(r) for r in merkle.locate_edits(old, new).collect()), key=str) == sorted(want, key=str)
+    assert merkle.locate_edits(old.limit(0), new.limit(0)).count() == 0
 
 
 # --- 8
