@@ -49,21 +49,43 @@ def first_names(reached: DataFrame, n: int = 3) -> DataFrame:
     return top.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), ", ").alias("names"))
 
 
-def reach_summary(reached: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each root: size, exposures, contracted, public (counts), owners (distinct, sorted), depths (count by
-    depth), names (the first three). nodes: (id, name, kind, contracted, access, owner)."""
-    about = reached.join(nodes, reached["node"] == nodes["id"]).select("root", "node", "depth", "name", "kind", "contracted", "access", "owner")
-    sums = about.groupBy("root").agg(
+def _about(reached: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    return reached.join(nodes.select("id", *columns), F.col("node") == F.col("id")).select("root", "node", "depth", *columns)
+
+
+def _counts() -> list[Column]:
+    return [
         F.count("*").alias("size"),
         F.count_if(F.col("kind") == "exposure").alias("exposures"),
         F.count_if("contracted").alias("contracted"),
         F.count_if(F.col("access") == "public").alias("public"),
-        F.array_join(F.array_sort(F.collect_set("owner")), ", ").alias("owners"),
+    ]
+
+
+def reach_counts(reached: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each root: size, exposures, contracted, public. nodes: (id, kind, contracted, access)."""
+    return _about(reached, nodes, "kind", "contracted", "access").groupBy("root").agg(*_counts())
+
+
+def reach_summary(reached: DataFrame, nodes: DataFrame, n_names: int = 3) -> DataFrame:
+    """For each root: size, exposures, contracted, public (counts), owners (distinct, sorted), depths (count by
+    depth), names (the first three). nodes: (id, name, kind, contracted, access, owner).
+
+    The reach is aggregated once, by root and depth; the rest rolls that small table up. Names are looked up only for
+    the depths that the first n_names lie in.
+    """
+    known = _about(reached, nodes, "kind", "contracted", "access", "owner")
+    by_depth = cut(known.groupBy("root", "depth").agg(*_counts(), F.collect_set("owner").alias("owners")), "reach-depths")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("depth", "size"))), lambda x: F.concat_ws(":", x["depth"].cast("string"), x["size"].cast("string")))
+    sums = by_depth.groupBy("root").agg(
+        *[F.sum(c).alias(c) for c in ("size", "exposures", "contracted", "public")],
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))), ", ").alias("owners"),
+        F.array_join(line, " ").alias("depths"),
     )
-    by_depth = about.groupBy("root", "depth").agg(F.count("*").alias("n"))
-    line = F.transform(F.array_sort(F.collect_list(F.struct("depth", "n"))), lambda x: F.concat_ws(":", x["depth"].cast("string"), x["n"].cast("string")))
-    depths = by_depth.groupBy("root").agg(F.array_join(line, " ").alias("depths"))
-    return sums.join(depths, "root").join(first_names(about), "root")
+    before = F.sum("size").over(Window.partitionBy("root").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1))
+    first = by_depth.select("root", "depth", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < n_names)
+    named = _about(reached.join(first.select("root", "depth"), ["root", "depth"], "left_semi"), nodes, "name")
+    return sums.join(first_names(named, n_names), "root")
 
 
 def shown_nodes(reached: DataFrame, limit: int = SHOWN) -> DataFrame:

@@ -43,7 +43,7 @@ def assessed(t: Tables) -> DataFrame:
     nodes whose change is semantic."""
     c = changes(t)
     found = graph.reach(c.where("is_semantic").select(F.col("node").alias("root")).distinct(), edges(t))
-    sums = graph.reach_summary(found, nodes(t)).select(F.col("root").alias("node"), "size", "exposures", "contracted", "public")
+    sums = graph.reach_counts(found, nodes(t)).withColumnRenamed("root", "node")
     about = nodes(t).select(F.col("id").alias("node"), "materialization")
     counts = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("size", "exposures", "contracted", "public")]
     removed = F.when(F.col("pr_id") % 5 == 0, F.col("pr_id") % 3).otherwise(0)

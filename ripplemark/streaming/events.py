@@ -5,9 +5,10 @@ Each operator is a function of a DataFrame that serves batch and stream; upserts
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import patterns
 
@@ -49,19 +50,56 @@ def deduped(deliveries: DataFrame, late: str = "1 hour") -> DataFrame:
     return deliveries.dropDuplicates(["delivery_id"])
 
 
-def maintain_live(reviews: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep the live reviews of a stream in a table of versions at a path: every batch reads the last version, merges
-    and writes the next, and a version is the live state after its batch. A batch that runs again writes its own
-    version again, so it changes nothing."""
+def maintain_live(reviews: DataFrame, table: str, checkpoint: str, buckets: int = 64, trigger: dict | None = None) -> StreamingQuery:
+    """Keep latest() of a stream's reviews that didn't fail in a table at a path, which live_state() reads.
+
+    Keys are dealt to buckets by hash. A batch merges and rewrites only the buckets that its keys fall into, as
+    version=<batch>/bucket=<bucket>. A batch that runs again reads what was there before it and writes its own version
+    again, so it changes nothing; versions that an earlier batch has replaced are deleted. table, checkpoint and buckets
+    belong together. trigger: as of writeStream.trigger, by default all that is there, then the end.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = latest(batch.where("not failed"))
+        new = latest(batch.where("not failed")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
         if number:
-            state = latest(spark.read.parquet(f"{table}/version={number - 1}").unionByName(state))
-        state.write.mode("overwrite").parquet(f"{table}/version={number}")
-
-    return reviews.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+            schema = StructType([*new.schema.fields, StructField("version", IntegerType())])
+            old = live_state(batch.sparkSession, table, schema, number).where(F.col("bucket").isin(touched))
+            new = latest(old.select(*new.columns).unionByName(new))
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={number}")
+        _retire(batch.sparkSession, table, number)
+
+    return reviews.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def live_state(spark: SparkSession, table: str, schema: StructType | None = None, before: int | None = None) -> DataFrame:
+    """The newest version of every bucket of a table that maintain_live keeps, of those before a version if one is given;
+    with schema (bucket and version included) also where the table holds no row yet."""
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(table)
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi")
+
+
+def _retire(spark: SparkSession, table: str, number: int) -> None:
+    """Delete versions of buckets that another one before number has replaced. Batch number may run again, those before
+    it can't."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [str(s.getPath()).rsplit("/", 2) for s in store.globStatus(path(f"{table}/version=*/bucket=*")) or []]
+    held = [(int(version.split("=")[1]), bucket, f"{base}/{version}/{bucket}") for base, version, bucket in found]
+    newest = {}
+    for version, bucket, _ in held:
+        if version < number:
+            newest[bucket] = max(version, newest.get(bucket, 0))
+    for version, bucket, at in held:
+        if version < newest.get(bucket, 0):
+            store.delete(path(at), True)
+    for s in store.globStatus(path(f"{table}/version=*")) or []:
+        version = int(s.getPath().getName().split("=")[1])
+        if version < number and version not in newest.values():
+            store.delete(s.getPath(), True)
 
 
 def scanned(lines: DataFrame) -> DataFrame:
