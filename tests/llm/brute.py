@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import xxhash
 
@@ -42,3 +43,31 @@ def brute_components(fps, distance):
             if (fps[i] ^ fps[j]).bit_count() <= distance:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(fps))]
+
+
+def brute_merkle(text):
+    """The root over a text's pieces, and the pieces themselves."""
+    pieces = []
+
+    def digest(kind, children):
+        return hashlib.blake2b(b"".join(children), digest_size=16, person=kind.encode()).digest()
+
+    def node(part, depth):
+        kind, sign = (("document", "\n\n"), ("section", "\n"), ("paragraph", " "))[depth]
+        parts = part.split(sign)
+        if depth < 2:
+            return digest(kind, [node(x, depth + 1) for x in parts])
+        own = [" ".join(parts[:4])]
+        while parts := parts[4:]:
+            own.append(" ".join(parts[:4]))
+        pieces.extend(own)
+        return digest(kind, [digest("piece", [x.encode()]) for x in own])
+
+    return node(text, 0).hex(), Counter(pieces)
+
+
+def brute_likeness(a, b):
+    """Share of two texts' bytes in pieces that both have; a piece's sign after it counts as a byte of it."""
+    (_, x), (_, y) = brute_merkle(a), brute_merkle(b)
+    size = lambda pieces: sum(n * (len(p.encode()) + 1) for p, n in pieces.items())
+    return 1.0 if a == b else 2 * size(x & y) / (size(x) + size(y))

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import brute_components, brute_contamination, brute_fingerprint
+from brute import brute_components, brute_contamination, brute_fingerprint, brute_likeness, brute_merkle
 from pyspark.sql import functions as F
 
 from ripplemark.llm import common, contamination, langid, line_dedup, merkle, mixing, records, sharding, simhash, url_filter, warc
@@ -309,9 +309,10 @@ def test_merkle(spark, docs, empty):
         if ids.count(after[0]) == 1:
             changed = text[: len(text) - n] + after[1][:n]
             assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-            assert r.edited_fingerprint == merkle.tree(changed).root
-            assert r.near_next == merkle.likeness(merkle.tree(text), merkle.tree(after[1]))
-        assert r.fingerprint == merkle.tree(text).root
+            assert r.edited_fingerprint == brute_merkle(changed)[0]
+            assert r.near_edited == pytest.approx(brute_likeness(text, changed))
+            assert r.near_next == pytest.approx(brute_likeness(text, after[1]))
+        assert r.fingerprint == brute_merkle(text)[0]
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert merkle.query(empty).count() == 0
     assert merkle.query(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first().near_next == 1.0
