@@ -328,6 +328,14 @@ def test_live_table_of_a_stream_equals_batch(spark, tmp_path):
     assert gone.isdisjoint({r.key for r in events.live(made(raw)).collect()})
 
 
+def test_live_table_may_begin_without_rows(spark, tmp_path):
+    schema, table = "delivery_id long, ts timestamp, key int, failed boolean, nothing_to_report boolean", str(tmp_path / "live")
+    for i, failed in enumerate((True, False, False, True)):
+        spark.createDataFrame([(i, "2024-01-01", i % 2, failed, False)], "delivery_id long, ts string, key int, failed boolean, nothing_to_report boolean").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events.maintain_live(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), table, str(tmp_path / "ck")).awaitTermination()
+    assert sorted((r.key, r.delivery_id) for r in events.live_state(spark, table).collect()) == [(0, 2), (1, 1)]
+
+
 def test_diff_files_are_read_as_lines(spark, tmp_path):
     from ripplemark.sources import diffs
 
