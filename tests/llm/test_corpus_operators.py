@@ -213,9 +213,9 @@ def test_damage_is_found():
 # --- 5
 
 
-@pytest.mark.parametrize("block", [16 << 20, 10])
-def test_decontamination(spark, docs, empty, monkeypatch, block):
-    monkeypatch.setattr(contamination, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("size", [4 << 20, 0], ids=["broadcast", "joined"])
+def test_decontamination(spark, docs, empty, monkeypatch, size):
+    monkeypatch.setattr(contamination, "BROADCAST_BYTES", size)
     base = hard_texts()[0]
     items = [(1, " ".join(base.split()[5:25])), (10, "X!"), (2, None), (3, "..."), (4, base.upper()), (5, "ünï çödé ünï"), (6, base[:40]), (1, base[:40])]
     bench = spark.createDataFrame(items, "item_id long, text string")
