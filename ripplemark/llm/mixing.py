@@ -129,16 +129,19 @@ def resample(docs: DataFrame, seed: int = 0) -> DataFrame:
     """docs as the mix takes them: each row as often as its words are taken, to the nearest whole number.
 
     A source's words are taken the same number of times but for its last, partial round, so only the document at
-    that round's end is rounded.
+    that round's end is rounded. A document without a word isn't taken; rows that agree in doc_id (which may be null),
+    source and size are taken alike. No docs give no rows; columns may have any names.
     """
     plan = mix(docs, seed=seed).plan
     times = plan.where("taken > 0").select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times")
     )
-    rows = docs.withColumn("__words", n_words())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    # the row goes as one column, so that its columns may have any names
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("of"), n_words().alias("words"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & F.col("of").eqNullSafe(F.col("__source")) & (F.col("words") == F.col("__size"))
     found = rows.join(times, same).where("__times > 0")
-    return found.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    each = found.select("row", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("nth"))
+    return each.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -174,10 +174,12 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
     told = join_counted(own, classes, ["fp"], "n", rows).select(key().alias("__key"), F.col("t").alias("__t"), kept.alias("kept"))
     marked = cut(told.groupBy("__key", "__t").agg(F.first("kept").alias("kept"), F.count("*").alias("copies")).where("not kept or copies > 1"), "near-copies")
-    keyed = docs.withColumns({"__key": key(), "__t": F.xxhash64(F.col("text").cast("string"))})
-    left = keyed.join(marked.select("__key", "__t"), ["__key", "__t"], "left_anti").select(*docs.columns)
+    # the row goes as one column, so that its columns may have any names
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key().alias("__key"), F.xxhash64(F.col("text").cast("string")).alias("__t"))
+    columns = [F.col("row")[c].alias(c) for c in docs.columns]
+    left = keyed.join(marked.select("__key", "__t"), ["__key", "__t"], "left_anti").select(*columns)
     twice = marked.where("kept").select("__key", "__t")
     if twice.isEmpty():
         return left
-    once = keyed.join(twice, ["__key", "__t"]).groupBy("__key", "__t").agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return left.unionByName(once.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    once = keyed.join(twice, ["__key", "__t"]).groupBy("__key", "__t").agg(F.first("row").alias("row"))
+    return left.unionByName(once.select(*columns))

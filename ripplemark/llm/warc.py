@@ -134,7 +134,7 @@ class _Window:
     """Bytes of a file from a moving place, read in steps."""
 
     def __init__(self, source: pa.NativeFile, at: int, size: int) -> None:
-        self.source, self.base, self.data, self.size = source, at, b"", size
+        self.source, self.base, self.data, self.size = source, at, bytearray(), size
 
     def more(self) -> bool:
         at = self.base + len(self.data)

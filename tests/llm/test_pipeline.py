@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from brute import brute_components, brute_contamination, brute_fingerprint
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ripplemark.llm import records, registry
@@ -58,6 +59,25 @@ def test_stages(spark, tmp_path):
         start += r.n_tokens
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_tables(spark, name, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = {c: F.lit(c) for c in ("row", "items", "spans", "hash", "id", "t", "size", "taken", "component", "start", "lang_pred", "score", "__id", "__key", "__t", "of", "nth", "words")}
+    long = docs.limit(1).select(F.lit(-1).cast("long").alias("doc_id"), F.expr("repeat(concat(text, ' longer '), 300)").alias("text"), *docs.columns[2:])
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", None, None, 0), (-2, "again and again", "en", None, 2), (-2, "again and again", "en", None, 2)], docs.schema)
+    wide = cut(docs.limit(40).unionByName(long).unionByName(odd).withColumns(clash), "test")
+    assert stage(spark, wide.limit(0), SF).count() == 0
+    made = stage(spark, wide, SF)
+    rows = made.collect()
+    if name == "token_records":
+        assert made.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and len(rows) == wide.count()
+    else:
+        assert made.columns == wide.columns and all(r[c] == c for r in rows for c in clash)
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in wide.select("doc_id").collect()}
+        # the long text is most of its source, of which the mix takes less than half
+        assert (-1 in {r.doc_id for r in rows}) == (name != "source_mixing")
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
