@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, line_dedup, merkle, mixing, records, sharding, simhash, url_filter, warc
+from . import contamination, divergence, langid, line_dedup, merkle, mixing, packing, records, sharding, simhash, url_filter, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": lambda s, d: warc.query(_table(s, d, "pages")),
         "op9_source_mixing": lambda s, d: mixing.query(_table(s, d, "documents")),
         "op10_histogram_sharding": lambda s, d: sharding.query(_table(s, d, "documents")),
+        "op11_binary_packing": lambda s, d: packing.query(_table(s, d, "documents")),
+        "op12_vector_codes": lambda s, d: vector_codes.query(_table(s, d, "embeddings")),
+        "op13_source_divergence": lambda s, d: divergence.query(_table(s, d, "documents")),
     }
 
 
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": contamination.ORACLE,
         "op8_warc": warc.ORACLE,
         "op9_source_mixing": mixing.ORACLE,
+        "op12_vector_codes": vector_codes.ORACLE,
+        "op13_source_divergence": divergence.ORACLE,
     }
