@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import LIST_NAME, basename, is_semantic, line_class, normal_path
+from . import carry
 
 
-def segment(lines: DataFrame, key: str = "pr") -> DataFrame:
-    """Adds class, file_no and hunk_no: running counts of file headers, and of hunks in a file, in line order."""
+def segment(lines: DataFrame, key: str = "pr", chunk: int = carry.CHUNK) -> DataFrame:
+    """Adds class, file_no and hunk_no: running counts of file headers, and of hunks in a file, in line order. A change
+    set of any size is many tasks: see carry."""
     classed = lines.withColumn("class", line_class(F.col("text")))
-    order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    filed = classed.withColumn("file_no", F.sum((F.col("class") == "header").cast("int")).over(order))
-    within = Window.partitionBy(key, "file_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return filed.withColumn("hunk_no", F.sum((F.col("class") == "hunk").cast("int")).over(within))
+    return carry.sections(classed, F.col("class") == "header", F.col("class") == "hunk", [key], "line_no", "file_no", "hunk_no", chunk)
 
 
 def changed_lines(segmented: DataFrame, key: str = "pr", most: int = 40) -> DataFrame:
@@ -44,10 +43,9 @@ def changed_files(segmented: DataFrame, key: str = "pr") -> DataFrame:
     return found.withColumn("is_semantic", F.when(yaml, F.col("yaml_semantic")).otherwise(F.col("sql_semantic"))).drop("sql_semantic", "yaml_semantic")
 
 
-def attribute(lines: DataFrame, heading: Column, keys: list[str], order: str) -> DataFrame:
-    """Adds owner: the nearest heading at or before the line; null where there is none."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("owner", F.last(heading, ignorenulls=True).over(before))
+def attribute(lines: DataFrame, heading: Column, keys: list[str], order: str, chunk: int = carry.CHUNK) -> DataFrame:
+    """Adds owner: the nearest heading at or before the line, by a number; null where there is none."""
+    return carry.last_value(lines, heading, keys, order, "owner", chunk)
 
 
 def list_name(text: Column) -> Column:

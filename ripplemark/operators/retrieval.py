@@ -1,4 +1,4 @@
-"""Which rules a change calls for: eligibility, keyword evidence and TF-IDF."""
+"""Which rules a change calls for: keyword evidence and TF-IDF."""
 
 from __future__ import annotations
 
@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import glob_regex, tokens
+from ..functions.text import tokens
 
 #: A rule without a keyword hit is cited from this cosine on.
 MIN_SCORE = 0.15
 TOP_K = 3
 #: Rule vectors of up to so many terms are broadcast (some 50 bytes each).
 BROADCAST_TERMS = 500_000
-#: A rule as a row, and how many a plan may hold.
-RULE = "rule_id string, applies_as string, kinds array<string>, globs array<string>, requires map<string,string>"
-MOST_RULES = 1000
 
 
 def terms(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -63,49 +60,6 @@ def top_rules(scored: DataFrame, hits: DataFrame, by: str = "query_id", k: int =
     return both.where(F.col("has_keyword") | (F.col("score") >= floor)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def load_rules(rows: DataFrame, most: int = MOST_RULES) -> list[dict]:
-    """Rules from a table with the columns of RULE (any of which but rule_id may be missing or null): defaults filled in,
-    and refused with ValueError if an id is missing or repeats, applies_as is unknown, or there are over most of them."""
-    given = [f.split()[0] for f in RULE.split(", ")]
-    found = rows.select(*[c for c in given if c in rows.columns]).limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"over {most} rules")
-    rules, seen = [], set()
-    for row in (r.asDict() for r in found):
-        if not row["rule_id"] or row["rule_id"] in seen:
-            raise ValueError(f"rule id {row['rule_id']!r} is missing or repeats")
-        seen.add(row["rule_id"])
-        rule = {"rule_id": row["rule_id"], "applies_as": row.get("applies_as") or "retrieved", **{k: row.get(k) or kind() for k, kind in (("kinds", list), ("globs", list), ("requires", dict))}}
-        if rule["applies_as"] not in ("retrieved", "checklist"):
-            raise ValueError(f"{rule['rule_id']}: applies_as {rule['applies_as']!r}")
-        rules.append(rule)
-    return rules
-
-
-def eligibility(changed: DataFrame, rules: list[dict], applies_as: str = "retrieved") -> DataFrame:
-    """changed x rules with reason: null if the rule's kinds, globs and required attributes admit the change, else what
-    failed first. rules: rule_id, kinds, globs, requires (attribute -> value as text), applies_as.
-
-    Rules are data of the plan, so this is one pass over the changes that makes a row for each rule.
-    """
-    made = []
-    for rule in rules:
-        if rule.get("applies_as", "retrieved") != applies_as:
-            continue
-        reason = F.lit(None).cast("string")
-        for key, value in reversed(list(rule.get("requires", {}).items())):
-            reason = F.when(~F.col(key).cast("string").eqNullSafe(F.lit(value)), F.lit(f"requires {key}={value}")).otherwise(reason)
-        if rule.get("globs"):
-            fits = F.lit(False)
-            for glob in rule["globs"]:
-                fits = fits | F.col("path").rlike(glob_regex(glob))
-            reason = F.when(~fits, F.lit("path matches no glob")).otherwise(reason)
-        if rule.get("kinds"):
-            reason = F.when(~F.col("kind").isin(rule["kinds"]), F.concat(F.lit("kind "), "kind", F.lit(" is not covered"))).otherwise(reason)
-        made.append(F.struct(F.lit(rule["rule_id"]).alias("rule_id"), reason.alias("reason")))
-    return changed.select("*", F.inline(F.array(*made)))
-
-
 def signature(rules: DataFrame, key: str, text: str) -> DataFrame:
     """One row: 16 hex digits that change with any rule's id or text, whatever the rules' order. Rules are hashed one by
     one, the digests' eight words of 32 bits are summed (so no task holds all of them), and the sums hashed again."""

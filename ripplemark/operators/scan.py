@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..functions.text import basename, glob_regex, layer
-from .changes import list_name
+from ..functions.text import ENTRY_NAME, basename, glob_regex, layer
 
 SEVERITY_RANK = {"low": 0, "medium": 1}
 
@@ -26,6 +25,14 @@ class LineRule:
     category: str = "lint"
 
 
+#: What a finding belongs to. Lines without a change set are all of one.
+KEYS = ("pr", "path")
+
+
+def keys_of(lines: DataFrame) -> list[str]:
+    return [c for c in KEYS if c in lines.columns]
+
+
 class Registry:
     """Rules with unique ids and a severity of medium at most."""
 
@@ -42,7 +49,7 @@ class Registry:
         self.rules.append(rule)
 
     def findings(self, lines: DataFrame) -> DataFrame:
-        """(path, line_no, category, rule_id, severity, what) of lines (path, line_no, text), all rules in one pass."""
+        """(pr, path, line_no, category, rule_id, severity, what) of lines (pr, path, line_no, text), all rules in one pass."""
 
         def found(rule: LineRule) -> Column:
             fits = F.lit(False)
@@ -52,7 +59,8 @@ class Registry:
             return F.when(fits, each).otherwise(F.array().cast("array<struct<category:string,rule_id:string,severity:string,what:string>>"))
 
         every = F.concat(*[found(r) for r in self.rules])
-        return lines.select("path", "line_no", F.explode(every).alias("f")).select("path", "line_no", "f.*")
+        keys = keys_of(lines)
+        return lines.select(*keys, "line_no", F.explode(every).alias("f")).select(*keys, "line_no", "f.*")
 
 
 def one(value: Column) -> Column:
@@ -69,47 +77,53 @@ LINT = [
 
 
 def secret_findings(lines: DataFrame) -> DataFrame:
-    """(path, kind, preview, line_no): the first line of each kind in a file."""
-    found = lines.select("path", "line_no", patterns.secret(F.col("text"), F.col("path")).alias("s")).where("s is not null")
-    return found.groupBy("path", F.col("s.kind").alias("kind")).agg(F.min_by("s.preview", "line_no").alias("preview"), F.min("line_no").alias("line_no"))
+    """(pr, path, kind, preview, line_no): the first line of each kind in a file of a change set."""
+    keys = keys_of(lines)
+    found = lines.select(*keys, "line_no", patterns.secret(F.col("text"), F.col("path")).alias("s")).where("s is not null")
+    return found.groupBy(*keys, F.col("s.kind").alias("kind")).agg(F.min_by("s.preview", "line_no").alias("preview"), F.min("line_no").alias("line_no"))
 
 
 def lint_findings(lines: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """Lint findings, one for each file, rule and thing found (null comparisons and keys: one for each file)."""
+    """Lint findings, one for each change set, file, rule and thing found (null comparisons and keys: one for each file)."""
     every = (registry or Registry(LINT)).findings(lines)
     thing = F.when(F.col("rule_id") == "hardcoded-relation", F.lower("what")).otherwise("")
-    return every.groupBy("path", "category", "rule_id", "severity", thing.alias("thing")).agg(F.min_by("what", "line_no").alias("what"), F.min("line_no").alias("line_no")).drop("thing")
+    return every.groupBy(*keys_of(lines), "category", "rule_id", "severity", thing.alias("thing")).agg(F.min_by("what", "line_no").alias("what"), F.min("line_no").alias("line_no")).drop("thing")
 
 
 def cross_layer_findings(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A finding for each file and node that it refers to in a higher layer. lines: path, line_no, text; nodes: (name, path)."""
-    used = lines.where(basename(F.col("path")).endswith(".sql")).select("path", "line_no", layer(F.col("path")).alias("own_layer"), F.explode(patterns.references(F.col("text"))).alias("name"))
-    ranked = nodes.select("name", layer(F.col("path")).alias("target_layer")).where("target_layer is not null")
-    found = used.where("own_layer is not null").join(ranked, "name").where("target_layer > own_layer")
-    first = found.groupBy("path", F.col("name").alias("what")).agg(F.min("line_no").alias("line_no"))
-    return first.select("path", F.lit("lint").alias("category"), F.lit("cross-layer-reference").alias("rule_id"), F.lit("medium").alias("severity"), "what", "line_no")
-
-
-def missing_entry_findings(lines: DataFrame, documented: DataFrame) -> DataFrame:
-    """A finding for each SQL file whose name neither a list entry of its change set (pr) nor documented (name) has.
-    lines: pr, path, line_no, text."""
+    """A finding for each file of a change set and node that it refers to in a higher layer. lines: pr, path, line_no, text;
+    nodes: (name, path). Where both have a project, a name means that project's node."""
+    keys = keys_of(lines)
+    scope = ["project"] if "project" in lines.columns and "project" in nodes.columns else []
+    used = lines.where(basename(F.col("path")).endswith(".sql")).select(*keys, *scope, "line_no", layer(F.col("path")).alias("own_layer"), F.explode(patterns.references(F.col("text"))).alias("name"))
+    ranked = nodes.select(*scope, "name", layer(F.col("path")).alias("target_layer")).where("target_layer is not null")
+    found = used.where("own_layer is not null").join(ranked, [*scope, "name"]).where("target_layer > own_layer")
+    first = found.groupBy(*keys, F.col("name").alias("what")).agg(F.min("line_no").alias("line_no"))
+    return first.select(*keys, F.lit("lint").alias("category"), F.lit("cross-layer-reference").alias("rule_id"), F.lit("medium").alias("severity"), "what", "line_no")
+
+
+def missing_entry_findings(lines: DataFrame, documented: DataFrame, files: DataFrame) -> DataFrame:
+    """A finding for each added SQL file whose name neither a list entry of its change set nor documented (name) has.
+    lines: pr, path, line_no, text; files: (pr, path, change_type), as of changed_files()."""
     name = F.regexp_replace(basename(F.translate("path", "\\", "/")), r"\.sql$", "")
-    added = lines.where(F.endswith(F.col("path"), F.lit(".sql"))).groupBy("pr", "path").agg(F.min("line_no").alias("line_no")).withColumn("name", name)
-    here = lines.where(F.col("path").rlike(r"\.ya?ml$")).select("pr", list_name(F.col("text")).alias("name")).where("name is not null")
-    found = missing_entries(added, here, documented)
-    return found.select("path", F.lit("lint").alias("category"), F.lit("missing-schema-entry").alias("rule_id"), F.lit("medium").alias("severity"), F.col("name").alias("what"), "line_no")
+    added = files.where((F.col("change_type") == "added") & F.endswith(F.col("path"), F.lit(".sql"))).select("pr", "path").distinct().withColumn("name", name)
+    entry = F.regexp_extract(F.col("text"), ENTRY_NAME, 1)
+    here = lines.where(F.col("path").rlike(r"\.ya?ml$")).select("pr", entry.alias("name")).where("name <> ''")
+    found = missing_entries(added, here, documented).join(lines.groupBy("pr", "path").agg(F.min("line_no").alias("line_no")), ["pr", "path"], "left")
+    return found.select("pr", "path", F.lit("lint").alias("category"), F.lit("missing-schema-entry").alias("rule_id"), F.lit("medium").alias("severity"), F.col("name").alias("what"), "line_no")
 
 
-def all_findings(lines: DataFrame, scope: str = "models/**", nodes: DataFrame | None = None, documented: DataFrame | None = None) -> DataFrame:
-    """Lint findings of files in scope and secrets of every file; with nodes (name, path) and documented (name) also
-    references to higher layers and missing entries."""
+def all_findings(lines: DataFrame, scope: str = "models/**", nodes: DataFrame | None = None, documented: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Lint findings of files in scope and secrets of every file, by change set and path; with nodes (name, path) also
+    references to higher layers, with files (pr, path, change_type) and documented (name) also added files without an entry."""
     inside = F.translate("path", "\\", "/").rlike(glob_regex(scope))
-    lint = lint_findings(lines.where(inside)).select("path", "category", "rule_id", "severity", "what", "line_no")
-    secrets = secret_findings(lines).select("path", F.lit("secret").alias("category"), F.col("kind").alias("rule_id"), F.lit("medium").alias("severity"), F.col("preview").alias("what"), "line_no")
+    keys = keys_of(lines)
+    lint = lint_findings(lines.where(inside)).select(*keys, "category", "rule_id", "severity", "what", "line_no")
+    secrets = secret_findings(lines).select(*keys, F.lit("secret").alias("category"), F.col("kind").alias("rule_id"), F.lit("medium").alias("severity"), F.col("preview").alias("what"), "line_no")
     if nodes is not None:
         lint = lint.unionByName(cross_layer_findings(lines.where(inside), nodes))
-    if documented is not None:
-        lint = lint.unionByName(missing_entry_findings(lines.where(inside), documented))
+    if files is not None and documented is not None:
+        lint = lint.unionByName(missing_entry_findings(lines.where(inside), documented, files.where(inside)))
     return lint.unionByName(secrets)
 
 

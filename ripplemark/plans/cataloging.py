@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import scratch
 from ..sources import catalog as C
 from ..streaming import events as S
 from .tables import Tables
@@ -132,6 +133,15 @@ def retracted_reviews(t: Tables) -> DataFrame:
     return S.retracted(_reviews(t)).select("key", "delivery_id")
 
 
+def review_feed(t: Tables) -> DataFrame:
+    """The feed of a stream of reviews that arrive in files, each of which is a batch, summed up: what is live, what was taken back."""
+    at = scratch(t.spark, "reviews")
+    _reviews(t).repartitionByRange(4, "delivery_id").write.parquet(f"{at}/in")
+    stream = t.spark.readStream.schema(t.spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    S.maintain_feed(stream, f"{at}/live", f"{at}/feed", f"{at}/checkpoint", buckets=8).awaitTermination()
+    return S.feed_state(t.spark, f"{at}/feed").select("key", "op", F.when(F.col("op") == "upsert", F.col("delivery_id")).alias("delivery_id"))
+
+
 def dedupe_events(t: Tables) -> DataFrame:
     rows = t.events.select(F.col("event_id").alias("delivery_id"), "ts", "event_type")
     return S.deduped(rows.unionByName(rows.where("delivery_id % 10 = 0")))
@@ -139,7 +149,7 @@ def dedupe_events(t: Tables) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     catalog_scan, version_gate, node_table, edge_table, column_test_index, column_evidence, head_or_base_text, first_usable_source, latest_artifact_asof, stale_catalogs, asof_catalog,
-    event_routing, latest_review_per_key, retracted_reviews, dedupe_events,
+    event_routing, latest_review_per_key, retracted_reviews, review_feed, dedupe_events,
 )}
 _C = "c AS (SELECT *, CAST(c_custkey AS VARCHAR) AS k, c_nationkey + 100 * (c_custkey // 1000) AS project FROM customer)"
 _ASOF = """r AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'), f AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'signup' {more}),
@@ -172,5 +182,6 @@ FROM events LEFT JOIN b USING (user_id) WHERE event_type = 'purchase' AND (g IS
     "event_routing": "SELECT event_id, CASE WHEN event_type = 'view' THEN 'ping' WHEN event_id % 13 = 0 THEN 'unhandled' WHEN event_type IN ('signup', 'click', 'purchase') THEN 'actionable' ELSE 'ignored' END AS route FROM events",
     "latest_review_per_key": f"WITH {_REV} SELECT key, delivery_id, ts FROM l WHERE NOT nothing",
     "retracted_reviews": f"WITH {_REV} SELECT key, delivery_id FROM l WHERE nothing AND key IN (SELECT key FROM r WHERE NOT nothing)",
+    "review_feed": f"WITH {_REV} SELECT key, CASE WHEN nothing THEN 'retract' ELSE 'upsert' END AS op, CASE WHEN NOT nothing THEN delivery_id END AS delivery_id FROM l WHERE NOT nothing OR key IN (SELECT key FROM r WHERE NOT nothing)",
     "dedupe_events": "SELECT event_id AS delivery_id, ts, event_type FROM events",
 }

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..functions.text import ALIAS, LIST_NAME, STOPWORDS, TEMPLATE, TOKEN, aliases, flat, has_extension, line_class, normal_path, tokens
-from ..operators import changes, scan
+from ..functions.text import ALIAS, ENTRY_NAME, LIST_NAME, STOPWORDS, TEMPLATE, TOKEN, aliases, flat, has_extension, line_class, normal_path, tokens
+from ..operators import blocks, changes, scan
+from ..shared import scratch
 from ..sources import diffs as diff_files
+from ..streaming import events
 from .tables import EDGES, LINES, Tables, edges, label, label_sql, lines
 
 # Lines that hold what documents don't: made from a digest of each document's text, chosen by its id.
@@ -32,9 +34,10 @@ PLANTED = [
     "'  amount as Total_' || lang || ','",
     "'update t set a = null'",
     "'where x = null -- or y <> null'",
-    "'join {{ ref(\"p\", \"d' || (doc_id + 2) || '\") }} on a = b'",
+    "'join {{ ref(\"d' || (doc_id + 2) || '\", v=1) }} on a = b'",
     "'  - name: d' || (doc_id + 3)",
 ]
+BLOCKS = ["'columns:'", "'tests:'", "'data_type: int'", "'note: x'", "''"] + ["'- name: N' || (line_no % 7)"] * 4
 PATHS = [
     "'models/staging/' || lang || '/d' || doc_id || '.sql'",
     "'models/marts/' || lang || '/d' || doc_id || '.yml'",
@@ -65,6 +68,15 @@ code AS (SELECT lang AS pr, {_PATH} AS path, unnest(range(len(string_split(text,
          UNION ALL SELECT lang, {_PATH}, -1, {_case(f"(doc_id // 5) % {len(PLANTED)}", PLANTED)} FROM docs)"""
 
 
+def files(t: Tables) -> DataFrame:
+    """(pr, path, change_type): the files of code(), read from a diff of each change set, in which every third one is new."""
+    docs = t.documents.selectExpr("doc_id", "lang", "lang as pr", "text").withColumn("path", F.expr(_PATH.replace("\\", "\\\\")))
+    head = F.array_compact(F.array(F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.when(F.col("doc_id") % 3 == 0, F.lit("new file mode 100644")), F.lit("@@ -1 +1 @@")))
+    body = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x))
+    found = docs.select("pr", "doc_id", F.posexplode(F.concat(head, body)).alias("at", "text"))
+    return changes.changed_files(changes.segment(found.withColumn("line_no", F.col("doc_id") * 2**24 + F.col("at")))).select("pr", "path", "change_type")
+
+
 def diffs(t: Tables) -> DataFrame:
     """(pr, line_no, text): each document as a diff; every ninth line opens a file and the next a hunk."""
     at = F.col("line_no") % 9
@@ -122,6 +134,21 @@ def segment_lines(t: Tables) -> DataFrame:
     return changes.segment(diffs(t)).select("pr", "line_no", "class", "file_no", "hunk_no")
 
 
+def scanned_lines(t: Tables) -> DataFrame:
+    """Diffs of sources, written as text files (a source's in as many as its lines take) and read in splits."""
+    at = scratch(t.spark, "diff-files")
+    rows = t.documents.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line")).select(F.coalesce("source", F.lit("")).alias("pr"), "doc_id", "nth", F.concat(F.lit("+"), "line").alias("value"))
+    rows.repartitionByRange("pr", "doc_id", "nth").sortWithinPartitions("pr", "doc_id", "nth").select(F.concat(F.lit("s-"), "pr").alias("pr"), "value").write.partitionBy("pr").option("lineSep", "\n").text(at)
+    read = diff_files.read_lines(t.spark, at, F.substring("pr", 3, 1 << 30), line_sep="\n")
+    return read.select("pr", "line_no", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def nested_block_scan(t: Tables) -> DataFrame:
+    """Lines of documents, as many as make a hunk of 30, stand for entries of blocks by their lengths."""
+    rows = lines(t).select("file", F.floor(F.col("line_no") / 30).alias("hunk"), "line_no", F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit(" ")), (F.length("text") % 3 + 1).cast("int")).alias("op"), F.expr(_case("(length(text) div 3) % 9", BLOCKS)).alias("body"), (F.length("text") % 4 * 2).cast("int").alias("depth"))
+    return blocks.nested_columns(rows.withColumn("text", F.concat(F.repeat(F.lit(" "), F.col("depth")), "body")), ["file", "hunk"])
+
+
 def semantic_flag(t: Tables) -> DataFrame:
     return changes.changed_files(changes.segment(diffs(t))).select("pr", "file_no", "is_semantic")
 
@@ -253,6 +280,15 @@ def secret_findings(t: Tables) -> DataFrame:
     return scan.secret_findings(code(t))
 
 
+def incremental_findings(t: Tables) -> DataFrame:
+    """The same from a stream: lines arrive in files, each of which is a batch, and the first finding of a kind is kept."""
+    at = scratch(t.spark, "arriving")
+    code(t).repartitionByRange(3, "line_no").write.parquet(f"{at}/lines")
+    stream = t.spark.readStream.schema(t.spark.read.parquet(f"{at}/lines").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/lines")
+    events.maintain_findings(stream, f"{at}/kept", f"{at}/checkpoint", buckets=8).awaitTermination()
+    return events.live_state(t.spark, f"{at}/kept").select("pr", "path", "kind", "preview", "line_no")
+
+
 def hardcoded_relations(t: Tables) -> DataFrame:
     return _lint(t, "hardcoded-relation")
 
@@ -277,7 +313,7 @@ def all_findings(t: Tables) -> DataFrame:
 def _findings(t: Tables) -> DataFrame:
     """All checks; documents are the nodes, those with a label are documented."""
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name")
-    return scan.all_findings(code(t), nodes=t.documents.select(name, F.expr(_PATH.replace("\\", "\\\\")).alias("path")), documented=t.labels.select(name).distinct())
+    return scan.all_findings(code(t), nodes=t.documents.select(name, F.expr(_PATH.replace("\\", "\\\\")).alias("path")), documented=t.labels.select(name).distinct(), files=files(t))
 
 
 def line_references(t: Tables) -> DataFrame:
@@ -286,8 +322,8 @@ def line_references(t: Tables) -> DataFrame:
 
 
 def missing_entry_lines(t: Tables) -> DataFrame:
-    """SQL files without an entry, read from lines."""
-    return _findings(t).where("rule_id = 'missing-schema-entry'").select("path", "what", "line_no")
+    """Added SQL files without an entry, read from lines."""
+    return _findings(t).where("rule_id = 'missing-schema-entry'").select("pr", "path", "what", "line_no")
 
 
 def cross_layer_refs(t: Tables) -> DataFrame:
@@ -351,34 +387,35 @@ _KEY, _VALUE = (f"regexp_extract(text, '{_q(patterns.ASSIGNMENT)}', {i})" for i
 _SECRETS = f"""{CODE},
 parsed AS (SELECT *, {_PROVIDER} AS provider, {_URL} AS url, {_KEY} AS key, {_VALUE} AS value, {_CONFIG} AS config FROM code),
 told AS (SELECT *, provider IS NULL AND url <> '' AND {_literal_sql('url', 'true')} IS NOT NULL AS by_url, key <> '' AND NOT regexp_matches(key, '{patterns.DESCRIPTIVE_KEY}') AND {_literal_sql('value', 'config')} IS NOT NULL AS by_key FROM parsed),
-secrets AS (SELECT path, line_no, coalesce(provider, CASE WHEN by_url THEN '{patterns.URL_KIND}' WHEN by_key THEN concat('literal value for `', key, '`') END) AS kind, {_PREVIEW} AS preview FROM told),
-secret_rows AS (SELECT path, kind, arg_min(preview, line_no) AS preview, CAST(min(line_no) AS INTEGER) AS line_no FROM secrets WHERE kind IS NOT NULL GROUP BY path, kind)
+secrets AS (SELECT pr, path, line_no, coalesce(provider, CASE WHEN by_url THEN '{patterns.URL_KIND}' WHEN by_key THEN concat('literal value for `', key, '`') END) AS kind, {_PREVIEW} AS preview FROM told),
+secret_rows AS (SELECT pr, path, kind, arg_min(preview, line_no) AS preview, CAST(min(line_no) AS INTEGER) AS line_no FROM secrets WHERE kind IS NOT NULL GROUP BY pr, path, kind)
 """
 _BLANK = f"regexp_replace(text, '{TEMPLATE}', ' ', 'g')"
 _CODE_PART = f"regexp_replace(string_split(text, '--')[1], '{TEMPLATE}', ' ', 'g')"
 _LINT = f""",
 sqlf AS (SELECT * FROM code WHERE ends_with(path, '.sql') AND NOT starts_with(ltrim(text), '--')),
-hc AS (SELECT path, 'lint' AS category, 'hardcoded-relation' AS rule_id, 'medium' AS severity, arg_min(w, line_no) AS what, CAST(min(line_no) AS INTEGER) AS line_no
-       FROM (SELECT path, line_no, unnest(regexp_extract_all({_BLANK}, '{patterns.HARDCODED}', 1)) AS w FROM sqlf) GROUP BY path, lower(w)),
-nc AS (SELECT path, 'lint' AS category, 'null-comparison' AS rule_id, 'medium' AS severity, arg_min(CASE WHEN op IN ('!=', '<>') THEN op ELSE '=' END, line_no) AS what, CAST(min(line_no) AS INTEGER) AS line_no
-       FROM (SELECT path, line_no, c, regexp_extract(c, '{patterns.NULL_COMPARISON}', 1) AS op, regexp_extract(c, '{patterns.NULL_COMPARISON}') AS hit FROM (SELECT *, {_CODE_PART} AS c FROM sqlf))
-       WHERE op <> '' AND NOT regexp_matches(string_split(c, hit)[1], '(?i)\\bset\\b') GROUP BY path),
-dk AS (SELECT path, 'lint' AS category, 'deprecated-tests-key' AS rule_id, 'low' AS severity, 'tests:' AS what, CAST(min(line_no) AS INTEGER) AS line_no FROM code
-       WHERE regexp_matches(path, '\\.ya?ml$') AND regexp_matches(text, '^\\s*tests:\\s*$') GROUP BY path),
+hc AS (SELECT pr, path, 'lint' AS category, 'hardcoded-relation' AS rule_id, 'medium' AS severity, arg_min(w, line_no) AS what, CAST(min(line_no) AS INTEGER) AS line_no
+       FROM (SELECT pr, path, line_no, unnest(regexp_extract_all({_BLANK}, '{patterns.HARDCODED}', 1)) AS w FROM sqlf) GROUP BY pr, path, lower(w)),
+nc AS (SELECT pr, path, 'lint' AS category, 'null-comparison' AS rule_id, 'medium' AS severity, arg_min(CASE WHEN op IN ('!=', '<>') THEN op ELSE '=' END, line_no) AS what, CAST(min(line_no) AS INTEGER) AS line_no
+       FROM (SELECT pr, path, line_no, c, regexp_extract(c, '{patterns.NULL_COMPARISON}', 1) AS op, regexp_extract(c, '{patterns.NULL_COMPARISON}') AS hit FROM (SELECT *, {_CODE_PART} AS c FROM sqlf))
+       WHERE op <> '' AND NOT regexp_matches(string_split(c, hit)[1], '(?i)\\bset\\b') GROUP BY pr, path),
+dk AS (SELECT pr, path, 'lint' AS category, 'deprecated-tests-key' AS rule_id, 'low' AS severity, 'tests:' AS what, CAST(min(line_no) AS INTEGER) AS line_no FROM code
+       WHERE regexp_matches(path, '\\.ya?ml$') AND regexp_matches(text, '^\\s*tests:\\s*$') GROUP BY pr, path),
 layers AS (SELECT path, translate(path, '\\', '/') AS p, CASE WHEN contains(p, 'models/staging/') THEN 0 WHEN contains(p, 'models/intermediate/') THEN 1 WHEN contains(p, 'models/marts/') THEN 2 END AS layer, concat('d', doc_id) AS name FROM (SELECT doc_id, {_PATH} AS path FROM docs)),
-used AS (SELECT path, line_no, unnest(regexp_extract_all(text, '{_q(patterns.REFERENCE)}', 1)) AS name FROM sqlf),
-cl AS (SELECT u.path, 'lint' AS category, 'cross-layer-reference' AS rule_id, 'medium' AS severity, u.name AS what, CAST(min(line_no) AS INTEGER) AS line_no
-       FROM used u JOIN (SELECT DISTINCT path, layer FROM layers) o ON o.path = u.path JOIN layers x ON x.name = u.name WHERE x.layer > o.layer GROUP BY u.path, u.name),
-added AS (SELECT pr, path, regexp_replace(list_last(string_split(translate(path, '\\', '/'), '/')), '\\.sql$', '') AS name, CAST(min(line_no) AS INTEGER) AS line_no FROM code WHERE ends_with(path, '.sql') AND starts_with(translate(path, '\\', '/'), 'models/') GROUP BY ALL),
-here AS (SELECT DISTINCT pr, regexp_extract(text, '{_q(LIST_NAME)}', 1) AS name FROM code WHERE regexp_matches(path, '\\.ya?ml$') AND starts_with(translate(path, '\\', '/'), 'models/')),
-me AS (SELECT path, 'lint' AS category, 'missing-schema-entry' AS rule_id, 'medium' AS severity, name AS what, line_no FROM added a
+used AS (SELECT pr, path, line_no, unnest(regexp_extract_all(text, '{_q(patterns.REFERENCE)}', 1)) AS name FROM sqlf),
+cl AS (SELECT u.pr, u.path, 'lint' AS category, 'cross-layer-reference' AS rule_id, 'medium' AS severity, u.name AS what, CAST(min(line_no) AS INTEGER) AS line_no
+       FROM used u JOIN (SELECT DISTINCT path, layer FROM layers) o ON o.path = u.path JOIN layers x ON x.name = u.name WHERE x.layer > o.layer GROUP BY u.pr, u.path, u.name),
+added AS (SELECT pr, path, regexp_replace(list_last(string_split(translate(path, '\\', '/'), '/')), '\\.sql$', '') AS name, CAST(min(line_no) AS INTEGER) AS line_no FROM code WHERE ends_with(path, '.sql') AND starts_with(translate(path, '\\', '/'), 'models/')
+          AND path IN (SELECT {_PATH} FROM docs WHERE doc_id % 3 = 0) GROUP BY ALL),
+here AS (SELECT DISTINCT pr, regexp_extract(text, '{_q(ENTRY_NAME)}', 1) AS name FROM code WHERE regexp_matches(path, '\\.ya?ml$') AND starts_with(translate(path, '\\', '/'), 'models/')),
+me AS (SELECT pr, path, 'lint' AS category, 'missing-schema-entry' AS rule_id, 'medium' AS severity, name AS what, line_no FROM added a
        WHERE NOT EXISTS (SELECT 1 FROM here h WHERE h.pr = a.pr AND h.name = a.name) AND name NOT IN (SELECT concat('d', doc_id) FROM labels)),
 lint AS (SELECT * FROM hc UNION ALL SELECT * FROM nc UNION ALL SELECT * FROM dk UNION ALL SELECT * FROM cl UNION ALL SELECT * FROM me),
-findings AS (SELECT * FROM lint WHERE starts_with(translate(path, '\\', '/'), 'models/') UNION ALL SELECT path, 'secret', kind, 'medium', preview, line_no FROM secret_rows)
+findings AS (SELECT * FROM lint WHERE starts_with(translate(path, '\\', '/'), 'models/') UNION ALL SELECT pr, path, 'secret', kind, 'medium', preview, line_no FROM secret_rows)
 """
 
 QUERIES = {f.__name__: f for f in (
-    diff_lines, shown_lines, line_classes, segment_lines, semantic_flag, heading_attribution, owner_attribution, first_wins, net_column_delta, snapshot_diff, rename_detection, alias_extract, path_normalise,
+    diff_lines, shown_lines, scanned_lines, nested_block_scan, incremental_findings, line_classes, segment_lines, semantic_flag, heading_attribution, owner_attribution, first_wins, net_column_delta, snapshot_diff, rename_detection, alias_extract, path_normalise,
     path_suffix_join, rename_fallback_join, unresolved_anti, findings_with_owner, secret_formats, secret_urls, secret_assignments, secret_findings, hardcoded_relations, null_comparisons,
     deprecated_keys, all_findings, line_references, missing_entry_lines, cross_layer_refs, missing_entry_anti, report_rows, change_summary,
 )} | {"tokens": tokens_query}
@@ -387,6 +424,25 @@ QUERIES = {f.__name__: f for f in (
 _ALIAS_SQL = ALIAS.replace(r"\bas", r"(?:^|[^\pL\pN_])as")
 _TURNS = """turns AS (SELECT *, last_value(CASE WHEN role = 'system' THEN concat('m', turn) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS owner FROM conversations),
 members AS (SELECT * FROM turns WHERE role <> 'system')"""
+# the fold as a recursive query: a step reads the next entry of every hunk; none is -2, no heading -1
+_NESTED = f"""WITH RECURSIVE {LINES},
+raw AS (SELECT file, line_no // 30 AS hunk, line_no, ['+', '-', ' '][length(text) % 3 + 1] AS op, concat(repeat(' ', CAST(length(text) % 4 * 2 AS BIGINT)), {_case("(length(text) // 3) % 9", BLOCKS)}) AS text FROM lines),
+entry AS MATERIALIZED (SELECT file, hunk, op, row_number() OVER (PARTITION BY file, hunk ORDER BY line_no) AS nth, CAST(length(text) - length(ltrim(text)) AS BIGINT) AS depth, regexp_extract(text, '{_q(LIST_NAME)}', 1) AS name,
+  CASE WHEN starts_with(ltrim(text), 'tests:') THEN 'tests' WHEN starts_with(ltrim(text), 'columns:') THEN 'columns' WHEN starts_with(ltrim(text), 'data_type:') THEN 'key' WHEN name <> '' THEN 'item' ELSE 'other' END AS kind FROM raw WHERE ltrim(text) <> ''),
+step AS (
+  SELECT DISTINCT file, hunk, 0::BIGINT AS nth, -2::BIGINT AS t, -2::BIGINT AS c, -1::BIGINT AS h, -2::BIGINT AS hd, CAST([] AS STRUCT(h BIGINT, i BIGINT, op VARCHAR, name VARCHAR)[]) AS items FROM entry
+  UNION ALL
+  SELECT file, hunk, nth, CASE WHEN kind = 'tests' THEN depth ELSE t2 END,
+    CASE WHEN kind = 'columns' THEN depth WHEN opens OR closed THEN -2 WHEN bares THEN CASE WHEN h >= 0 THEN hd - 1 ELSE -1 END ELSE c END,
+    CASE WHEN opens THEN n WHEN bares THEN -1 ELSE h END, CASE WHEN opens THEN depth ELSE hd END,
+    CASE WHEN placed THEN list_append(items, struct_pack(h := CASE WHEN opens THEN n ELSE h END, i := n, op := op, name := name))
+         WHEN bares AND h >= 0 THEN list_transform(items, lambda x: struct_pack(h := CASE WHEN x.h = h THEN -1 ELSE x.h END, i := x.i, op := x.op, name := x.name)) ELSE items END
+  FROM (SELECT *, placed AND NOT (c <> -2 AND depth > c) AS opens FROM (
+    SELECT s.file, s.hunk, e.nth, e.op, e.name, e.kind, e.depth, s.c, s.h, s.hd, s.items, CAST(len(s.items) AS BIGINT) AS n, CASE WHEN e.depth <= s.t THEN -2 ELSE s.t END AS t2,
+      e.kind = 'item' AND (s.t = -2 OR e.depth <= s.t) AS placed, e.kind = 'key' AND s.c = -2 AS bares, e.kind = 'other' AND s.h >= 0 AND e.depth <= s.hd AS closed
+    FROM step s JOIN entry e ON e.file = s.file AND e.hunk = s.hunk AND e.nth = s.nth + 1))),
+ended AS (SELECT file, hunk, items, unnest(items) AS x FROM (SELECT file, hunk, arg_max(items, nth) AS items FROM step GROUP BY ALL))
+SELECT DISTINCT file, hunk, CASE WHEN x.h >= 0 THEN items[x.h + 1].name END AS owner, x.op AS op, lower(x.name) AS column FROM ended WHERE x.h <> x.i AND x.op IN ('+', '-')"""
 ORACLES = {
     "diff_lines": f"WITH {DIFFS} SELECT pr, file_no, path, previous_path, change_type, n_added, n_removed FROM files WHERE regexp_matches(path, '\\.(sql|yml|yaml|csv|py)$')",
     "shown_lines": f"""WITH {DIFFS}, sl AS (SELECT concat(pr, '/', line_no // 900) AS pr, line_no % 900 AS line_no, class FROM seg),
@@ -425,11 +481,15 @@ JOIN (SELECT * FROM after WHERE c_custkey NOT IN (SELECT c_custkey FROM before))
     "secret_urls": f"WITH {CODE}, u AS (SELECT *, {_URL} AS url FROM code) SELECT path, CAST(line_no AS INTEGER) AS line_no FROM u WHERE url <> '' AND {_literal_sql('url', 'true')} IS NOT NULL",
     "secret_assignments": f"WITH {_SECRETS} SELECT path, CAST(line_no AS INTEGER) AS line_no, key FROM told WHERE by_key",
     "secret_findings": f"WITH {_SECRETS} SELECT * FROM secret_rows",
+    "incremental_findings": f"WITH {_SECRETS} SELECT * FROM secret_rows",
+    "scanned_lines": """SELECT coalesce(source, '') AS pr, row_number() OVER (PARTITION BY source ORDER BY doc_id, nth) - 1 AS line_no, md5(concat('+', line)) AS digest
+FROM (SELECT source, doc_id, unnest(range(len(string_split(text, chr(10))))) AS nth, unnest(string_split(text, chr(10))) AS line FROM documents)""",
+    "nested_block_scan": _NESTED,
     "hardcoded_relations": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no FROM hc",
     "null_comparisons": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no, CASE WHEN what = '=' THEN 'is null' ELSE 'is not null' END AS fix FROM nc",
     "deprecated_keys": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no FROM dk",
     "line_references": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no FROM cl",
-    "missing_entry_lines": f"WITH {_SECRETS}{_LINT} SELECT path, what, line_no FROM me",
+    "missing_entry_lines": f"WITH {_SECRETS}{_LINT} SELECT pr, path, what, line_no FROM me",
     "all_findings": f"WITH {_SECRETS}{_LINT} SELECT * FROM findings",
     "cross_layer_refs": f"WITH {EDGES}, r AS (SELECT child AS s, parent AS t FROM edges UNION SELECT parent, child FROM edges WHERE parent >= 4000000000) SELECT {label_sql('s')} AS source, {label_sql('t')} AS target FROM r WHERE t // 1000000000 > s // 1000000000",
     "missing_entry_anti": "SELECT source AS pr, doc_id AS name FROM documents WHERE doc_id % 13 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.carry import numbered
+
 
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:
     """(pr, line_no, text) of a folder's .diff files, one change set each; pr is the file's name without its ending."""
-    texts = spark.read.option("pathGlobFilter", "*.diff").text(path, wholetext=True)
-    return lines(texts.select(F.regexp_replace("_metadata.file_name", r"\.diff$", "").alias("pr"), F.col("value").alias("diff")))
+    return read_lines(spark, path, F.regexp_replace("_metadata.file_name", r"\.diff$", ""), "*.diff")
+
+
+def read_lines(spark: SparkSession, path: str, key: Column, names: str = "*", line_sep: str | None = None) -> DataFrame:
+    """(pr, line_no, text): the lines of text files, numbered from 0 within a key (which may use _metadata and partition
+    columns), files of a key in the order of their names. line_sep: by default any of the usual line ends.
+
+    Files are read in splits like any other, so one of any size is many tasks. A split's rows come in order, so a line's
+    place among the rows of its split and file is known there; what is added to it are the lines of the splits before.
+    """
+    reader = spark.read.option("pathGlobFilter", names)
+    rows = (reader.option("lineSep", line_sep) if line_sep else reader).text(path)
+    read = rows.select(key.alias("pr"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("text"))
+    first = F.min("__id").alias("__first")
+    starts = read.groupBy("pr", "__file", "__block").agg(first)
+    placed = read.join(starts.select(F.col("__file").alias("__f"), F.col("__block").alias("__b"), F.col("pr").alias("__pr"), "__first"), (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")) & F.col("pr").eqNullSafe(F.col("__pr")))
+    return numbered(placed, ["pr"], ["__file", "__block"], F.col("__id") - F.col("__first"), "line_no").select("pr", "line_no", "text")
 
 
 def lines(diffs: DataFrame, key: str = "pr", text: str = "diff") -> DataFrame:

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplemark.functions import patterns, text
-from ripplemark.operators import changes, evaluate, graph, retrieval, scan
-from ripplemark.operators.blocks import hunk_columns, nested_columns
+from ripplemark.operators import changes, evaluate, graph, retrieval, rules, scan
+from ripplemark.operators.blocks import nested_columns
 from ripplemark.sources import catalog
 from ripplemark.streaming import events
 
@@ -172,13 +172,19 @@ def test_nested_blocks(spark):
     columns:
 +      - name: fresh""".split("\n")
     lines = [(x[0] if x[0] in "+-" else " ", " " + x[1:]) for x in hunk]
-    assert hunk_columns(lines) == [("orders", "+", "added"), ("orders", "-", "gone"), ("other", "+", "fresh")]
     mid = [(" ", "      - name: known"), (" ", "        data_type: int"), ("-", "      - name: lost"), ("+", "      - name: kept")]
-    assert hunk_columns(mid) == [(None, "+", "kept"), (None, "-", "lost")]
-    assert hunk_columns([("+", "  - name: col"), ("+", "    data_type: int")]) == [(None, "+", "col")]
-    rows = [("p", h, i, op, t) for h, part in enumerate((lines, mid)) for i, (op, t) in enumerate(part)]
-    got = nested_columns(spark.createDataFrame(rows, "pr string, hunk int, line_no int, op string, text string"), ["pr", "hunk"])
-    assert sorted((r.hunk, r.owner, r.column) for r in got.where("owner is not null").collect()) == [(0, "orders", "added"), (0, "orders", "gone"), (0, "other", "fresh")]
+    alone = [("+", "  - name: col"), ("+", "    data_type: int")]
+    # a heading that turns out to be a column takes what it gathered with it; a note at its depth ends a list of columns
+    turned = [("+", "- name: a"), ("+", "  columns:"), ("+", "    - name: B"), ("+", "- name: c"), ("+", "  note: x"), ("+", "  quote: true"), ("+", "- name: d"), ("+", ""), ("+", "\t")]
+    hunks = [lines, mid, alone, turned, [("+", "  tests:"), ("+", "    - name: t")], [("+", "")]]
+    rows = [("p", h, i, op, t) for h, part in enumerate(hunks) for i, (op, t) in enumerate(part)]
+    got = nested_columns(spark.createDataFrame(rows, "pr string, hunk int, line_no int, op string, text string").repartition(3), ["pr", "hunk"])
+    found = {h: sorted([(r.owner, r.op, r.column) for r in got.collect() if r.hunk == h], key=str) for h in range(len(hunks))}
+    assert found[0] == [("orders", "+", "added"), ("orders", "-", "gone"), ("other", "+", "fresh")]
+    assert found[1] == [(None, "+", "kept"), (None, "-", "lost")]
+    assert found[2] == [(None, "+", "col")]
+    assert found[3] == [("a", "+", "b"), (None, "+", "c"), (None, "+", "d")]
+    assert found[4] == found[5] == []
 
 
 def test_paths_resolve_by_either_suffix(spark):
@@ -201,11 +207,14 @@ def test_owner_rules(spark):
 
 
 def test_eligibility_names_the_first_reason(spark):
-    rules = [{"rule_id": "r", "kinds": ["model"], "globs": ["models/*"], "requires": {"access": "public", "contracted": "true"}}, {"rule_id": "c", "applies_as": "checklist"}]
-    rows = [("seed", "x", "public", True), ("model", "x", "public", True), ("model", "models/x", "private", True), ("model", "models/x", "public", False), ("model", "models/x", "public", True)]
-    df = spark.createDataFrame(rows, "kind string, path string, access string, contracted boolean")
-    assert [r.reason for r in retrieval.eligibility(df, rules).collect()] == ["kind seed is not covered", "path matches no glob", "requires access=public", "requires contracted=true", None]
-    assert retrieval.eligibility(df, rules, "checklist").where("reason is null").count() == len(rows)
+    given = [("r", None, ["model"], ["models/*"], {"access": "public", "contracted": "true"}), ("c", "checklist", None, None, None)]
+    loaded = rules.load(spark.createDataFrame(given, rules.RULE))
+    rows = [(0, "seed", "x", "public", True), (1, "model", "x", "public", True), (2, "model", "models/x", "private", True), (3, "model", "models/x", "public", False), (4, "model", "models\\x", "public", True)]
+    df = spark.createDataFrame(rows, "n int, kind string, path string, access string, contracted boolean")
+    got = rules.reasons(df, loaded, ("access", "contracted")).orderBy("n").collect()
+    assert [r.reason for r in got] == ["kind seed is not covered", "path matches no glob", "requires access=public", "requires contracted=true", None]
+    assert [r.n for r in rules.eligible(df, loaded, ("access", "contracted")).collect()] == [4]
+    assert rules.reasons(df, loaded, applies_as="checklist").where("reason is null").count() == rules.eligible(df, loaded, applies_as="checklist").count() == len(rows)
 
 
 def test_signature_ignores_order_only(spark):
@@ -350,9 +359,7 @@ def test_diff_files_are_read_as_lines(spark, tmp_path):
 
 def test_rules_are_checked_when_loaded(spark):
     rows = spark.createDataFrame([("a", None), ("b", "checklist")], "rule_id string, applies_as string")
-    assert retrieval.load_rules(rows)[0] == {"rule_id": "a", "applies_as": "retrieved", "kinds": [], "globs": [], "requires": {}}
+    assert rules.load(rows).orderBy("rule_id").first().asDict() == {"rule_id": "a", "applies_as": "retrieved", "kinds": [], "globs": [], "pairs": []}
     for bad in ([("a", None), ("a", None)], [(None, None)], [("a", "other")]):
         with pytest.raises(ValueError, match="a|rule"):
-            retrieval.load_rules(spark.createDataFrame(bad, "rule_id string, applies_as string"))
-    with pytest.raises(ValueError, match="over 1"):
-        retrieval.load_rules(rows, 1)
+            rules.load(spark.createDataFrame(bad, "rule_id string, applies_as string"))
