@@ -11,7 +11,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -28,8 +28,8 @@ from .records import tokenizer_path, vocabulary_size
 MOST = 1024
 #: Rows of (length, task) counts that are broadcast, some 30 bytes each; more are joined by a shuffle.
 BROADCAST_COUNTS = 500_000
-#: Chunks a worker remembers at least, twice as many at most, each of LONG_CHUNK characters at most (100 MB in all).
-REMEMBERED, LONG_CHUNK = 300_000, 64
+#: Chunks a worker remembers at least, twice as many at most, each of LONG_CHUNK characters at most (130 MB in all).
+REMEMBERED, LONG_CHUNK = 400_000, 64
 #: Characters that are encoded at a time where the text can be cut, and bytes of ids in a batch.
 STRETCH, BATCH_BYTES = 1 << 18, 4 << 20
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, part int, nth long, ids binary"
@@ -43,6 +43,9 @@ CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Texts of ASCII and Latin letters, whose chunks are finer: letters with a blank before them, or what lies between.
 LETTERS, PLAIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\u024f]*")
 FINE = re.compile(rf" ?[{LETTERS}]++|[ \t\n\r]+(?= [{LETTERS}])|[ \t\n\r]*(?:[^ \t\n\r{LETTERS}]++(?:(?<=')[{LETTERS}]++)?|(?<=[\t\n\r])[{LETTERS}]++)|[ \t\n\r]+")
+WORD = re.compile(rf"[{LETTERS}]++")
+#: White space other than single blanks and up to two line ends between words.
+UNEVEN = re.compile(r"[\t\r]|  | \n|\n |\n\n\n|^[ \n]|[ \n]\Z")
 #: Where a text may be cut without a change to its ids: before white space after anything else, between a mark and a letter.
 SEAM = re.compile("(?<=[!-~\u4e00-\u9fff])(?=[ \\n])|(?<=[\u3002\uff0c\uff01\uff1f\uff1b\uff1a\u3001])(?=[\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fff])")
 
@@ -50,18 +53,25 @@ SEAM = re.compile("(?<=[!-~\u4e00-\u9fff])(?=[ \\n])|(?<=[\u3002\uff0c\uff01\uff
 class _Known(dict):
     """ids of chunks in two generations: when REMEMBERED chunks are new, those before are let go."""
 
-    def __init__(self, encoder: Encoder, old: dict[str, bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes]) -> None:
         super().__init__()
-        self.encoder, self.old = encoder, old
+        self.make, self.old = make, old
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = self.encoder.chunk(chunk)
+            ids = self.make(chunk)
         if len(chunk) <= LONG_CHUNK:
             self[chunk] = ids
         return ids
 
+    def next(self) -> _Known:
+        """This generation, or once it is full the next, which remembers this one alone."""
+        if len(self) <= REMEMBERED:
+            return self
+        self.old = {}
+        return _Known(self.make, self)
+
 
 class Encoder:
     """Bytes of ids (of a width) for texts, by the tokenizers library.
@@ -88,7 +98,7 @@ class Encoder:
         hidden = [i for i in range(256) if not (0x21 <= i <= 0x7E or 0xA1 <= i <= 0xFF and i != 0xAD)]
         self.spelling = {i: 256 + n for n, i in enumerate(hidden)}
         self.blank = chr(self.spelling[0x20])
-        self.known = _Known(self, {})
+        self.forget()
 
     def chunk(self, chunk: str) -> bytes:
         if not PLAIN.fullmatch(chunk):
@@ -115,16 +125,32 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not self.by_chunk or ODD_SPACE.search(text) or any(t in text for t in self.special):
             return self.whole(text)
-        made, found = [], FINE.findall if PLAIN.fullmatch(text) else CHUNK.findall
+        plain = PLAIN.fullmatch(text)
+        if plain and len(text) <= STRETCH and text and not UNEVEN.search(text):
+            # every word but the first has one blank or line end before it
+            first, *words = text.replace("\n", " \n").split(" ")
+            self.words = self.words.next()
+            return self.fine(first) + b"".join(map(self.words.__getitem__, words))
+        made, found = [], FINE.findall if plain else CHUNK.findall
         for stretch in self.stretches(text):
-            if len(self.known) > REMEMBERED:
-                self.known.old = {}
-                self.known = _Known(self, self.known)
+            self.known = self.known.next()
             made.append(b"".join(map(self.known.__getitem__, found(stretch))))
         return b"".join(made)
 
+    def fine(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, FINE.findall(text)))
+
+    def word(self, word: str) -> bytes:
+        """ids of a word and the blank before it; or, if it begins with one, of a line end and a word."""
+        if word[0] == "\n":
+            return self.known["\n"] + self.fine(word[1:])
+        if word.isalpha():
+            return self.chunk(" " + word)
+        letters = WORD.match(word)  # letters are a piece, whatever follows them begins another
+        return self.words[letters.group()] + self.fine(word[letters.end() :]) if letters else self.fine(" " + word)
+
     def forget(self) -> None:
-        self.known = _Known(self, {})
+        self.known, self.words = _Known(self.chunk, {}), _Known(self.word, {})
 
 
 @cache
