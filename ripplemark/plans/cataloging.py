@@ -91,8 +91,9 @@ PRIORITY = {"signup": 0, "purchase": 1, "click": 2, "view": 3, "error": 4}
 def first_usable_source(t: Tables) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p])[F.col("event_type")]
     # the best of each type stands for it
+    cause = F.when(F.col("value") < 10, "it is empty").when(F.col("value") < 60, F.concat(F.floor("value").cast("string"), F.lit(" of 60 nodes")))
     rows = t.events.groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
-    return C.first_usable(rows.select("user_id", F.col("event_type").alias("source"), rank.alias("priority"), (F.col("value") >= 60).alias("usable")), "user_id").withColumn("warnings", F.array_join("warnings", "; "))
+    return C.first_usable(rows.select("user_id", F.col("event_type").alias("source"), rank.alias("priority"), (F.col("value") >= 60).alias("usable"), cause.alias("cause")), "user_id").withColumn("warnings", F.array_join("warnings", "; "))
 
 
 def latest_artifact_asof(t: Tables) -> DataFrame:
@@ -170,10 +171,10 @@ UNION ALL SELECT c.project, concat('model.p.c', p.k), concat('model.p.c', c.k) F
 SELECT project, concat('model.p.c', k) AS node, CAST(0 AS INTEGER) AS position, 'id' AS column, CASE WHEN c_custkey % 2 = 0 THEN 'bigint' END AS type, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE t END AS tests, CASE WHEN c_custkey % 3 = 0 THEN t ELSE '' END AS node_tests FROM x
 UNION ALL SELECT project, concat('model.p.c', k), 1, 'name', NULL, '', CASE WHEN c_custkey % 3 = 0 THEN t ELSE '' END FROM x""",
     "head_or_base_text": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels) THEN 'head' ELSE 'base' END AS version, CAST(length(CASE WHEN doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels) THEN concat('-- head ', text) ELSE text END) AS BIGINT) AS n_chars FROM documents",
-    "first_usable_source": """WITH e AS (SELECT user_id, event_type AS source, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS p, max(value) >= 60 AS usable FROM events GROUP BY ALL),
+    "first_usable_source": """WITH e AS (SELECT user_id, event_type AS source, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS p, max(value) >= 60 AS usable, CASE WHEN max(value) < 10 THEN 'it is empty' ELSE concat(CAST(floor(max(value)) AS BIGINT), ' of 60 nodes') END AS cause FROM events GROUP BY ALL),
 b AS (SELECT user_id, min(p) FILTER (usable) AS best, arg_min(source, p) FILTER (usable) AS source FROM e GROUP BY user_id)
 SELECT b.user_id, b.source, count(*) FILTER (NOT usable AND (best IS NULL OR p < best)) AS refused,
-  coalesce(string_agg(concat(e.source, ' isn''t usable'), '; ' ORDER BY p) FILTER (NOT usable AND (best IS NULL OR p < best)), '') AS warnings FROM b JOIN e USING (user_id) GROUP BY ALL""",
+  coalesce(string_agg(concat(e.source, ' isn''t usable: ', cause), '; ' ORDER BY p) FILTER (NOT usable AND (best IS NULL OR p < best)), '') AS warnings FROM b JOIN e USING (user_id) GROUP BY ALL""",
     "latest_artifact_asof": f"WITH {_ASOF.format(more='AND value >= 1')} SELECT user_id, change_id, fact_id AS artifact_id FROM j",
     "asof_catalog": f"WITH {_ASOF.format(more='')} SELECT user_id, change_id, fact_id AS catalog_id, fact_at AS generated_at FROM j",
     "stale_catalogs": """WITH b AS (SELECT user_id, min(ts) AS g FROM events WHERE event_type = 'signup' GROUP BY user_id)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import constraints, sink
 from ..operators import evaluate as E
+from ..operators.constraints import Constraint
+from ..shared import scratch
 from .tables import Tables
 
 
@@ -93,16 +96,29 @@ def uncited_rules(t: Tables) -> DataFrame:
     return E.uncited(_cited(t), t.benchmark.select(F.col("item_id").cast("string").alias("rule_id")), "source").select("source", F.array_join("unknown", ",").alias("unknown"))
 
 
+CONSTRAINTS = [
+    Constraint("no document", "exists", "doc_id", "documents", "doc_id"),
+    Constraint("more than one", "one", "digest", "texts", "digest"),
+    Constraint("unknown rule", "known", "rules", "pack", "rule"),
+]
+
+
 def fixture_problems(t: Tables) -> DataFrame:
-    """Fixtures are labels: without a document, with a text that others share, or expecting a rule that the pack lacks."""
+    """Fixtures are labels: without a document, with a text that others share, or expecting rules that the pack lacks."""
     docs = t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    gone = t.labels.join(docs.where("doc_id % 23 <> 0"), "doc_id", "left_anti").select("doc_id", F.lit("no document").alias("problem"))
-    shared = E.duplicate_keys(docs, "digest").select("digest")
-    twice = t.labels.join(docs.join(shared, "digest", "left_semi"), "doc_id", "left_semi").select("doc_id", F.lit("more than one").alias("problem"))
-    pack = t.benchmark.select(F.col("item_id").alias("rule"))
-    wants = t.labels.select("doc_id", (F.col("doc_id") % 60).alias("rule"))
-    unknown = wants.join(pack, "rule", "left_anti").select("doc_id", F.lit("unknown rule").alias("problem"))
-    return gone.unionByName(twice).unionByName(unknown)
+    rules = F.array(F.col("doc_id") % 60, F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 500)).alias("rules")
+    fixtures = t.labels.select("doc_id", rules).join(docs, "doc_id")
+    tables = {"documents": docs.where("doc_id % 23 <> 0"), "texts": docs, "pack": t.benchmark.select(F.col("item_id").alias("rule"))}
+    return constraints.broken(fixtures, "doc_id", CONSTRAINTS, tables).select("doc_id", "problem", F.when(F.col("problem") == "unknown rule", F.col("value")).alias("value"), "n")
+
+
+def stored_runs(t: Tables) -> DataFrame:
+    """Two runs of outcomes written to a folder, one of them twice: read back, with their metrics."""
+    at, rows = scratch(t.spark, "runs"), _outcomes(t).select("doc_id", "expected", "actual", "errored")
+    model = rows.withColumn("actual", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("actual")))
+    for run, given in (("rules", rows.where("not errored")), ("model", model), ("rules", rows)):
+        sink.write_run(given, given.agg(F.count("*").alias("n"), F.count_if("errored").alias("n_errored")), at, run)
+    return sink.read_runs(t.spark, at).join(sink.commits(t.spark, at).select("run", "n", "n_errored"), "run")
 
 
 def _reviews(t: Tables) -> DataFrame:
@@ -130,7 +146,7 @@ def rule_source(t: Tables) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     eval_outcomes, confusion_metrics, two_arm_metrics, metrics_rollup, set_metrics, retrieval_metrics, failure_taxonomy, cost_summary, wipeout_guard, silence_rate, floored_citations,
-    fixture_problems, uncited_rules, valid_findings, duplicate_ids, rule_source,
+    fixture_problems, stored_runs, uncited_rules, valid_findings, duplicate_ids, rule_source,
 )}
 _OUT = """o AS (SELECT l.doc_id, CASE lang WHEN 'es' THEN 'should-pass' WHEN 'de' THEN 'subtle' ELSE 'breaking' END AS category, n_chars,
   CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END AS expected, CASE WHEN l.doc_id % 19 = 0 THEN NULL WHEN n_chars < 800 THEN 0 WHEN n_chars < 3000 THEN 1 ELSE 2 END AS actual,
@@ -159,9 +175,12 @@ WHEN category = 'subtle' AND abs(o.expected - actual) = 1 THEN 'label_ambiguity'
     "silence_rate": """WITH f AS (SELECT doc_id, 'secret' AS rule FROM documents WHERE contains(text, 'token = ') UNION ALL SELECT doc_id, 'long' FROM documents WHERE n_chars > 9000)
 SELECT count(*) AS n, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM f)) AS silent, (SELECT count(*) FROM f WHERE doc_id % 2 <> 0) AS undeclared, round(count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM f)) / count(*), 3) AS silence_rate FROM documents""",
     "floored_citations": f"WITH {_CITED} SELECT source, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM c JOIN benchmark ON CAST(item_id AS VARCHAR) = rule_id WHERE rank >= least(item_id % 3, 1) GROUP BY source",
-    "fixture_problems": """SELECT doc_id, 'no document' AS problem FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 23 <> 0)
-UNION ALL SELECT doc_id, 'more than one' FROM labels WHERE doc_id IN (SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1)
-UNION ALL SELECT doc_id, 'unknown rule' FROM labels WHERE doc_id % 60 NOT IN (SELECT item_id FROM benchmark)""",
+    "fixture_problems": """WITH f AS (SELECT DISTINCT l.doc_id, text FROM labels l JOIN documents d ON d.doc_id = l.doc_id), c AS (SELECT text, count(*) AS n FROM documents GROUP BY text)
+SELECT doc_id, 'no document' AS problem, NULL::VARCHAR AS value, CAST(0 AS BIGINT) AS n FROM f WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 23 <> 0)
+UNION ALL SELECT doc_id, 'more than one', NULL, n FROM f JOIN c USING (text) WHERE n > 1
+UNION ALL SELECT DISTINCT doc_id, 'unknown rule', CAST(r AS VARCHAR), 0 FROM (SELECT doc_id, unnest([doc_id % 60, CASE WHEN doc_id % 3 = 0 THEN doc_id % 500 END]) AS r FROM f) WHERE r IS NOT NULL AND r NOT IN (SELECT item_id FROM benchmark)""",
+    "stored_runs": f"""WITH {_OUT}, r AS (SELECT 'rules' AS run, doc_id, expected, actual, errored FROM o UNION ALL SELECT 'model', doc_id, expected, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE actual END, errored FROM o)
+SELECT *, count(*) OVER (PARTITION BY run) AS n, count(*) FILTER (errored) OVER (PARTITION BY run) AS n_errored FROM r""",
     "uncited_rules": f"WITH {_CITED} SELECT source, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS unknown FROM c WHERE rule_id <> 'structural' AND rule_id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark) GROUP BY source",
     "valid_findings": """SELECT conv_id, turn, CASE WHEN length(text) NOT BETWEEN 1 AND 1200 THEN 'explanation' WHEN role NOT IN ('user', 'assistant') THEN 'severity' WHEN turn % 9 = 0 THEN 'sign'
 WHEN row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id * 1000 + turn) > 25 THEN 'too many' ELSE 'valid' END AS problem FROM conversations""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_id
 from ..operators import graph
 from .tables import BASE, CHANGES, EDGES, NODES, Tables, changes, edges, label, label_sql, nodes
 
@@ -28,13 +29,14 @@ def reach_summary(t: Tables) -> DataFrame:
 
 
 def induced_subgraph(t: Tables) -> DataFrame:
-    """Node rows (child null) and edge rows of each nation's shown subgraph. Ids are written with _ for dots and dashes."""
-    e = edges(t)
-    shown = graph.shown_nodes(graph.reach(_nations(t), e, 2))
+    """Node rows (child null) and edge rows of each nation's shown subgraph, of which hidden counts the whole reach's rest. Ids
+    are letters, digits and underscores."""
+    e, plain = edges(t), lambda node: plain_id(F.concat(F.lit("model."), label(node)))
+    shown = graph.shown_nodes(graph.reach(_nations(t), e))
     style = F.when(F.col("kind") == "exposure", "exposure").when(F.col("contracted"), "contracted").otherwise("plain")
     about = nodes(t).select("id", style.alias("style"))
-    a = shown.join(about, shown["node"] == about["id"]).select(label("root").alias("root"), label("node").alias("node"), F.lit(None).cast("string").alias("child"), "hidden", "style")
-    b = graph.induced_edges(shown, e).select(label("root").alias("root"), label("parent").alias("node"), label("child").alias("child"), F.lit(None).cast("long").alias("hidden"), F.lit(None).cast("string").alias("style"))
+    a = shown.join(about, shown["node"] == about["id"]).select(plain("root").alias("root"), plain("node").alias("node"), F.lit(None).cast("string").alias("child"), "hidden", "style")
+    b = graph.induced_edges(shown, e).select(plain("root").alias("root"), plain("parent").alias("node"), plain("child").alias("child"), F.lit(None).cast("long").alias("hidden"), F.lit(None).cast("string").alias("style"))
     return a.unionByName(b)
 
 
@@ -122,11 +124,11 @@ k AS (SELECT root, string_agg(name, ', ' ORDER BY depth, name, node) AS names FR
 SELECT {label_sql('root')} AS root, count(*) AS size, count(*) FILTER (kind = 'exposure') AS exposures, count(*) FILTER (contracted) AS contracted, count(*) FILTER (access = 'public') AS public,
        coalesce(string_agg(DISTINCT owner, ', ' ORDER BY owner), '') AS owners, any_value(depths) AS depths, any_value(names) AS names
 FROM about JOIN d USING (root) JOIN k USING (root) GROUP BY root""",
-    "induced_subgraph": _reach(_FROM_NATIONS, "WHERE w.depth < 2") + f""",
+    "induced_subgraph": _reach(_FROM_NATIONS) + f""",
 shown AS (SELECT root, node, greatest(size - 25, 0) AS hidden FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS k, count(*) OVER (PARTITION BY root) AS size FROM reach) WHERE k <= 25),
 own AS (SELECT root, node FROM shown UNION SELECT root, root FROM shown)
-SELECT {label_sql('root')} AS root, {label_sql('node')} AS node, NULL::VARCHAR AS child, hidden, CASE WHEN kind = 'exposure' THEN 'exposure' WHEN contracted THEN 'contracted' ELSE 'plain' END AS style FROM shown JOIN nodes ON node = id
-UNION ALL SELECT {label_sql('a.root')}, {label_sql('parent')}, {label_sql('child')}, NULL, NULL
+SELECT concat('model_d', {label_sql('root')}) AS root, concat('model_d', {label_sql('node')}) AS node, NULL::VARCHAR AS child, hidden, CASE WHEN kind = 'exposure' THEN 'exposure' WHEN contracted THEN 'contracted' ELSE 'plain' END AS style FROM shown JOIN nodes ON node = id
+UNION ALL SELECT concat('model_d', {label_sql('a.root')}), concat('model_d', {label_sql('parent')}), concat('model_d', {label_sql('child')}), NULL, NULL
 FROM own a JOIN (SELECT DISTINCT * FROM edges) ON a.node = parent JOIN own b ON b.root = a.root AND b.node = child""",
     "severity_score": _ASSESSED + f"SELECT pr_id, {label_sql('node')} AS node, severity, CAST(severity_rank AS INTEGER) AS severity_rank, size, reasons FROM scored",
     "worst_per_change": _ASSESSED + "SELECT pr_id // 10 AS set_id, arg_max(severity, (severity_rank, -pr_id)) AS severity, arg_max(pr_id, (severity_rank, -pr_id)) AS pr_id FROM scored GROUP BY 1",

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..functions.text import ALIAS, ENTRY_NAME, LIST_NAME, STOPWORDS, TEMPLATE, TOKEN, aliases, flat, has_extension, line_class, normal_path, tokens
-from ..operators import blocks, changes, scan
+from ..functions.text import ALIAS, ENTRY_NAME, LIST_NAME, STOPWORDS, TEMPLATE, TOKEN, aliases, has_extension, line_class, normal_path, tokens
+from ..operators import blocks, changes, reports, scan
 from ..shared import scratch
 from ..sources import diffs as diff_files
 from ..streaming import events
@@ -341,21 +341,22 @@ def missing_entry_anti(t: Tables) -> DataFrame:
 
 
 def report_rows(t: Tables) -> DataFrame:
-    """For each file its findings as lines in order, flattened and cut, and a preview of six rules."""
-    f = _findings(t)
-    row = F.struct("rule_id", "line_no", flat(F.concat_ws(" ", "rule_id", F.lit("in"), "path", F.lit("on   line"), "line_no"), 60).alias("text"))
-    rows = f.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.array_sort(F.collect_set("rule_id")).alias("rules"))
-    more = F.when(F.size("rules") > 6, F.concat(F.lit(" +"), (F.size("rules") - 6).cast("string"), F.lit(" more"))).otherwise("")
-    return rows.select("path", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("report"), F.concat(F.array_join(F.slice("rules", 1, 6), ", "), more).alias("preview"))
+    """For each change set its worst findings as lines, flattened and cut, how many more there are, and a preview of rules."""
+    line = F.concat_ws(" ", "rule_id", F.lit("in"), "path", F.lit("on   line"), "line_no")
+    return reports.report(_findings(t), line, [scan.by_severity(), F.col("path"), F.col("rule_id"), F.col("line_no"), F.col("what")])
 
 
 def change_summary(t: Tables) -> DataFrame:
-    """Query text of each change: its kind, what happened to columns, and its lines; empty if nothing semantic changed."""
-    kind = F.element_at(F.array(*map(F.lit, ("added", "modified", "deleted", "renamed"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    gone = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", F.lit("removed column dropped column"), F.concat(F.lit("c"), F.col("doc_id").cast("string"))))
-    moved = F.when(F.col("doc_id") % 4 >= 2, F.lit("deleted model renamed rename"))
-    text = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat_ws(" ", kind, gone, moved, F.regexp_replace("text", "\n", " ")))
-    return t.documents.select("doc_id", F.sha2(text, 256).alias("summary_sha256"), F.length(text).cast("long").alias("n_chars"))
+    """Query text of each change: orders are changes, their parts columns and their line items changed lines, those that
+    were returned removed and the others added; empty if nothing semantic changed."""
+    key = F.col("l_orderkey").alias("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("added", "modified", "deleted", "renamed"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    made = t.orders.select("o_orderkey", kind.alias("change_type"), F.when(F.col("o_orderpriority").startswith("1-"), "exposure").otherwise("model").alias("kind"), (F.col("o_orderkey") % 5 != 0).alias("is_semantic"))
+    items = t.lineitem.select(key, F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("op"), F.col("l_linenumber").alias("line_no"), F.concat(F.lit("c"), "l_partkey").alias("column"))
+    columns = reports.column_changes(items.where("op = '-'"), items.where("op = '+'"), "o_orderkey", "column")
+    lines = items.withColumn("text", F.concat_ws(" ", F.lit("select"), "column", F.lit("from line"), "line_no"))
+    found = reports.summaries(made, columns, lines, "o_orderkey")
+    return found.select("o_orderkey", F.sha2("summary", 256).alias("summary_sha256"), F.length("summary").cast("long").alias("n_chars"))
 
 
 def tokens_query(t: Tables) -> DataFrame:
@@ -494,11 +495,15 @@ FROM (SELECT source, doc_id, unnest(range(len(string_split(text, chr(10))))) AS
     "cross_layer_refs": f"WITH {EDGES}, r AS (SELECT child AS s, parent AS t FROM edges UNION SELECT parent, child FROM edges WHERE parent >= 4000000000) SELECT {label_sql('s')} AS source, {label_sql('t')} AS target FROM r WHERE t // 1000000000 > s // 1000000000",
     "missing_entry_anti": "SELECT source AS pr, doc_id AS name FROM documents WHERE doc_id % 13 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)",
     "report_rows": f"""WITH {_SECRETS}{_LINT},
-f AS (SELECT *, trim(regexp_replace(concat_ws(' ', rule_id, 'in', path, 'on   line', line_no), '\\s+', ' ', 'g')) AS t FROM findings),
+f AS (SELECT *, trim(regexp_replace(concat_ws(' ', rule_id, 'in', path, 'on   line', line_no), '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY pr ORDER BY severity DESC, path, rule_id, line_no, what) AS nth FROM findings),
 c AS (SELECT *, CASE WHEN length(t) > 60 THEN concat(substr(t, 1, 59), '…') ELSE t END AS text FROM f)
-SELECT path, count(*) AS n, string_agg(text, chr(10) ORDER BY rule_id, line_no, text) AS report,
-  concat(array_to_string(list_sort(list(DISTINCT rule_id))[1:6], ', '), CASE WHEN count(DISTINCT rule_id) > 6 THEN concat(' +', count(DISTINCT rule_id) - 6, ' more') ELSE '' END) AS preview FROM c GROUP BY path""",
-    "change_summary": """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat_ws(' ', ['added', 'modified', 'deleted', 'renamed'][doc_id % 4 + 1], CASE WHEN doc_id % 3 = 0 THEN concat('removed column dropped column c', doc_id) END,
-  CASE WHEN doc_id % 4 >= 2 THEN 'deleted model renamed rename' END, replace(text, chr(10), ' ')) END AS text FROM documents) SELECT doc_id, sha256(text) AS summary_sha256, length(text) AS n_chars FROM s""",
+SELECT pr, count(*) AS n, greatest(count(*) - 40, 0) AS hidden, string_agg(text, chr(10) ORDER BY nth) FILTER (nth <= 40) AS report,
+  concat(array_to_string(list_sort(list(DISTINCT rule_id))[1:6], ', '), CASE WHEN count(DISTINCT rule_id) > 6 THEN concat(' +', count(DISTINCT rule_id) - 6, ' more') ELSE '' END) AS preview FROM c GROUP BY pr""",
+    "change_summary": """WITH i AS (SELECT l_orderkey AS k, l_returnflag = 'R' AS gone, l_linenumber AS n, concat('c', l_partkey) AS col FROM lineitem),
+d AS (SELECT k, list_sort(list(DISTINCT col) FILTER (gone)) AS o, list_sort(list(DISTINCT col) FILTER (NOT gone)) AS a, string_agg(concat('select ', col, ' from line ', n), ' ' ORDER BY gone, n, col) AS lines FROM i GROUP BY k),
+x AS (SELECT k, lines, list_filter(coalesce(o, []), lambda c: NOT list_contains(coalesce(a, []), c)) AS removed, list_filter(coalesce(a, []), lambda c: NOT list_contains(coalesce(o, []), c)) AS added FROM d),
+s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat_ws(' ', ['added', 'modified', 'deleted', 'renamed'][o_orderkey % 4 + 1], CASE WHEN len(removed) > 0 THEN concat('removed column dropped column ', array_to_string(removed, ' ')) END,
+  CASE WHEN len(added) > 0 THEN concat('added column ', array_to_string(added, ' ')) END, CASE WHEN o_orderkey % 4 >= 2 THEN 'deleted model renamed rename' END, CASE WHEN o_orderpriority LIKE '1-%' THEN 'exposure owner' END, lines) END AS text FROM orders LEFT JOIN x ON k = o_orderkey)
+SELECT o_orderkey, sha256(text) AS summary_sha256, length(text) AS n_chars FROM s""",
     "tokens": f"WITH b AS (SELECT item_id, regexp_replace(text, '^(\\w+) (\\w+)', '\\1_\\2') AS text FROM benchmark) SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest({TOKENS_SQL.format('text')}) AS token FROM b) GROUP BY ALL",
 }

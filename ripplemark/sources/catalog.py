@@ -109,10 +109,12 @@ def head_or_base(base: DataFrame, head: DataFrame, key: str, limit: int | None =
 
 def first_usable(candidates: DataFrame, key: str) -> DataFrame:
     """(key, source, refused, warnings): the usable candidate of the smallest priority, how many better ones were refused,
-    and a warning for each of them, in order. candidates: (key, source, priority, usable), few for each key."""
+    and a warning for each of them, in order, with its cause where one is given. candidates: (key, source, priority, usable,
+    and cause if known), few for each key."""
+    cause = F.concat(F.lit(": "), "cause") if "cause" in candidates.columns else F.lit("")
     chosen = candidates.groupBy(key).agg(F.min(F.when(F.col("usable"), F.col("priority"))).alias("p"), F.min_by("source", F.when(F.col("usable"), F.col("priority"))).alias("source"))
     refused = candidates.where("not usable").join(chosen.select(key, "p"), key).where("p is null or priority < p").groupBy(key).agg(
-        F.count("*").alias("refused"), F.array_sort(F.collect_list(F.struct("priority", F.concat("source", F.lit(" isn't usable")).alias("said")))).alias("each")
+        F.count("*").alias("refused"), F.array_sort(F.collect_list(F.struct("priority", F.concat("source", F.lit(" isn't usable"), F.coalesce(cause, F.lit(""))).alias("said")))).alias("each")
     )
     warnings = F.coalesce(F.col("each.said"), F.array().cast(NONE)).alias("warnings")
     return chosen.join(refused, key, "left").select(key, "source", F.coalesce("refused", F.lit(0)).alias("refused"), warnings)
