@@ -45,7 +45,7 @@ LETTERS, PLAIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", re.compile(r"[\t\n\r\x2
 FINE = re.compile(rf" ?[{LETTERS}]++|[ \t\n\r]+(?= [{LETTERS}])|[ \t\n\r]*(?:[^ \t\n\r{LETTERS}]++(?:(?<=')[{LETTERS}]++)?|(?<=[\t\n\r])[{LETTERS}]++)|[ \t\n\r]+")
 WORD = re.compile(rf"[{LETTERS}]++")
 #: White space other than single blanks and up to two line ends between words.
-UNEVEN = re.compile(r"[\t\r]|  | \n|\n |\n\n\n|^[ \n]|[ \n]\Z")
+UNEVEN = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r")
 #: Where a text may be cut without a change to its ids: before white space after anything else, between a mark and a letter.
 SEAM = re.compile("(?<=[!-~\u4e00-\u9fff])(?=[ \\n])|(?<=[\u3002\uff0c\uff01\uff1f\uff1b\uff1a\u3001])(?=[\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fff])")
 
@@ -123,10 +123,10 @@ class Encoder:
             at = end
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_chunk or ODD_SPACE.search(text) or any(t in text for t in self.special):
-            return self.whole(text)
         plain = PLAIN.fullmatch(text)
-        if plain and len(text) <= STRETCH and text and not UNEVEN.search(text):
+        if not self.by_chunk or (not plain and ODD_SPACE.search(text)) or any(t in text for t in self.special):
+            return self.whole(text)
+        if plain and 0 < len(text) <= STRETCH and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in UNEVEN):
             # every word but the first has one blank or line end before it
             first, *words = text.replace("\n", " \n").split(" ")
             self.words = self.words.next()
