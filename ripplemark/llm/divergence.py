@@ -42,7 +42,7 @@ def _words(text: pa.Scalar) -> Iterator[list[bytes]]:
         end = min(at + STRETCH, len(data))
         piece = bytes(data[at:end]).translate(LOWER)
         if end < len(data):
-            last = piece.rfind(b" ")
+            last = piece.rfind(b" ", 1)
             while last < 0 and end < len(data):  # one term fills the stretch
                 more = bytes(data[end : end + STRETCH]).translate(LOWER)
                 found = more.find(b" ")

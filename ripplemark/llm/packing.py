@@ -129,7 +129,7 @@ class Encoder:
         if plain and 0 < len(text) <= STRETCH and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in UNEVEN):
             # every word but the first has one blank or line end before it
             first, *words = text.replace("\n", " \n").split(" ")
-            self.words = self.words.next()
+            self.words, self.known = self.words.next(), self.known.next()
             return self.fine(first) + b"".join(map(self.words.__getitem__, words))
         made, found = [], FINE.findall if plain else CHUNK.findall
         for stretch in self.stretches(text):
