@@ -1,6 +1,7 @@
 """Shards of nearly equal bytes by histogram sort.
 
-Rows are ordered by a hash of their text (so equal texts are neighbours), then by a hash of their id. Splitters are
+Rows are ordered by a hash of their text (so equal texts are neighbours), then by a hash of their id; where rows that agree
+in both weigh too much for that, by a number among them. Splitters are
 found on (hash, size) rows alone: each round counts the exact bytes below evenly spaced probes of every interval that
 may hold a splitter, and narrows the interval to the gap that holds the target, until a boundary meets the tolerance
 or nothing is left to narrow. Only then are whole rows exchanged, once.
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, scratch
 
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 #: A splitter may miss its target by this share of a shard's bytes.
@@ -25,12 +26,23 @@ PROBES = 256
 
 @dataclass(frozen=True)
 class Splitter:
-    """Rows with (text_key, row_key) below (text, row) are below the splitter; bytes: how many bytes those have."""
+    """Rows with (text_key, row_key, number) below (text, row, copy) are below the splitter; bytes: how many bytes those have."""
 
     text: int
     row: int
     bytes: int
     target: float
+    copy: int = 0
+
+
+@dataclass(frozen=True)
+class Copies:
+    """Rows of one text_key and row_key that together pass the tolerance."""
+
+    text: int
+    row: int
+    n: int
+    bytes: int
 
 
 def size_of(text: str = "text") -> Column:
@@ -85,13 +97,23 @@ def _search(rows: DataFrame, key: str, wanted: list[tuple[float, int]], slack: f
     return [(s["low"], s["below"], s["high"], s["upto"]) for s in state]
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[Splitter]:
+def heavy_copies(rows: DataFrame, limit: float) -> list[Copies]:
+    """Rows (text_key, row_key, size) that agree in both keys and weigh over limit bytes together. As all bytes are shared
+    out among such groups, there are fewer than total / limit of them."""
+    sums = rows.groupBy("text_key", "row_key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    found = sums.where((F.col("bytes") > F.lit(limit)) & (F.col("n") > 1)).collect()
+    return sorted((Copies(r.text_key, r.row_key, r.n, r.bytes) for r in found), key=lambda c: (c.text, c.row))
+
+
+def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, heavy: list[Copies] = ()) -> list[Splitter]:
     """shards - 1 splitters of rows (text_key, row_key, size).
 
     A boundary between different texts is taken if it meets the tolerance. Where a single text with many copies
-    straddles the target by more than that, its copies are split by row_key, and only then.
+    straddles the target by more than that, its copies are split by row_key, and only then; where heavy copies of one
+    row_key do, by their number.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
+    known = {(c.text, c.row): c for c in heavy}
     share = total / shards
     aims = [share * (i + 1) for i in range(shards - 1)]
     out: list[Splitter | None] = []
@@ -111,52 +133,105 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
         for (i, aim, _, _, near), (low, below, high, upto) in zip(some, _search(own, "row_key", [(x[1], base) for x in some], tolerance * share)):
             row = (low, below) if aim - below <= upto - aim else (high, upto)
             closer = abs(row[1] - aim) < abs(near[1] - aim)
+            copies = known.get((text, low)) if high - low <= 1 else None
+            if copies and min(abs(row[1] - aim), abs(near[1] - aim)) > tolerance * share:
+                each = copies.bytes / copies.n
+                k = min(copies.n, max(0, round((aim - below) / each)))
+                out[i] = Splitter(text, low, below + round(k * each), aim, k)
+                continue
             out[i] = Splitter(text, row[0], row[1], aim) if closer and row[0] <= HIGHEST else Splitter(near[0], LOWEST, near[1], aim)
     return [s for s in out if s]
 
 
-def assign(text: Column, row: Column, cuts: list[Splitter]) -> Column:
+def assign(text: Column, row: Column, cuts: list[Splitter], copy: Column | None = None) -> Column:
     """Number of splitters at or below a row's key."""
-    shard = F.lit(0)
+    shard, number = F.lit(0), F.lit(0) if copy is None else copy
     for s in cuts:
         if s.text > HIGHEST:
             continue
-        at_or_above = (text > F.lit(s.text)) | ((text == F.lit(s.text)) & (row >= F.lit(s.row)))
-        shard = shard + at_or_above.cast("int")
+        after = (row > F.lit(s.row)) | ((row == F.lit(s.row)) & (number >= F.lit(s.copy)))
+        shard = shard + ((text > F.lit(s.text)) | ((text == F.lit(s.text)) & after)).cast("int")
     return shard
 
 
+def spans(copies: Copies, cuts: list[Splitter]) -> list[tuple[int, int, int]]:
+    """(shard, from, to): which numbers of heavy copies fall into which shards."""
+    shard = sum((s.text, s.row, s.copy) <= (copies.text, copies.row, 0) for s in cuts)
+    out, at = [], 0
+    for k in sorted(s.copy for s in cuts if (s.text, s.row) == (copies.text, copies.row) and s.copy > 0):
+        if k > at:
+            out.append((shard, at, k))
+        shard, at = shard + 1, max(at, k)
+    return out + [(shard, at, copies.n)] * (copies.n > at)
+
+
 def shard(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, carry: list[str] | None = None) -> DataFrame:
     """carry (docs' own columns by default) as a struct named row, with size, shard and slot.
 
     Shards have nearly equal bytes; slot counts from 0 without a gap in each. Equal texts share a shard unless one
     text has too many bytes for that. Null texts count as empty (size 1). Repeated rows are rows of their own; rows
-    that agree in text and id are interchangeable and share a shard whatever they weigh, so where such copies alone
-    pass the tolerance, shards are as equal as whole groups of them allow. An empty table has no shards.
+    that agree in text and id are interchangeable and share a shard unless they alone pass the tolerance. An empty table
+    has no shards.
 
     Rows are exchanged once, to chunks of a shard (by row_key, so that copies of one text part); a chunk's first slot
-    is the number of rows in the chunks before it, known from a count of the keys.
+    is the number of rows in the chunks before it, known from a count of the keys. Heavy copies aren't exchanged: they are
+    written once and numbered by their place in those files, and take the last slots of their shards.
     """
     names = carry or docs.columns
+    spark = docs.sparkSession
     keyed = docs.select(F.struct(*names).alias("row"), text_key().alias("text_key"), row_key().alias("row_key"), size_of().alias("size"))
     slim = cut(docs.select(text_key().alias("text_key"), row_key().alias("row_key"), size_of().alias("size")), "shard-keys")
-    cuts = splitters(slim, shards, tolerance)
-    # chunks small enough that a task sorts a bounded number of rows, whatever the shard's size
     stats = slim.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
+    heavy = heavy_copies(slim, tolerance * (stats.b or 0) / shards)
+    cuts = splitters(slim, shards, tolerance, heavy)
+    if heavy:
+        listed = F.broadcast(spark.createDataFrame([(c.text, c.row, i) for i, c in enumerate(heavy)], "text_key long, row_key long, no int"))
+        copies = keyed.join(listed, ["text_key", "row_key"])
+        keyed, slim = (x.join(listed, ["text_key", "row_key"], "left_anti") for x in (keyed, slim))
+    # chunks small enough that a task sorts a bounded number of rows, whatever the shard's size
     chunks = max(1, stats.n // 20_000, (stats.b or 0) >> 26)
     place = [assign(F.col("text_key"), F.col("row_key"), cuts).alias("shard"), F.pmod(F.xxhash64("row_key", F.lit(2)), F.lit(chunks)).cast("int").alias("chunk")]
     counts = slim.select(*place).groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col("shard").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard", "chunk").orderBy("text_key", "row_key", "size")
-    placed = keyed.select("*", *place).withColumn("nth", F.row_number().over(within))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (stats.b or 0) >> 27)
+    placed = keyed.select("*", *place).repartition(parts, "shard", "chunk").withColumn("nth", F.row_number().over(within))
     found = placed.join(bases, (F.col("shard") == F.col("s")) & (F.col("chunk") == F.col("c")))
-    return found.select("row", "size", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("nth") - 1).cast("long").alias("slot"))
+    done = found.select("row", "size", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("nth") - 1).cast("long").alias("slot"))
+    if not heavy:
+        return done
+    upto = {r.shard: r.n for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
+    return done.unionByName(_copies(copies, heavy, cuts, upto))
+
+
+def _copies(copies: DataFrame, heavy: list[Copies], cuts: list[Splitter], upto: dict[int, int]) -> DataFrame:
+    """row, size, shard and slot of heavy copies (row, size, no). upto: the first free slot of each shard."""
+    spark, path, table = copies.sparkSession, scratch(copies.sparkSession, "shard-copies"), []
+    for no, c in enumerate(heavy):
+        for shard_no, first, end in spans(c, cuts):
+            table.append((no, shard_no, first, end, upto.get(shard_no, 0)))
+            upto[shard_no] = upto.get(shard_no, 0) + end - first
+    # a file holds copies of one kind, so a copy's number is its place in the file after those of the files before
+    copies.select("row", "size", "no").write.partitionBy("no").parquet(path)
+    read = spark.read.schema(copies.select("row", "size", "no").schema).parquet(path).select("row", "size", "no", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = Window.partitionBy("no").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = read.groupBy("no", "file").agg(F.count("*").alias("n")).select("no", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = read.join(files, ["no", "file"]).withColumn("number", F.col("base") + F.col("at"))
+    ranges = spark.createDataFrame(table, "no int, shard int, first long, end long, start long")  # a row for each group and splitter within it
+    placed = numbered.join(F.broadcast(ranges), "no").where("number >= first and number < end")
+    return placed.select("row", "size", "shard", (F.col("start") + F.col("number") - F.col("first")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """One folder for each shard, with slot as a column."""
-    shard(docs, shards).select("row.*", F.col("shard").alias("shard_no"), F.col("slot").alias("slot_no")).write.partitionBy("shard_no").parquet(path)
+    """One folder for each shard, shard_no=0 and on, with docs' columns and slot_no, a row's place in the shard. Names that docs
+    has itself get a _ more. Null texts, repeated rows and no rows: as shard(); of no rows there is no folder."""
+    names = ["shard_no", "slot_no"]
+    for i, name in enumerate(names):
+        while name in docs.columns:
+            name += "_"
+        names[i] = name
+    shard(docs, shards).select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("shard").alias(names[0]), F.col("slot").alias(names[1])).write.partitionBy(names[0]).parquet(path)
 
 
 def query(docs: DataFrame) -> DataFrame:
