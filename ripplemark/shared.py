@@ -12,7 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see. The cluster names it in spark.checkpoint.dir; only a local session, which has no other
     executors, makes one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='spark-ripplemark-')}"
