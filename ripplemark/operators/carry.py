@@ -63,14 +63,3 @@ def sections(lines: DataFrame, opens: Column, counts: Column, keys: list[str], o
     number = F.when(F.col("__mark").isNotNull(), F.col("__n") - F.col("__mark")).otherwise(F.col("__c0") + F.col("__n") - F.col("__m0"))
     made = _joined(own, bases, keys).withColumn(section, F.col("__s0") + F.col("__sections")).withColumn(nth, number)
     return made.drop("__opens", "__counts", "__sections", "__n", "__mark", "__s0", "__c0", "__m0", "__chunk")
-
-
-def numbered(rows: DataFrame, keys: list[str], chunk: list[str], place: Column, out: str) -> DataFrame:
-    """Adds out: place, which counts the rows of a chunk from 0, plus the rows of the chunks of its key before it in the
-    order of the columns of chunk."""
-    sums = rows.groupBy(*keys, *chunk).agg(F.count("*").alias("__rows"))
-    before = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
-    names = [*keys, *chunk]
-    bases = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(names)], F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__base"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(names)])
-    return rows.join(bases, same).withColumn(out, F.col("__base") + place).drop("__base", *[f"__k{i}" for i in range(len(names))])

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..operators.carry import numbered
+from pyspark.sql.window import Window
 
 
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:
@@ -23,10 +22,12 @@ def read_lines(spark: SparkSession, path: str, key: Column, names: str = "*", li
     reader = spark.read.option("pathGlobFilter", names)
     rows = (reader.option("lineSep", line_sep) if line_sep else reader).text(path)
     read = rows.select(key.alias("pr"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("text"))
-    first = F.min("__id").alias("__first")
-    starts = read.groupBy("pr", "__file", "__block").agg(first)
-    placed = read.join(starts.select(F.col("__file").alias("__f"), F.col("__block").alias("__b"), F.col("pr").alias("__pr"), "__first"), (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")) & F.col("pr").eqNullSafe(F.col("__pr")))
-    return numbered(placed, ["pr"], ["__file", "__block"], F.col("__id") - F.col("__first"), "line_no").select("pr", "line_no", "text")
+    starts = read.groupBy("pr", "__file", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("pr").orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each split of a file
+    bases = starts.select(F.col("pr").alias("__pr"), F.col("__file").alias("__f"), F.col("__block").alias("__b"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__base"))
+    found = read.join(bases, (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")) & F.col("pr").eqNullSafe(F.col("__pr")))
+    return found.select("pr", (F.col("__base") + F.col("__id")).alias("line_no"), "text")
 
 
 def lines(diffs: DataFrame, key: str = "pr", text: str = "diff") -> DataFrame:
