@@ -50,6 +50,7 @@ def test_memory_of_chunks_is_bounded():
         packing.REMEMBERED = was
 
 
+@settings(deadline=None)
 @given(st.integers(0, 5000), st.sampled_from([1, 2, 8, 1024]))
 def test_lengths_are_binary(n, most):
     made = packing.lengths(n, most)
