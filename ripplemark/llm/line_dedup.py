@@ -1,8 +1,11 @@
-"""Fuzzy line dedup: lines that share one of their rarest word pairs, edit similarity, one occurrence a group.
-
-DataFrame functions only. Every pair of lines with an edit similarity of 0.8 and more (counted in words) is found: lines
-are filed under so many of their pairs of neighbouring words, in one order for all, that similar ones share one
-(prefix filter). SimHash fingerprints in pigeonhole blocks can't do that: at that similarity some 13 of 64 bits differ.
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a group.
+
+DataFrame functions only. A line's fingerprint has GROUPS blocks. Each word falls to one block, and a block is the SimHash
+of its words: a bit is set if more than half of them have it. A changed word so reaches two blocks at most (the old one's
+and the new one's) and often no bit of them. Lines are linked if their fingerprints agree in AGREE blocks at least, that
+hold AGREE words together, and their edit similarity (counted in words) is SIMILARITY at least. Every choice of AGREE
+blocks is a table, so no such pair is missed. Against edit similarity alone one changed word is always found; what more
+of them cost is in the README.
 Line texts are never shuffled for the search; one more pass over the documents fetches the lines of candidate pairs.
 """
 
@@ -10,33 +13,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HOT, components, cut, join_counted
+from .common import components, cut, join_counted
 
 SIMILARITY = 0.8
+#: Blocks of a fingerprint, and how many of them linked lines have in common.
+GROUPS, AGREE = 5, 2
+#: Bytes from which on a word counts in fingerprints.
+LONG = 4
+#: Words of a block that 16-bit counters sum; 32-bit counters sum more of them, to the same bits.
+NARROW = 0x3FFF
 #: Lines of a block up to which pairs are made at once; a larger block links its lines to one of them before.
 SMALL_BLOCK = 16
 #: Lines of a chunk of a block; a task's group holds two chunks.
 CHUNK = 2000
 #: Candidate lines whose places are broadcast to the pass that fetches them (some 30 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Columns of a line's parities.
-PARITIES = ("x", "y")
 #: A word's stand-in in the edit distance of two lines: its number among their distinct words, from this code point on.
 FIRST_SIGN, SIGNS = 0x10000, 0x100000
 
 
 def words(line: Column) -> Column:
-    """A line's normalised words: lower case, digits as 0, parted by white space. Patterns run only on lines that have
-    other digits or more than single blanks between words."""
+    """A line's normalised words: lower case, digits as 0, parted by white space; the characters of a line that has two
+    bytes a character and more, as scripts without blanks do. Patterns run only on lines that have other digits or more
+    than single blanks between words."""
     low = F.lower(line)
     odd = reduce(lambda x, y: x | y, [F.contains(low, F.lit(c)) for c in ("  ", *"123456789", *"\t\r\f\x0B")])
     clean = F.btrim(F.regexp_replace(F.regexp_replace(low, "[1-9]", "0"), r"\s+", " "))
-    return F.split(F.when(odd | F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" ")), clean).otherwise(low), " ")
+    plain = F.when(odd | F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" ")), clean).otherwise(low)
+    dense = F.octet_length(line) >= 2 * F.char_length(line)
+    return F.when(dense, F.split(F.regexp_replace(plain, " ", ""), "")).otherwise(F.split(plain, " "))
 
 
 def worded(line: Column) -> Column:
@@ -57,26 +68,48 @@ def lines(docs: DataFrame) -> DataFrame:
     return made.select("*", F.xxhash64("words").alias("h"), F.hash("words").alias("c"))
 
 
-def parity(words: Column, part: int) -> Column:
-    """64 bits, each the parity of the words that fall to it: an edit changes two of all PARITIES' bits at most."""
-    code = lambda w: F.xxhash64(w).bitwiseAND(F.lit(127).cast("long")).cast("int")
-    bit = lambda w: F.when(F.shiftright(code(w), 6) == part, F.call_function("shiftleft", F.lit(1).cast("long"), code(w).bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
-
-
 def features(words: Column) -> Column:
-    """Numbers of word pairs of which two similar lines share one at least. words: an attribute.
-
-    Pairs of neighbours are put in one order for all, longer ones first, as these are rare. An edit takes two of a
-    line's pairs away at most, one if it inserts a word; so lines of n and m words whose edits are a fifth of the
-    longer's words at most keep all but 0.4 n of one's pairs and all but 0.4 m of the other's, and the first common
-    one is among the first 0.4 n + 1 and the first 0.4 m + 1. Repeated pairs count as often as they occur.
-    """
-    n = F.size(words)
-    after = lambda i: F.get(words, i + 1)
-    rank = lambda w, i: F.shiftleft((127 - F.least(F.octet_length(w) + F.octet_length(after(i)), F.lit(127))).cast("long"), 56)
-    pairs = F.transform(F.slice(words, 1, n - 1), lambda w, i: rank(w, i).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w, after(i)), 8)))
-    return F.array_distinct(F.slice(F.sort_array(pairs), 1, F.floor(0.4 * n).cast("int") + 1))
+    """Hashes of a line's distinct words of LONG bytes and more; of its pairs of neighbours if it has less than two."""
+    told = F.array_distinct(F.transform(F.filter(words, lambda w: F.octet_length(w) >= LONG), lambda w: F.xxhash64(w)))
+    pairs = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    return F.when(F.size(told) >= 2, told).otherwise(F.array_distinct(pairs))
+
+
+def block(hashes: Column, bits: int) -> Column:
+    """SimHash of hashes in 16 bits of a long: those at 0 to 3 of each of its four parts. Counters of so many bits lie side
+    by side in a long; one is over half of all if adding the rest to a power of two carries."""
+    lanes = 64 // bits
+    unit = sum(1 << (bits * i) for i in range(lanes))
+    rest = (F.lit((1 << (bits - 2)) - 1) - F.shiftright(F.size(hashes), 1)).cast("long") * F.lit(unit)
+    made = []
+    for at in [16 * part + i for part in range(4 // lanes) for i in range(4)]:
+        total = F.aggregate(hashes, F.lit(0).cast("long"), lambda s, w: s + F.shiftrightunsigned(w, at).bitwiseAND(F.lit(unit)))  # noqa: B023
+        over = F.shiftrightunsigned(total + rest, bits - 2).bitwiseAND(F.lit(unit))
+        made.append(F.shiftleft(over, at))
+    return reduce(lambda a, b: a.bitwiseOR(b), made)
+
+
+def fingerprinted(found: DataFrame) -> DataFrame:
+    """found (lines()) with n, the number of words, in place of them, the fingerprint in x (its first four blocks) and y (the
+    fifth), and load, two bits for each block that tell whether it has none, one or more words."""
+    keys = [c for c in found.columns if c != "words"]
+    hashed = found.select(*keys, F.size("words").alias("n"), features(F.col("words")).alias("all"))
+    group = lambda w: F.pmod(F.shiftrightunsigned(w, 52), F.lit(GROUPS))
+    dealt = hashed.select(*keys, "n", *[F.filter("all", lambda w: group(w) == g).alias(f"g{g}") for g in range(GROUPS)])  # noqa: B023
+    blocks = [F.when(F.size(f"g{g}") <= NARROW, block(F.col(f"g{g}"), 16)).otherwise(block(F.col(f"g{g}"), 32)) for g in range(GROUPS)]
+    load = reduce(lambda a, b: a + b, [F.least(F.size(f"g{g}"), F.lit(AGREE)) * F.lit(4**g) for g in range(GROUPS)])
+    made = dealt.select(*keys, "n", *[b.alias(f"b{g}") for g, b in enumerate(blocks)], load.alias("load"))
+    x = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(f"b{g}", 4 * g) for g in range(4)])
+    return made.select(*keys, "n", x.alias("x"), F.col("b4").alias("y"), "load")
+
+
+def block_keys() -> Column:
+    """A key for each choice of AGREE blocks that have AGREE words together, from x, y and load."""
+    bits = [F.shiftrightunsigned("x", 4 * g).bitwiseAND(F.lit(0x000F000F000F000F)) for g in range(4)] + [F.col("y")]
+    held = [F.shiftright("load", 2 * g).bitwiseAND(F.lit(3)) for g in range(GROUPS)]
+    chosen = list(enumerate(combinations(range(GROUPS), AGREE)))
+    keys = [F.when(reduce(lambda a, b: a + b, [held[g] for g in gs]) >= AGREE, F.xxhash64(F.lit(t), *[bits[g] for g in gs])) for t, gs in chosen]
+    return F.array_compact(F.array(*keys))
 
 
 def allowed(x: str, y: str) -> Column:
@@ -85,26 +118,16 @@ def allowed(x: str, y: str) -> Column:
 
 
 def may_be_similar(a: str, b: str) -> Column:
-    """Whether word counts and parities of two lines leave room for SIMILARITY."""
-    edits = allowed(f"{a}n", f"{b}n")
-    apart = [F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in PARITIES]
-    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= edits) & (apart[0] + apart[1] <= 2 * edits)
+    """Whether word counts of two lines leave room for SIMILARITY."""
+    return F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= allowed(f"{a}n", f"{b}n")
 
 
-def filed(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
-    """key, h, c, n, PARITIES, m and lead for every distinct line and each of its keys that other lines have as well; m is the
-    number of lines under the key, lead the smallest (h).
-
-    Lines that one of HOT has are filed at their first place only, so that no key holds their copies.
-    """
-    often = F.broadcast(distinct.where(F.col("times") * HOT > total).select(F.col("h").alias("oh"), F.col("c").alias("oc"), F.col("first").alias("of")))
-    first = F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("t") == F.col("of.t")) & (F.col("line_no") == F.col("of.line_no"))
-    found = lines(docs).where(F.size("words") >= 4).join(often, (F.col("h") == F.col("oh")) & (F.col("c") == F.col("oc")), "left").where(F.col("oh").isNull() | first)
-    keyed = found.select("h", F.explode(features(F.col("words"))).alias("key"))
-    ordered, whole = Window.partitionBy("key").orderBy("h"), Window.partitionBy("key")
-    once = keyed.withColumn("before", F.lag("h").over(ordered)).where("before is null or before <> h").drop("before")
-    blocks = once.withColumns({"m": F.count("*").over(whole), "lead": F.min("h").over(whole)}).where("m > 1")
-    return blocks.join(distinct.select("h", "c", "n", *PARITIES), "h")
+def filed(distinct: DataFrame) -> DataFrame:
+    """key, h, c, n, m and lead for every distinct line and each block key that other lines have as well; m is the number of
+    lines under the key, lead the smallest (h). Lines of less than five words have no room for an edit."""
+    keyed = distinct.where(allowed("n", "n") > 0).select("h", "c", "n", F.explode(block_keys()).alias("key"))
+    whole = Window.partitionBy("key")
+    return keyed.withColumns({"m": F.count("*").over(whole), "lead": F.min("h").over(whole)}).where("m > 1")
 
 
 def chunked(keyed: DataFrame) -> DataFrame:
@@ -116,19 +139,20 @@ def chunked(keyed: DataFrame) -> DataFrame:
 
 
 def named(rows: DataFrame, x: str, *more: str | Column) -> DataFrame:
-    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n", *PARITIES)])
+    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n")])
 
 
-def links(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
-    """Pairs of keys (ah, ac, bh, bc) of lines whose edit similarity, counted in words, is SIMILARITY at least; enough
-    of them to connect whatever is similar. distinct: (h, c, first, times, n, PARITIES) of distinct lines.
+def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Pairs of keys (ah, ac, bh, bc) of lines that share a block key and whose edit similarity, counted in words, is
+    SIMILARITY at least; enough of them to connect whatever is linked. distinct: (h, c, first, times, n, x, y, load) of
+    distinct lines.
 
     Large blocks first link their members to one of them. Pairs are then made only between lines that this didn't
     connect, so a block of N near copies has N links and no pair.
     """
-    blocks = cut(filed(docs, distinct, total), "line-blocks")
+    blocks = cut(filed(distinct), "line-blocks")
     large = blocks.where(F.col("m") > SMALL_BLOCK)
-    leads = large.where("h = lead").groupBy("key").agg(F.min(F.struct("h", "c", "n", *PARITIES)).alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n", *PARITIES)])
+    leads = large.where("h = lead").groupBy("key").agg(F.min(F.struct("h", "c", "n")).alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n")])
     stars = named(large, "b", "key").join(leads, "key").where(((F.col("ah") != F.col("bh")) | (F.col("ac") != F.col("bc"))) & may_be_similar("a", "b"))
     near = cut(verified(docs, distinct, stars.select("ah", "ac", "bh", "bc").distinct()), "line-links")
 
@@ -183,12 +207,12 @@ def dropped(docs: DataFrame) -> DataFrame:
     Of each connected group of lines the first occurrence stays: smallest doc_id (null first), then t, then line
     number. Lines without a word are never dropped. Copies of a row count as one here.
     """
-    own = cut(lines(docs).select("doc_id", "t", "line_no", "h", "c", F.size("words").alias("n"), *[parity(F.col("words"), i).alias(x) for i, x in enumerate(PARITIES)]), "lines")
+    own = cut(fingerprinted(lines(docs)), "lines")
     first = F.min(F.struct("doc_id", "t", "line_no")).alias("first")
-    distinct = cut(own.groupBy("h", "c").agg(first, *[F.first(x).alias(x) for x in ("n", *PARITIES)], F.count("*").alias("times")), "distinct-lines")
+    distinct = cut(own.groupBy("h", "c").agg(first, *[F.first(x).alias(x) for x in ("n", "x", "y", "load")], F.count("*").alias("times")), "distinct-lines")
     total = own.count()
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
-    roots = components(links(docs, distinct, total).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")
+    roots = components(links(docs, distinct).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")
     linked = distinct.join(roots, ["h", "c"])
     kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
     grouped = linked.join(kept, "root").select("h", "c", "times", "kept")
