@@ -68,11 +68,13 @@ def lines(docs: DataFrame) -> DataFrame:
     return made.select("*", F.xxhash64("words").alias("h"), F.hash("words").alias("c"))
 
 
-def features(words: Column) -> Column:
-    """Hashes of a line's distinct words of LONG bytes and more; of its pairs of neighbours if it has less than two."""
-    told = F.array_distinct(F.transform(F.filter(words, lambda w: F.octet_length(w) >= LONG), lambda w: F.xxhash64(w)))
-    pairs = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
-    return F.when(F.size(told) >= 2, told).otherwise(F.array_distinct(pairs))
+def featured(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n and all: hashes of a line's distinct words of LONG bytes and more; of its pairs of neighbours if it has less
+    than two of these."""
+    told = F.array_distinct(F.transform(F.filter("words", lambda w: F.octet_length(w) >= LONG), lambda w: F.xxhash64(w)))
+    pairs = F.transform(F.slice("words", 1, F.size("words") - 1), lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
+    made = found.select(*keys, "words", told.alias("told"))
+    return made.select(*keys, F.size("words").alias("n"), F.when(F.size("told") >= 2, F.col("told")).otherwise(F.array_distinct(pairs)).alias("all"))
 
 
 def block(hashes: Column, bits: int) -> Column:
@@ -93,7 +95,7 @@ def fingerprinted(found: DataFrame) -> DataFrame:
     """found (lines()) with n, the number of words, in place of them, the fingerprint in x (its first four blocks) and y (the
     fifth), and load, two bits for each block that tell whether it has none, one or more words."""
     keys = [c for c in found.columns if c != "words"]
-    hashed = found.select(*keys, F.size("words").alias("n"), features(F.col("words")).alias("all"))
+    hashed = featured(found, keys)
     group = lambda w: F.pmod(F.shiftrightunsigned(w, 52), F.lit(GROUPS))
     dealt = hashed.select(*keys, "n", *[F.filter("all", lambda w: group(w) == g).alias(f"g{g}") for g in range(GROUPS)])  # noqa: B023
     blocks = [F.when(F.size(f"g{g}") <= NARROW, block(F.col(f"g{g}"), 16)).otherwise(block(F.col(f"g{g}"), 32)) for g in range(GROUPS)]
