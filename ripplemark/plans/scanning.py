@@ -137,10 +137,20 @@ def segment_lines(t: Tables) -> DataFrame:
 def scanned_lines(t: Tables) -> DataFrame:
     """Diffs of sources, written as text files (a source's in as many as its lines take) and read in splits."""
     at = scratch(t.spark, "diff-files")
-    rows = t.documents.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line")).select(F.coalesce("source", F.lit("")).alias("pr"), "doc_id", "nth", F.concat(F.lit("+"), "line").alias("value"))
-    rows.repartitionByRange("pr", "doc_id", "nth").sortWithinPartitions("pr", "doc_id", "nth").select(F.concat(F.lit("s-"), "pr").alias("pr"), "value").write.partitionBy("pr").option("lineSep", "\n").text(at)
-    read = diff_files.read_lines(t.spark, at, F.substring("pr", 3, 1 << 30), line_sep="\n")
-    return read.select("pr", "line_no", F.md5(F.col("text").cast("binary")).alias("digest"))
+    write_sources(t.documents, at)
+    read = diff_files.read_lines(t.spark, at, F.col("pr"), line_sep="\n")
+    return read.select(F.substring("pr", 3, 1 << 30).alias("pr"), "line_no", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def write_sources(docs: DataFrame, at: str) -> None:
+    """Lines of docs as text files of a folder for each source, in the order of doc_id (null last) and line. Folders are
+    named s- and the source; n- is that of none. Rows are sorted by the very column that the writer parts them by: where
+    it has to sort them itself, it keeps no other order."""
+    folder = F.coalesce(F.concat(F.lit("s-"), "source"), F.lit("n-")).alias("pr")
+    rows = docs.select(folder, "doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    order = [F.col("pr"), F.col("doc_id").asc_nulls_last(), F.col("nth")]
+    made = rows.select("pr", "doc_id", "nth", F.concat(F.lit("+"), "line").alias("value")).repartitionByRange(*order).sortWithinPartitions(*order)
+    made.select("pr", "value").write.partitionBy("pr").option("lineSep", "\n").text(at)
 
 
 def nested_block_scan(t: Tables) -> DataFrame:
