@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plain_id
 from ..operators import graph
+from ..shared import cut
 from .tables import BASE, CHANGES, EDGES, NODES, Tables, changes, edges, label, label_sql, nodes
 
 
@@ -24,7 +25,7 @@ def direct_children(t: Tables) -> DataFrame:
 
 
 def reach_summary(t: Tables) -> DataFrame:
-    found = graph.reach_summary(graph.reach(_nations(t), edges(t)), nodes(t))
+    found = graph.reach_summary(graph.reach_sets(_nations(t), edges(t)), nodes(t))
     return found.select(label("root").alias("root"), "size", "exposures", "contracted", "public", "owners", "depths", "names")
 
 
@@ -32,7 +33,7 @@ def induced_subgraph(t: Tables) -> DataFrame:
     """Node rows (child null) and edge rows of each nation's shown subgraph, of which hidden counts the whole reach's rest. Ids
     are letters, digits and underscores."""
     e, plain = edges(t), lambda node: plain_id(F.concat(F.lit("model."), label(node)))
-    shown = graph.shown_nodes(graph.reach(_nations(t), e))
+    shown = cut(graph.shown_nodes(graph.reach_sets(_nations(t), e)), "shown")
     style = F.when(F.col("kind") == "exposure", "exposure").when(F.col("contracted"), "contracted").otherwise("plain")
     about = nodes(t).select("id", style.alias("style"))
     a = shown.join(about, shown["node"] == about["id"]).select(plain("root").alias("root"), plain("node").alias("node"), F.lit(None).cast("string").alias("child"), "hidden", "style")
@@ -44,7 +45,7 @@ def assessed(t: Tables) -> DataFrame:
     """Every change with its reach and severity. Reach is found once for each distinct changed node, and only for
     nodes whose change is semantic."""
     c = changes(t)
-    found = graph.reach(c.where("is_semantic").select(F.col("node").alias("root")).distinct(), edges(t))
+    found = graph.reach_sets(c.where("is_semantic").select(F.col("node").alias("root")), edges(t))
     sums = graph.reach_counts(found, nodes(t)).withColumnRenamed("root", "node")
     about = nodes(t).select(F.col("id").alias("node"), "materialization")
     counts = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("size", "exposures", "contracted", "public")]

@@ -35,6 +35,8 @@ def label(node: str) -> Column:
 
 
 def edges(t: Tables) -> DataFrame:
+    """(parent, child). Line items repeat edges; who needs different ones drops the others where few are left."""
+
     def pairs(df: DataFrame, a: str, x: str, b: str, y: str) -> DataFrame:
         return df.select(node_id(a, x).alias("parent"), node_id(b, y).alias("child"))
 
@@ -44,8 +46,8 @@ def edges(t: Tables) -> DataFrame:
         pairs(t.customer, "n", "c_nationkey", "c", "c_custkey"),
         pairs(t.supplier, "n", "s_nationkey", "s", "s_suppkey"),
         pairs(t.orders, "c", "o_custkey", "o", "o_orderkey"),
-        pairs(lines, "s", "l_suppkey", "p", "l_partkey").distinct(),
-        pairs(lines, "p", "l_partkey", "o", "l_orderkey").distinct(),
+        pairs(lines, "s", "l_suppkey", "p", "l_partkey"),
+        pairs(lines, "p", "l_partkey", "o", "l_orderkey"),
     ])
 
 
