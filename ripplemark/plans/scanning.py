@@ -290,11 +290,16 @@ def secret_findings(t: Tables) -> DataFrame:
     return scan.secret_findings(code(t))
 
 
+BATCHES = 3
+
+
 def incremental_findings(t: Tables) -> DataFrame:
-    """The same from a stream: lines arrive in files, each of which is a batch, and the first finding of a kind is kept."""
+    """The same from a stream: lines arrive in BATCHES batches of files, as many as their bytes take, and the first finding of
+    a kind is kept."""
     at = scratch(t.spark, "arriving")
-    code(t).repartitionByRange(3, "line_no").write.parquet(f"{at}/lines")
-    stream = t.spark.readStream.schema(t.spark.read.parquet(f"{at}/lines").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/lines")
+    code(t).repartitionByRange("line_no", "pr", "path").write.parquet(f"{at}/lines")
+    written = t.spark.read.parquet(f"{at}/lines")
+    stream = t.spark.readStream.schema(written.schema).option("maxFilesPerTrigger", max(1, -(-len(written.inputFiles()) // BATCHES))).parquet(f"{at}/lines")
     events.maintain_findings(stream, f"{at}/kept", f"{at}/checkpoint", buckets=8).awaitTermination()
     return events.live_state(t.spark, f"{at}/kept").select("pr", "path", "kind", "preview", "line_no")
 
