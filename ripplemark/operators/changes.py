@@ -17,6 +17,12 @@ def segment(lines: DataFrame, key: str = "pr", chunk: int = carry.CHUNK) -> Data
     return carry.sections(classed, F.col("class") == "header", F.col("class") == "hunk", [key], "line_no", "file_no", "hunk_no", chunk)
 
 
+def file_lines(lines: DataFrame) -> DataFrame:
+    """Those lines of a diff that tell its files, their paths and their change types. To segment() them alone spares the
+    exchange of all others; counts of lines and what is semantic need those."""
+    return lines.where(line_class(F.col("text")).isin("header", "new", "deleted", "renamed"))
+
+
 def changed_lines(segmented: DataFrame, key: str = "pr", most: int = 40) -> DataFrame:
     """(key, file_no, line_no, text, nth): the added and removed lines of each file without their sign, most at most; a
     report shows no more."""

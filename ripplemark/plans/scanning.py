@@ -74,7 +74,8 @@ def files(t: Tables) -> DataFrame:
     head = F.array_compact(F.array(F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.when(F.col("doc_id") % 3 == 0, F.lit("new file mode 100644")), F.lit("@@ -1 +1 @@")))
     body = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x))
     found = docs.select("pr", "doc_id", F.posexplode(F.concat(head, body)).alias("at", "text"))
-    return changes.changed_files(changes.segment(found.withColumn("line_no", F.col("doc_id") * 2**24 + F.col("at")))).select("pr", "path", "change_type")
+    told = changes.file_lines(found.withColumn("line_no", F.col("doc_id") * 2**24 + F.col("at")))
+    return changes.changed_files(changes.segment(told)).select("pr", "path", "change_type")
 
 
 def diffs(t: Tables) -> DataFrame:
