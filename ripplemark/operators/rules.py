@@ -1,12 +1,17 @@
 """Rule packs as tables: which rules a change falls under, found through an index of what each rule can't do without.
 
-A rule is a row: rule_id, applies_as, kinds, globs, requires (RULE). Each of its globs is filed under the piece of
-its literal runs, as long as possible, that the fewest changes' paths hold; a rule without globs under its rarest required attribute,
-else under its kinds. A change fetches the rules filed under what it holds, and only those are compared with it.
+A rule is a row: rule_id, applies_as, kinds, globs, requires (RULE). A glob of at most one * has a shape, the places of its
+wildcards, and is filed under its shape and all its other characters; a path has one such key for each shape. Of a rule
+that has other globs each is filed under the piece of its literal runs, as long as possible, that the fewest changes' paths
+hold; a rule without globs under its rarest required attribute, else under its kinds. A change fetches the rules filed
+under what it holds, and only those are compared with it.
 """
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ BROADCAST_RULES = 50_000
 #: Lengths of grams: a glob is filed under grams of the greatest length that its longest literal run has. And rules that a
 #: block holds when every rule's reason is asked for.
 GRAMS, BLOCK = (1, 2, 3, 4, 6, 8, 12, 16, 24), 100
+#: Shapes of globs that rules are filed under, those of most globs; rules with a glob of another shape are filed by grams.
+SHAPES = 100
 #: What stands for a path's begin and end in grams.
 BEGIN, END = "\x02", "\x03"
 
@@ -83,18 +90,89 @@ def _keys_of_changes(profiles: DataFrame, sizes: list[int]) -> DataFrame:
     return profiles.select("profile", F.explode(F.concat(*own, *grams)).alias("key"))
 
 
+def _masked(glob: Column) -> Column:
+    """A glob with ? for each class and one * for several in a row."""
+    plain = F.when(F.contains(glob, F.lit("[")), F.regexp_replace(glob, r"\[!?+\]?+[^\]]*\]", "?")).otherwise(glob)
+    return F.when(F.contains(plain, F.lit("**")), F.regexp_replace(plain, r"\*+", "*")).otherwise(plain)
+
+
+def _shape(mask: Column) -> Column:
+    """A mask with x for every character that isn't a wildcard; null if it has several *."""
+    shape = F.when(F.translate(mask, "*?", "") == mask, F.repeat(F.lit("x"), F.length(mask))).otherwise(F.regexp_replace(mask, "[^*?]", "x"))
+    return F.when(F.substring_index(mask, "*", 2) == mask, shape)
+
+
+def _letters(mask: Column) -> Column:
+    return F.translate(mask, "*?", "")
+
+
+def _shaped(globs: DataFrame) -> dict[str, tuple[int, str]]:
+    """Shapes of most masks, at most SHAPES: their number, and what the letters of all globs of that shape begin with."""
+    letters = _letters(F.col("mask"))
+    found = globs.groupBy("shape").agg(F.count("*").alias("n"), F.min(letters).alias("low"), F.max(letters).alias("high")).where("shape is not null").orderBy(F.desc("n"), "shape").limit(SHAPES).collect()
+    return {r["shape"]: (i, os.path.commonprefix([r.low, r.high])) for i, r in enumerate(found)}
+
+
+def _keys_of_paths(shapes: dict[str, tuple[int, str]]) -> Column:
+    """For every shape that a path (__path, of __length) can have, its number and the path's letters where globs of that
+    shape have theirs."""
+    keys = []
+    for shape, (number, begin) in shapes.items():
+        head, star, tail = shape.partition("*")
+        runs = [F.substring("__path", m.start() + 1, len(m[0])) for m in re.finditer("x+", head)]
+        runs += [F.substring(F.col("__path"), F.col("__length") - (len(tail) - m.start() - 1), F.lit(len(m[0]))) for m in re.finditer("x+", tail)]
+        letters = F.concat(*runs) if runs else F.lit("")
+        long = F.col("__length") >= len(head) + len(tail) if star else F.col("__length") == len(head)
+        keys.append(F.when(long & F.startswith(letters, F.lit(begin)), F.concat(F.lit(f"{number}:"), letters)))
+    return F.array_compact(F.array(*keys))
+
+
 def eligible(changed: DataFrame, rules: DataFrame, attributes: tuple[str, ...] = (), applies_as: str = APPLIES[0]) -> DataFrame:
     """changed's columns and rule_id: for every change the rules of load() that admit it, by their kinds, globs (* crosses
     slashes) and required attributes, which are compared as text; null is no value.
 
-    changed: path, kind, attributes, and more. Changes that agree in path, kind and attributes are looked up once. A rule
-    whose key no change holds is dropped before anything is joined. Nothing is collected but the sizes of grams.
+    changed: path, kind, attributes, and more. Nothing is collected but shapes of globs, up to SHAPES, and the sizes of grams.
     """
-    wanted = rules.where(F.col("applies_as") == applies_as).select("rule_id", "kinds", "globs", "pairs")
+    wanted = rules.where(F.col("applies_as") == applies_as).select("rule_id", "kinds", F.array_distinct("globs").alias("globs"), "pairs")
+    masks = F.transform("globs", _masked)
+    parsed = cut(wanted.withColumn("masks", masks).withColumn("shapes", F.transform("masks", _shape)), "rule-globs")
+    shapes = _shaped(parsed.select(F.explode(F.arrays_zip("masks", "shapes")).alias("z")).select(F.col("z.masks").alias("mask"), F.col("z.shapes").alias("shape")))
+    known = F.create_map(*[F.lit(x) for shape, (number, _) in shapes.items() for x in (shape, number)]) if shapes else F.create_map().cast("map<string,int>")
+    whole = F.coalesce(F.forall("shapes", lambda s: s.isNotNull() & F.map_contains_key(known, F.coalesce(s, F.lit("-")))), F.lit(False)) & (F.size("globs") > 0)
     held = _held(changed, attributes)
-    profiles = held.select("__path", "kind", "__pairs").distinct().withColumn("profile", F.xxhash64("__path", "kind", F.array_join("__pairs", "\n"))).withColumn("kind", F.coalesce("kind", F.lit("")))
+    made = [_by_grams(held, changed.columns, parsed.where(~whole).select(*wanted.columns))]
+    if shapes:
+        made.append(_by_shapes(held, changed.columns, parsed.where(whole), shapes, known))
+    return made[0].unionByName(made[-1]) if shapes else made[0]
+
+
+def _by_shapes(held: DataFrame, columns: list[str], rules: DataFrame, shapes: dict[str, tuple[int, str]], known: Column) -> DataFrame:
+    """What eligible() returns, of rules whose globs all have one of these shapes. A rule is found through the first of its globs
+    that fits; only classes, and globs before that one, need patterns."""
+    each = rules.select("rule_id", "kinds", "pairs", "globs", "shapes", F.posexplode("masks").alias("place", "mask"))
+    glob = F.get("globs", F.col("place"))
+    index = each.select(
+        F.col("rule_id").alias("__rule"), F.col("kinds").alias("__kinds"), F.col("pairs").alias("__needed"),
+        F.concat(known[F.get("shapes", F.col("place"))].cast("string"), F.lit(":"), _letters(F.col("mask"))).alias("__key"),
+        F.when(F.contains(glob, F.lit("[")), glob_pattern(glob)).alias("__pattern"),
+        F.when(F.col("place") > 0, F.transform(F.slice("globs", F.lit(1), F.col("place")), glob_pattern)).alias("__before"),
+    )
+    keyed = held.withColumn("__length", F.length("__path")).withColumn("__key", F.explode(_keys_of_paths(shapes))).drop("__length")
+    fits = (F.size("__kinds") == 0) | F.array_contains("__kinds", F.coalesce("kind", F.lit("")))
+    fits &= (F.size("__needed") == 0) | (F.size(F.array_except("__needed", "__pairs")) == 0)
+    fits &= F.col("__pattern").isNull() | F.regexp_like("__path", F.col("__pattern"))
+    fits &= F.col("__before").isNull() | ~F.exists("__before", lambda p: F.regexp_like("__path", p))
+    return keyed.join(_small(index), "__key").where(fits).select(*columns, F.col("__rule").alias("rule_id"))
+
+
+def _by_grams(held: DataFrame, columns: list[str], wanted: DataFrame) -> DataFrame:
+    """What eligible() returns, of any rules. Changes that agree in kind, attributes and, where rules have globs, path are looked up
+    once. A rule whose key no change holds is dropped before anything is joined."""
     filed = cut(_keys_of_rules(wanted), "rule-keys")
     sizes = sorted(r[0] for r in filed.where("startswith(key, 'g:')").select((F.length("key") - 2).alias("n")).distinct().collect())
+    paths = filed.where("startswith(of, 'glob ')").limit(1).count() > 0
+    held = held if paths else held.withColumn("__path", F.lit(""))
+    profiles = held.select("__path", "kind", "__pairs").distinct().withColumn("profile", F.xxhash64("__path", "kind", F.array_join("__pairs", "\n"))).withColumn("kind", F.coalesce("kind", F.lit("")))
     # of what changes hold, what some rule is filed under
     keys = cut(_keys_of_changes(profiles, sizes).join(_small(filed.select("key").distinct()), "key", "left_semi"), "change-keys")
     counted = cut(keys.groupBy("key").agg(F.count("*").alias("n")), "key-counts")
@@ -104,9 +182,11 @@ def eligible(changed: DataFrame, rules: DataFrame, attributes: tuple[str, ...] =
     index = index.select("rule_id", "key", "kinds", "pairs", F.when(F.col("glob").isNotNull(), glob_pattern(F.col("glob"))).alias("pattern")).withColumnRenamed("pairs", "needed")
     met = keys.join(_small(cut(index, "rule-index")), "key").join(profiles.withColumnRenamed("kind", "own_kind"), "profile")
     fits = ((F.size("kinds") == 0) | F.array_contains("kinds", F.col("own_kind"))) & (F.size(F.array_except("needed", "__pairs")) == 0) & (F.col("pattern").isNull() | F.regexp_like("__path", F.col("pattern")))
-    found = met.where(fits).select(F.col("rule_id").alias("__rule"), F.col("__path").alias("__own_path"), F.col("own_kind").alias("__own_kind"), F.col("__pairs").alias("__own_pairs")).distinct()
+    found = cut(met.where(fits).select(F.col("rule_id").alias("__rule"), F.col("__path").alias("__own_path"), F.col("own_kind").alias("__own_kind"), F.col("__pairs").alias("__own_pairs")).distinct(), "rules-found")
     same = (F.col("__path") == F.col("__own_path")) & (F.coalesce("kind", F.lit("")) == F.col("__own_kind")) & (F.col("__pairs") == F.col("__own_pairs"))
-    return held.join(found, same).select(*changed.columns, F.col("__rule").alias("rule_id"))
+    # changes that no rule admits are gone before the others meet theirs
+    own = found.select("__own_path", "__own_kind", "__own_pairs").distinct()
+    return held.join(_small(own), same, "left_semi").join(_small(found), same).select(*columns, F.col("__rule").alias("rule_id"))
 
 
 def reasons(changed: DataFrame, rules: DataFrame, attributes: tuple[str, ...] = (), applies_as: str = APPLIES[0]) -> DataFrame:
