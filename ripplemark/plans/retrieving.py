@@ -34,8 +34,7 @@ def _rule_terms(t: Tables) -> DataFrame:
 
 
 def _query_terms(t: Tables) -> DataFrame:
-    """Written once, as scores, norms and keywords all read it."""
-    return cut(R.terms(t.documents.select(F.col("doc_id").alias("query_id"), "text"), "query_id", F.col("text")), "query-terms")
+    return R.terms(t.documents.select(F.col("doc_id").alias("query_id"), "text"), "query_id", F.col("text"))
 
 
 def _keywords(t: Tables) -> DataFrame:
@@ -51,10 +50,11 @@ def tfidf_vectors(t: Tables) -> DataFrame:
     return R.vectors(counted, R.idf(counted, "rule_id"), "rule_id").select("rule_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def _scores(t: Tables, queries: DataFrame) -> DataFrame:
+def _matches(t: Tables, *by: str) -> tuple[DataFrame, DataFrame]:
     rules = cut(_rule_terms(t), "rule-terms")
     weights = cut(R.idf(rules, "rule_id"), "rule-weights")
-    return R.scores(R.vectors(queries, weights, "query_id"), cut(R.vectors(rules, weights, "rule_id"), "rule-vectors"))
+    queries = t.documents.select(F.col("doc_id").alias("query_id"), "text", *by)
+    return R.matches(queries, "text", cut(R.vectors(rules, weights, "rule_id"), "rule-vectors"), weights, _keywords(t), *by)
 
 
 def keyword_matches(t: Tables) -> DataFrame:
@@ -62,16 +62,12 @@ def keyword_matches(t: Tables) -> DataFrame:
 
 
 def tfidf_topk(t: Tables) -> DataFrame:
-    queries = _query_terms(t)
-    return R.top_rules(_scores(t, queries), R.keyword_hits(queries, _keywords(t))).select("query_id", "rule_id", "rank", "score", "has_keyword")
+    return R.top_rules(*_matches(t)).select("query_id", "rule_id", "rank", "score", "has_keyword")
 
 
 def union_topk(t: Tables) -> DataFrame:
     """Rules of a change set (a source): each rule's best score over its documents, ranked anew."""
-    queries, sets = _query_terms(t), t.documents.select(F.col("doc_id").alias("query_id"), "source")
-    best = _scores(t, queries).join(sets, "query_id").groupBy("source", "rule_id").agg(F.max("score").alias("score"))
-    hits = R.keyword_hits(queries, _keywords(t)).join(sets, "query_id").groupBy("source", "rule_id").agg(F.sum("hits").alias("hits"))
-    return R.top_rules(best, hits, "source").select("source", "rule_id", "rank", "score")
+    return R.top_rules(*_matches(t, "source"), "source").select("source", "rule_id", "rank", "score")
 
 
 def _changed(t: Tables) -> DataFrame:
