@@ -3,7 +3,8 @@
 DataFrame functions only. A line's fingerprint has GROUPS blocks. Each word falls to one block, and a block is the SimHash
 of its words: a bit is set if more than half of them have it. A changed word so reaches two blocks at most (the old one's
 and the new one's) and often no bit of them. Lines are linked if their fingerprints agree in AGREE blocks at least, that
-hold AGREE words together, and their edit similarity (counted in words) is SIMILARITY at least. Every choice of AGREE
+hold AGREE words together, and their edit similarity (counted in words) is SIMILARITY at least. A sketch of their words,
+which an edit changes in two bits at most, tells most other pairs of a block before they are made. Every choice of AGREE
 blocks is a table, so no such pair is missed. Against edit similarity alone one changed word is always found; what more
 of them cost is in the README.
 Line texts are never shuffled for the search; one more pass over the documents fetches the lines of candidate pairs.
@@ -70,11 +71,11 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def featured(found: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n and all: hashes of a line's distinct words of LONG bytes and more; of its pairs of neighbours if it has less
-    than two of these."""
+    than two of these, which long tells."""
     told = F.array_distinct(F.transform(F.filter("words", lambda w: F.octet_length(w) >= LONG), lambda w: F.xxhash64(w)))
     pairs = F.transform(F.slice("words", 1, F.size("words") - 1), lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
     made = found.select(*keys, "words", told.alias("told"))
-    return made.select(*keys, F.size("words").alias("n"), F.when(F.size("told") >= 2, F.col("told")).otherwise(F.array_distinct(pairs)).alias("all"))
+    return made.select(*keys, F.size("words").alias("n"), (F.size("told") >= 2).alias("long"), F.when(F.size("told") >= 2, F.col("told")).otherwise(F.array_distinct(pairs)).alias("all"))
 
 
 def block(hashes: Column, bits: int) -> Column:
@@ -93,16 +94,19 @@ def block(hashes: Column, bits: int) -> Column:
 
 def fingerprinted(found: DataFrame) -> DataFrame:
     """found (lines()) with n, the number of words, in place of them, the fingerprint in x (its first four blocks) and y (the
-    fifth), and load, two bits for each block that tell whether it has none, one or more words."""
+    fifth), load, two bits for each block that tell whether it has none, one or more words, and z: a bit of 64 for each
+    different word of LONG bytes and more, null for lines that are told by pairs."""
     keys = [c for c in found.columns if c != "words"]
+    one = F.lit(1).cast("long")
+    sketch = F.when(F.col("long"), F.aggregate("all", F.lit(0).cast("long"), lambda z, w: z.bitwiseOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int")))))
     hashed = featured(found, keys)
     group = lambda w: F.pmod(F.shiftrightunsigned(w, 52), F.lit(GROUPS))
-    dealt = hashed.select(*keys, "n", *[F.filter("all", lambda w: group(w) == g).alias(f"g{g}") for g in range(GROUPS)])  # noqa: B023
+    dealt = hashed.select(*keys, "n", sketch.alias("z"), *[F.filter("all", lambda w: group(w) == g).alias(f"g{g}") for g in range(GROUPS)])  # noqa: B023
     blocks = [F.when(F.size(f"g{g}") <= NARROW, block(F.col(f"g{g}"), 16)).otherwise(block(F.col(f"g{g}"), 32)) for g in range(GROUPS)]
     load = reduce(lambda a, b: a + b, [F.least(F.size(f"g{g}"), F.lit(AGREE)) * F.lit(4**g) for g in range(GROUPS)])
-    made = dealt.select(*keys, "n", *[b.alias(f"b{g}") for g, b in enumerate(blocks)], load.alias("load"))
+    made = dealt.select(*keys, "n", "z", *[b.alias(f"b{g}") for g, b in enumerate(blocks)], load.alias("load"))
     x = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(f"b{g}", 4 * g) for g in range(4)])
-    return made.select(*keys, "n", x.alias("x"), F.col("b4").alias("y"), "load")
+    return made.select(*keys, "n", x.alias("x"), F.col("b4").alias("y"), "load", "z")
 
 
 def block_keys() -> Column:
@@ -120,14 +124,17 @@ def allowed(x: str, y: str) -> Column:
 
 
 def may_be_similar(a: str, b: str) -> Column:
-    """Whether word counts of two lines leave room for SIMILARITY."""
-    return F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= allowed(f"{a}n", f"{b}n")
+    """Whether word counts and sketches of two lines leave room for SIMILARITY: an edit takes a word and brings one at most,
+    and each of them is a bit at most."""
+    edits = allowed(f"{a}n", f"{b}n")
+    apart = F.bit_count(F.col(f"{a}z").bitwiseXOR(F.col(f"{b}z")))
+    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= edits) & (apart.isNull() | (apart <= 2 * edits))
 
 
 def filed(distinct: DataFrame) -> DataFrame:
-    """key, h, c, n, m and lead for every distinct line and each block key that other lines have as well; m is the number of
+    """key, h, c, n, z, m and lead for every distinct line and each block key that other lines have as well; m is the number of
     lines under the key, lead the smallest (h). Lines of less than five words have no room for an edit."""
-    keyed = distinct.where(allowed("n", "n") > 0).select("h", "c", "n", F.explode(block_keys()).alias("key"))
+    keyed = distinct.where(allowed("n", "n") > 0).select("h", "c", "n", "z", F.explode(block_keys()).alias("key"))
     whole = Window.partitionBy("key")
     return keyed.withColumns({"m": F.count("*").over(whole), "lead": F.min("h").over(whole)}).where("m > 1")
 
@@ -141,12 +148,12 @@ def chunked(keyed: DataFrame) -> DataFrame:
 
 
 def named(rows: DataFrame, x: str, *more: str | Column) -> DataFrame:
-    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n")])
+    return rows.select(*more, *[F.col(c).alias(f"{x}{c}") for c in ("h", "c", "n", "z")])
 
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Pairs of keys (ah, ac, bh, bc) of lines that share a block key and whose edit similarity, counted in words, is
-    SIMILARITY at least; enough of them to connect whatever is linked. distinct: (h, c, first, times, n, x, y, load) of
+    SIMILARITY at least; enough of them to connect whatever is linked. distinct: (h, c, first, times, n, x, y, load, z) of
     distinct lines.
 
     Large blocks first link their members to one of them. Pairs are then made only between lines that this didn't
@@ -154,7 +161,7 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """
     blocks = cut(filed(distinct), "line-blocks")
     large = blocks.where(F.col("m") > SMALL_BLOCK)
-    leads = large.where("h = lead").groupBy("key").agg(F.min(F.struct("h", "c", "n")).alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n")])
+    leads = large.where("h = lead").groupBy("key").agg(F.min(F.struct("h", "c", "n", "z")).alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"a{x}") for x in ("h", "c", "n", "z")])
     stars = named(large, "b", "key").join(leads, "key").where(((F.col("ah") != F.col("bh")) | (F.col("ac") != F.col("bc"))) & may_be_similar("a", "b"))
     near = cut(verified(docs, distinct, stars.select("ah", "ac", "bh", "bc").distinct()), "line-links")
 
@@ -211,7 +218,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     """
     own = cut(fingerprinted(lines(docs)), "lines")
     first = F.min(F.struct("doc_id", "t", "line_no")).alias("first")
-    distinct = cut(own.groupBy("h", "c").agg(first, *[F.first(x).alias(x) for x in ("n", "x", "y", "load")], F.count("*").alias("times")), "distinct-lines")
+    distinct = cut(own.groupBy("h", "c").agg(first, *[F.first(x).alias(x) for x in ("n", "x", "y", "load", "z")], F.count("*").alias("times")), "distinct-lines")
     total = own.count()
     key = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}c").alias("c"))
     roots = components(links(docs, distinct).select(key("a").alias("a"), key("b").alias("b"))).select("node.h", "node.c", "root")

@@ -147,3 +147,22 @@ def test_spark_hashes_like_the_library(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("gadobe")), F.xxhash64(F.lit("ga"), F.lit("do"))).first()
     assert got[0] % 2**64 == xxhash.xxh64_intdigest(b"gadobe", 42)
     assert got[1] % 2**64 == xxhash.xxh64_intdigest(b"do", xxhash.xxh64_intdigest(b"ga", 42))
+
+
+def test_sketches_part_lines_of_other_words_and_never_similar_ones(spark):
+    """Unrelated lines of one length are told apart without their texts; lines within the edits that count never are."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    pairs = []
+    for i in range(200):
+        a = [word() for _ in range(rng.randint(5, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 5)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+        pairs.append((i, True, a, b))
+        pairs.append((i, False, [word() + "long" + word() for _ in range(20)], [word() + "long" + word() for _ in range(20)]))
+    sides = [line_dedup.fingerprinted(spark.createDataFrame([(i, near, p[x]) for i, near, *p in pairs], "i int, near boolean, words array<string>")) for x in (0, 1)]
+    a, b = (d.select("i", "near", F.col("n").alias(f"{x}n"), F.col("z").alias(f"{x}z")) for d, x in zip(sides, "ab"))
+    got = [(r.near, r.may) for r in a.join(b, ["i", "near"]).select("near", line_dedup.may_be_similar("a", "b").alias("may")).collect()]
+    assert len(got) == 400 and all(may for near, may in got if near) and sum(may for near, may in got if not near) < 10
