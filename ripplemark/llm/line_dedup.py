@@ -37,16 +37,18 @@ CHUNK = 2000
 BROADCAST_KEYS = 1_000_000
 #: A word's stand-in in the edit distance of two lines: its number among their distinct words, from this code point on.
 FIRST_SIGN, SIGNS = 0x10000, 0x100000
+#: Edits over the number of different words that a pair is tried with before all that are allowed.
+FEW = 2
 
 
 def words(line: Column) -> Column:
     """A line's normalised words: lower case, digits as 0, parted by white space; the characters of a line that has two
     bytes a character and more, as scripts without blanks do. Patterns run only on lines that have other digits or more
-    than single blanks between words."""
+    than single blanks between words. These are told from the line as it is, so that it is put in lower case once."""
     low = F.lower(line)
-    odd = reduce(lambda x, y: x | y, [F.contains(low, F.lit(c)) for c in ("  ", *"123456789", *"\t\r\f\x0B")])
+    odd = reduce(lambda x, y: x | y, [F.contains(line, F.lit(c)) for c in ("  ", *"123456789", *"\t\r\f\x0B")])
     clean = F.btrim(F.regexp_replace(F.regexp_replace(low, "[1-9]", "0"), r"\s+", " "))
-    plain = F.when(odd | F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" ")), clean).otherwise(low)
+    plain = F.when(odd | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")), clean).otherwise(low)
     dense = F.octet_length(line) >= 2 * F.char_length(line)
     return F.when(dense, F.split(F.regexp_replace(plain, " ", ""), "")).otherwise(F.split(plain, " "))
 
@@ -72,7 +74,8 @@ def lines(docs: DataFrame) -> DataFrame:
 def featured(found: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n and all: hashes of a line's distinct words of LONG bytes and more; of its pairs of neighbours if it has less
     than two of these, which long tells."""
-    told = F.array_distinct(F.transform(F.filter("words", lambda w: F.octet_length(w) >= LONG), lambda w: F.xxhash64(w)))
+    hashes = F.transform("words", lambda w: F.when(F.octet_length(w) >= LONG, F.xxhash64(w)))
+    told = F.array_except(hashes, F.array(F.lit(None).cast("long")))
     pairs = F.transform(F.slice("words", 1, F.size("words") - 1), lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
     made = found.select(*keys, "words", told.alias("told"))
     return made.select(*keys, F.size("words").alias("n"), (F.size("told") >= 2).alias("long"), F.when(F.size("told") >= 2, F.col("told")).otherwise(F.array_distinct(pairs)).alias("all"))
@@ -100,8 +103,12 @@ def fingerprinted(found: DataFrame) -> DataFrame:
     one = F.lit(1).cast("long")
     sketch = F.when(F.col("long"), F.aggregate("all", F.lit(0).cast("long"), lambda z, w: z.bitwiseOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int")))))
     hashed = featured(found, keys)
-    group = lambda w: F.pmod(F.shiftrightunsigned(w, 52), F.lit(GROUPS))
-    dealt = hashed.select(*keys, "n", sketch.alias("z"), *[F.filter("all", lambda w: group(w) == g).alias(f"g{g}") for g in range(GROUPS)])  # noqa: B023
+    # a hash's group over the bits that blocks and sketches look at; sorted with a mark before each group, groups are slices
+    grouped = F.transform("all", lambda w: F.call_function("shiftleft", F.pmod(F.shiftrightunsigned(w, 52), F.lit(GROUPS)), F.lit(60)).bitwiseOR(w.bitwiseAND(F.lit((1 << 52) - 1))))
+    marks = [F.lit((g << 60) - 1).cast("long") for g in range(1, GROUPS)]
+    ordered = hashed.select(*keys, "n", sketch.alias("z"), F.sort_array(F.concat(grouped, F.array(*marks))).alias("all"))
+    ends = [F.lit(0), *[F.array_position("all", m).cast("int") for m in marks], F.size("all") + 1]
+    dealt = ordered.select(*keys, "n", "z", *[F.slice("all", ends[g] + 1, ends[g + 1] - ends[g] - 1).alias(f"g{g}") for g in range(GROUPS)])
     blocks = [F.when(F.size(f"g{g}") <= NARROW, block(F.col(f"g{g}"), 16)).otherwise(block(F.col(f"g{g}"), 32)) for g in range(GROUPS)]
     load = reduce(lambda a, b: a + b, [F.least(F.size(f"g{g}"), F.lit(AGREE)) * F.lit(4**g) for g in range(GROUPS)])
     made = dealt.select(*keys, "n", "z", *[b.alias(f"b{g}") for g, b in enumerate(blocks)], load.alias("load"))
@@ -110,12 +117,12 @@ def fingerprinted(found: DataFrame) -> DataFrame:
 
 
 def block_keys() -> Column:
-    """A key for each choice of AGREE blocks that have AGREE words together, from x, y and load."""
+    """A key for each choice of AGREE blocks, from x, y and load; null unless the blocks have AGREE words together."""
     bits = [F.shiftrightunsigned("x", 4 * g).bitwiseAND(F.lit(0x000F000F000F000F)) for g in range(4)] + [F.col("y")]
     held = [F.shiftright("load", 2 * g).bitwiseAND(F.lit(3)) for g in range(GROUPS)]
     chosen = list(enumerate(combinations(range(GROUPS), AGREE)))
     keys = [F.when(reduce(lambda a, b: a + b, [held[g] for g in gs]) >= AGREE, F.xxhash64(F.lit(t), *[bits[g] for g in gs])) for t, gs in chosen]
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)
 
 
 def allowed(x: str, y: str) -> Column:
@@ -134,7 +141,7 @@ def may_be_similar(a: str, b: str) -> Column:
 def filed(distinct: DataFrame) -> DataFrame:
     """key, h, c, n, z, m and lead for every distinct line and each block key that other lines have as well; m is the number of
     lines under the key, lead the smallest (h). Lines of less than five words have no room for an edit."""
-    keyed = distinct.where(allowed("n", "n") > 0).select("h", "c", "n", "z", F.explode(block_keys()).alias("key"))
+    keyed = distinct.where(allowed("n", "n") > 0).select("h", "c", "n", "z", F.explode(block_keys()).alias("key")).where("key is not null")
     whole = Window.partitionBy("key")
     return keyed.withColumns({"m": F.count("*").over(whole), "lead": F.min("h").over(whole)}).where("m > 1")
 
@@ -184,22 +191,35 @@ def verified(docs: DataFrame, distinct: DataFrame, made: DataFrame) -> DataFrame
     pairs = cut(made, "line-pairs")
     keys = pairs.select(F.col("ah").alias("h"), F.col("ac").alias("c")).union(pairs.select("bh", "bc")).distinct()
     places = cut(distinct.join(keys, ["h", "c"], "left_semi").select("h", "c", F.col("first.t").alias("at"), F.col("first.line_no").alias("line_no")), "line-places")
-    wanted = F.broadcast(places) if places.count() <= BROADCAST_KEYS else places
-    rows = docs.select(identity().alias("at"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    found = rows.join(wanted, ["at", "line_no"]).select("h", "c", words(F.col("line")).alias("words"))
+    # documents without a wanted line aren't split, and of the others only these lines are looked at
+    wanted = places.groupBy("at").agg(F.collect_list(F.struct("line_no", "h", "c")).alias("spots"))
+    wanted = F.broadcast(wanted) if places.count() <= BROADCAST_KEYS else wanted
+    rows = docs.select(identity().alias("at"), F.col("text").cast("string").alias("text")).join(wanted, "at")
+    spots = rows.select(F.split("text", "\n").alias("split"), "spots").select("split", F.explode("spots").alias("spot"))
+    found = spots.select("spot.h", "spot.c", F.get("split", F.col("spot.line_no")).alias("line")).where("line is not null").select("h", "c", words(F.col("line")).alias("words"))
     # rows that share a hash may differ, so the line is looked at again; after cut(), lest the join is made by these hashes
     again = found.select("h", "c", F.xxhash64("words").alias("is_h"), F.hash("words").alias("is_c"), F.transform("words", lambda w: F.xxhash64(w)).alias("s"))
-    texts = cut(again, "line-texts").where("h = is_h and c = is_c").groupBy("h", "c").agg(F.first("s").alias("s"))
-    a, b = (texts.select(F.col("h").alias(f"{x}h"), F.col("c").alias(f"{x}c"), F.col("s").alias(f"{x}s")) for x in "ab")
+    # words by numbers from their hashes, once a line and not once a pair
+    signed = again.withColumn("g", signs("s", hashed))
+    texts = cut(signed, "line-texts").where("h = is_h and c = is_c").groupBy("h", "c").agg(F.first("s").alias("s"), F.first("g").alias("g"))
+    a, b = (texts.select(F.col("h").alias(f"{x}h"), F.col("c").alias(f"{x}c"), F.col("s").alias(f"{x}s"), F.col("g").alias(f"{x}g")) for x in "ab")
     both = pairs.join(a, ["ah", "ac"]).join(b, ["bh", "bc"])
     edits = F.floor((1 - SIMILARITY) * F.greatest(F.size("as"), F.size("bs")) + 1e-9).cast("int")
-    close = both.withColumn("edits", edits).where((F.size(F.array_except("as", "bs")) <= F.col("edits")) & (F.size(F.array_except("bs", "as")) <= F.col("edits")))
-    told = close.withColumn("known", F.array_distinct(F.concat("as", "bs")))
+    apart = F.greatest(F.size(F.array_except("as", "bs")), F.size(F.array_except("bs", "as")))
+    close = both.select("*", edits.alias("edits"), apart.alias("apart")).where("apart <= edits")
+    # the cost of a distance goes with its limit, and most pairs are hardly further apart than their different words say
+    within = lambda x, y, most: F.call_function("levenshtein", x, y, most) >= 0
+    ag, bg, first = F.col("ag"), F.col("bg"), F.least(F.col("edits"), F.col("apart") + FEW)
+    near = close.where(within(ag, bg, first) | within(ag, bg, F.col("edits"))).withColumn("known", F.array_union("as", "bs"))
     # numbers from hashes tell the pair's words apart nearly always; where they don't, words get their place among known
-    hashed, placed = (lambda w: F.pmod(w, F.lit(SIGNS))), (lambda w: F.pmod(F.array_position("known", w), F.lit(SIGNS)))
+    placed = lambda w: F.pmod(F.array_position("known", w), F.lit(SIGNS))
     clear = F.size(F.array_distinct(F.transform("known", hashed))) == F.size("known")
-    within = lambda number: F.call_function("levenshtein", signs("as", number), signs("bs", number), F.col("edits")) >= 0
-    return told.where(within(hashed)).where(clear | within(placed)).select("ah", "ac", "bh", "bc")
+    return near.where(clear | within(signs("as", placed), signs("bs", placed), F.col("edits"))).select("ah", "ac", "bh", "bc")
+
+
+def hashed(w: Column) -> Column:
+    """A word's number under SIGNS, from its hash."""
+    return F.pmod(w, F.lit(SIGNS))
 
 
 def signs(line: str, number: Callable[[Column], Column]) -> Column:
