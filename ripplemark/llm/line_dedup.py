@@ -41,16 +41,22 @@ FIRST_SIGN, SIGNS = 0x10000, 0x100000
 FEW = 2
 
 
-def words(line: Column) -> Column:
-    """A line's normalised words: lower case, digits as 0, parted by white space; the characters of a line that has two
-    bytes a character and more, as scripts without blanks do. Patterns run only on lines that have other digits or more
-    than single blanks between words. These are told from the line as it is, so that it is put in lower case once."""
+def normal(line: Column) -> Column:
+    """A line's normalised words, parted by single blanks: lower case, digits as 0; the characters of a line that has two
+    bytes a character and more, as scripts without blanks do. Patterns that replace run only on lines that have other
+    digits or more than single blanks between words. These are told from the line as it is, so that it is put in lower
+    case once."""
     low = F.lower(line)
-    odd = reduce(lambda x, y: x | y, [F.contains(line, F.lit(c)) for c in ("  ", *"123456789", *"\t\r\f\x0B")])
+    odd = F.rlike(line, F.lit("[123456789\t\r\f\x0B]")) | F.contains(line, F.lit("  "))
     clean = F.btrim(F.regexp_replace(F.regexp_replace(low, "[1-9]", "0"), r"\s+", " "))
     plain = F.when(odd | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")), clean).otherwise(low)
     dense = F.octet_length(line) >= 2 * F.char_length(line)
-    return F.when(dense, F.split(F.regexp_replace(plain, " ", ""), "")).otherwise(F.split(plain, " "))
+    return F.when(dense, F.array_join(F.split(F.regexp_replace(plain, " ", ""), ""), " ")).otherwise(plain)
+
+
+def words(line: Column) -> Column:
+    """A line's normalised words."""
+    return F.split(normal(line), " ")
 
 
 def worded(line: Column) -> Column:
@@ -64,21 +70,22 @@ def identity() -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, t, line_no, words, and the key (h, c) of the normalised line, for every line that has a word.
+    """doc_id, t, line_no, line (normal()), and the key (h, c) of the normalised line, for every line that has a word.
     (doc_id, t) is the row's identity."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identity().alias("t"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    made = split.where(worded(F.col("line"))).select("doc_id", "t", "line_no", words(F.col("line")).alias("words"))
-    return made.select("*", F.xxhash64("words").alias("h"), F.hash("words").alias("c"))
+    made = split.where(worded(F.col("line"))).select("doc_id", "t", "line_no", normal(F.col("line")).alias("line"))
+    return made.select("*", F.xxhash64("line").alias("h"), F.hash("line").alias("c"))
 
 
 def featured(found: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n and all: hashes of a line's distinct words of LONG bytes and more; of its pairs of neighbours if it has less
-    than two of these, which long tells."""
-    hashes = F.transform("words", lambda w: F.when(F.octet_length(w) >= LONG, F.xxhash64(w)))
-    told = F.array_except(hashes, F.array(F.lit(None).cast("long")))
-    pairs = F.transform(F.slice("words", 1, F.size("words") - 1), lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
-    made = found.select(*keys, "words", told.alias("told"))
-    return made.select(*keys, F.size("words").alias("n"), (F.size("told") >= 2).alias("long"), F.when(F.size("told") >= 2, F.col("told")).otherwise(F.array_distinct(pairs)).alias("all"))
+    than two of these, which long tells. Words are split off where they are hashed, so that no row carries them on."""
+    every = F.split("line", " ")
+    hashes = F.transform(every, lambda w: F.when(F.octet_length(w) >= LONG, F.xxhash64(w)))
+    made = found.select(*keys, "line", hashes.alias("hashes"))
+    made = made.select(*keys, "line", F.size("hashes").alias("n"), F.array_except("hashes", F.array(F.lit(None).cast("long"))).alias("told"))
+    pairs = F.zip_with(F.slice(every, 1, F.col("n") - 1), F.slice(every, 2, F.col("n") - 1), lambda v, w: F.xxhash64(v, w))
+    return made.select(*keys, "n", (F.size("told") >= 2).alias("long"), F.when(F.size("told") >= 2, F.col("told")).otherwise(F.array_distinct(pairs)).alias("all"))
 
 
 def block(hashes: Column, bits: int) -> Column:
@@ -96,10 +103,12 @@ def block(hashes: Column, bits: int) -> Column:
 
 
 def fingerprinted(found: DataFrame) -> DataFrame:
-    """found (lines()) with n, the number of words, in place of them, the fingerprint in x (its first four blocks) and y (the
-    fifth), load, two bits for each block that tell whether it has none, one or more words, and z: a bit of 64 for each
-    different word of LONG bytes and more, null for lines that are told by pairs."""
-    keys = [c for c in found.columns if c != "words"]
+    """found (lines(), or words in place of line) with n, the number of words, in place of the line, the fingerprint in x (its
+    first four blocks) and y (the fifth), load, two bits for each block that tell whether it has none, one or more words, and
+    z: a bit of 64 for each different word of LONG bytes and more, null for lines that are told by pairs."""
+    if "words" in found.columns:
+        found = found.withColumn("line", F.array_join("words", " ")).drop("words")
+    keys = [c for c in found.columns if c != "line"]
     one = F.lit(1).cast("long")
     sketch = F.when(F.col("long"), F.aggregate("all", F.lit(0).cast("long"), lambda z, w: z.bitwiseOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int")))))
     hashed = featured(found, keys)
@@ -197,8 +206,9 @@ def verified(docs: DataFrame, distinct: DataFrame, made: DataFrame) -> DataFrame
     rows = docs.select(identity().alias("at"), F.col("text").cast("string").alias("text")).join(wanted, "at")
     spots = rows.select(F.split("text", "\n").alias("split"), "spots").select("split", F.explode("spots").alias("spot"))
     found = spots.select("spot.h", "spot.c", F.get("split", F.col("spot.line_no")).alias("line")).where("line is not null").select("h", "c", words(F.col("line")).alias("words"))
+    line = F.array_join("words", " ")
     # rows that share a hash may differ, so the line is looked at again; after cut(), lest the join is made by these hashes
-    again = found.select("h", "c", F.xxhash64("words").alias("is_h"), F.hash("words").alias("is_c"), F.transform("words", lambda w: F.xxhash64(w)).alias("s"))
+    again = found.select("h", "c", F.xxhash64(line).alias("is_h"), F.hash(line).alias("is_c"), F.transform("words", lambda w: F.xxhash64(w)).alias("s"))
     # words by numbers from their hashes, once a line and not once a pair
     signed = again.withColumn("g", signs("s", hashed))
     texts = cut(signed, "line-texts").where("h = is_h and c = is_c").groupBy("h", "c").agg(F.first("s").alias("s"), F.first("g").alias("g"))
